@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import micros, position
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, before, join_carry, running, slot_window, with_slots
+from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, before, join_carry, running, slot_window, with_slots
 
 ACTIVE, FINISHED, TIMED_OUT = "active", "finished", "timedout"
 
@@ -24,10 +24,11 @@ def mark_sessions(
     hot_rows: int = HOT_ROWS,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
-    """Add ``call_seq`` and ``in_call`` to every row.
+    """Add ``call_seq``, ``in_call`` and ``since`` to every row.
 
     A new ``call_seq`` begins after a closing row and after a silence longer than ``timeout_us`` (0 or less: never). Within
-    one ``call_seq`` the session starts at the first opening row; ``in_call`` is false before it. ``order`` must start with ``ts``.
+    one ``call_seq`` the session starts at the first opening row; ``in_call`` is false before it. ``since`` is the position of
+    the first row of the ``call_seq``. ``order`` must start with ``ts``.
     """
     marked = df.withColumns({"__us": micros(ts), "__opens": F.coalesce(opens, F.lit(False)), "__closes": F.coalesce(closes, F.lit(False))})
     marked = with_slots(marked, keys, F.col("__us"), slot_us, hot_rows)
@@ -37,12 +38,19 @@ def mark_sessions(
     marked = marked.withColumn("__break", F.coalesce(broken, F.lit(False)).cast("int"))
     marked = marked.withColumn("__seg", F.sum("__break").over(running(window)))
     marked = marked.withColumn("__open_seg", F.max(F.when(F.col("__opens"), F.col("__seg"))).over(running(window)))
+    first_of_key = F.col(SLOT).isNull() & (F.row_number().over(window) == 1)
+    marked = marked.withColumn("__starts", F.when((F.col("__break") == 1) | first_of_key, position(order)))
+    marked = marked.withColumn("__since", F.max("__starts").over(running(window)))
 
     def carry(slots, along):
         boundary = F.lag("last_closes").over(along) | _silent(F.col("first_us") - F.lag("last_us").over(along), timeout_us)
         slots = slots.withColumn("step", F.coalesce(boundary, F.lit(False)).cast("int"))
         shift = F.sum("step").over(running(along)) + F.coalesce(F.sum("breaks").over(before(along)), F.lit(0))
         slots = slots.withColumn("__shift", shift)
+        begins = F.when((F.col("step") == 1) | (F.row_number().over(along) == 1), F.col("first_at"))
+        slots = slots.withColumn("begins", begins)
+        since = F.greatest(F.max("begins").over(running(along)), F.max("since").over(before(along)))
+        slots = slots.withColumn("__carried_since", since)
         return slots.withColumn("__carried_open", F.max(F.col("open_seg") + F.col("__shift")).over(before(along)))
 
     marked = join_carry(
@@ -54,15 +62,22 @@ def mark_sessions(
             F.max_by("__closes", position(order)).alias("last_closes"),
             F.sum("__break").alias("breaks"),
             F.max("__open_seg").alias("open_seg"),
+            F.min(position(order)).alias("first_at"),
+            F.max("__since").alias("since"),
         ],
         carry,
-        ["__shift", "__carried_open"],
+        ["__shift", "__carried_open", "__carried_since"],
     )
     shift = F.coalesce("__shift", F.lit(0))
     open_seg = F.greatest(F.col("__open_seg") + shift, F.col("__carried_open"))
     call_seq = (F.col("__seg") + shift).cast("bigint")
-    return marked.withColumns({"call_seq": call_seq, "in_call": F.coalesce(open_seg == call_seq, F.lit(False))}).drop(
-        "__us", "__opens", "__closes", "__break", "__seg", "__open_seg", "__shift", "__carried_open", "__slot"
+    return marked.withColumns({
+        "call_seq": call_seq,
+        "in_call": F.coalesce(open_seg == call_seq, F.lit(False)),
+        "since": F.coalesce("__since", "__carried_since"),
+    }).drop(
+        "__us", "__opens", "__closes", "__break", "__seg", "__open_seg", "__starts", "__since",
+        "__shift", "__carried_open", "__carried_since", SLOT,
     )
 
 

@@ -24,15 +24,15 @@ HOT_ROWS = 1_000_000
 HOT_SHARE = 1e-5
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows, with their row count ``n``: at most 1 / HOT_SHARE rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows, with their row count ``n``: at most 1 / ``share`` rows.
 
     Counting combines before its shuffle, so a hot key costs no more than any other here.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     # The same hash aggregate feeds the total, so Spark reuses its exchange.
     total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.filter((F.col("n") > F.lit(hot_rows)) & (F.col("n") > total * F.lit(HOT_SHARE)))
+    return counts.filter((F.col("n") > F.lit(hot_rows)) & (F.col("n") > total * F.lit(share)))
 
 
 def with_slots(
