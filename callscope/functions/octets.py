@@ -33,17 +33,24 @@ def ipv4_text(data: Column, offset: Column | int) -> Column:
     return F.concat_ws(".", *[bits(whole, s, 255).cast("string") for s in (24, 16, 8, 0)])
 
 
-def ipv6_text(data: Column, offset: Column | int) -> Column:
-    """Address text of 16 bytes: the longest run of zero groups shortened, mapped IPv4 addresses dotted."""
-    start = _lit(offset)
-    groups = F.concat_ws(":", *[F.lower(F.hex(number(data, start + F.lit(2 * i), 2))) for i in range(8)])
+def ipv6_groups(data: Column, offset: Column | int) -> Column:
+    """Eight hex groups of 16 bytes, without leading zeros."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(14), F.lit(2)), lambda i: F.lower(F.hex(number(data, _lit(offset) + i, 2)))
+    )
+    return F.array_join(groups, ":")
+
+
+def ipv6_text(groups: Column) -> Column:
+    """Address text of ``ipv6_groups``: the longest run of zero groups shortened, mapped IPv4 addresses dotted."""
     text = groups
     for run in range(2, 9):
         pattern = rf"^(|.*?:)0(?::0){{{run - 1}}}(?::(.*))?$"
         head = F.regexp_replace(F.regexp_extract(groups, pattern, 1), ":$", "")
         text = F.when(groups.rlike(pattern), F.concat(head, F.lit("::"), F.regexp_extract(groups, pattern, 2))).otherwise(text)
-    mapped = groups.startswith("0:0:0:0:0:ffff:")
-    return F.when(mapped, ipv4_text(data, start + F.lit(12))).otherwise(text)
+    last = [F.conv(F.split_part(groups, F.lit(":"), F.lit(i)), 16, 10).cast("bigint") for i in (7, 8)]
+    octets = [bits(g, s, 255).cast("string") for g in last for s in (8, 0)]
+    return F.when(groups.startswith("0:0:0:0:0:ffff:"), F.concat_ws(".", *octets)).otherwise(text)
 
 
 def zero_bytes(count: Column) -> Column:

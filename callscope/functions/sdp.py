@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.octets import latin1
+from callscope.operators.settle import settle
 
 IP4 = "c=IN IP4 "
 DEFAULT_PTIME = 20
@@ -60,11 +61,9 @@ def endpoints(parts: Column) -> Column:
 
 def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``endpoints`` and ``ptime`` to messages with a body."""
-    df = df.withColumn("__blocks", blocks(F.col(body)))
-    return df.withColumns({
-        "endpoints": F.coalesce(endpoints(F.col("__blocks")), F.expr("cast(array() as array<struct<m_index:int,ip:string,port:int>>)")),
-        "ptime": ptime(F.col(body)),
-    }).drop("__blocks")
+    df = settle(df, {"__blocks": blocks(F.col(body))})
+    none = F.expr("cast(array() as array<struct<m_index:int,ip:string,port:int>>)")
+    return settle(df, {"endpoints": F.coalesce(endpoints(F.col("__blocks")), none), "ptime": ptime(F.col(body))}).drop("__blocks")
 
 
 def explode_endpoints(df: DataFrame, skip_port_zero: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.octets import latin1, utf8
+from callscope.operators.settle import settle
 
 # Header names with their short forms.
 CALL_ID = ("Call-ID", "i")
@@ -50,20 +51,22 @@ def parse_messages(df: DataFrame, payload: str = "payload", compat: bool = False
     ``body`` is null without a Content-Length or a blank line, empty for length 0, and what there is when it is cut short.
     ``compat`` starts it one byte early per CRLF line of the head, as the original does.
     """
-    data = F.col(payload)
-    df = df.withColumn("__text", latin1(data))
-    text = F.col("__text")
-    df = df.withColumns({
+    data, text = F.col(payload), F.col("__text")
+    df = settle(df, {"__text": latin1(data)})
+    df = settle(df, {
         "__blank_at": F.regexp_instr(text, F.lit(BLANK_LINE)),
         "__blank": F.length(F.regexp_extract(text, BLANK_LINE, 0)),
     })
     found = F.col("__blank_at") > 0
-    df = df.withColumn("__head", F.when(found, F.substring(text, F.lit(1), F.col("__blank_at") - F.lit(1))).otherwise(text))
-    head = F.col("__head")
     body_at = F.col("__blank_at") + F.col("__blank")
     if compat:
         body_at = body_at - F.regexp_count(F.substring(text, F.lit(1), body_at - F.lit(1)), F.lit("\r\n"))
-    df = df.withColumns({
+    df = settle(df, {
+        "__head": F.when(found, F.substring(text, F.lit(1), F.col("__blank_at") - F.lit(1))).otherwise(text),
+        "__body_at": body_at,
+    })
+    head = F.col("__head")
+    df = settle(df, {
         "method": method(head),
         "call_id": header(head, CALL_ID),
         "sip_from": header(head, FROM),
@@ -71,10 +74,10 @@ def parse_messages(df: DataFrame, payload: str = "payload", compat: bool = False
         "content_length": content_length(head),
     })
     size = F.least(F.col("content_length"), F.lit(2**31 - 1)).cast("int")
-    body = F.when(F.col("content_length") == 0, F.substring(data, F.lit(1), F.lit(0))).when(
-        found & (F.col("content_length") > 0), F.substring(data, body_at, size)
+    body = F.when(F.col("content_length") == 0, F.substring(data, 1, 0)).when(
+        found & (F.col("content_length") > 0), F.substring(data, F.col("__body_at"), size)
     )
-    return df.withColumn("body", body).drop("__text", "__blank_at", "__blank", "__head")
+    return settle(df, {"body": body}).drop("__text", "__blank_at", "__blank", "__head", "__body_at")
 
 
 def valid_messages(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import micros, position
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, before, join_carry, running, slot_window, with_slots
+from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots, before, running
 
 OWNER = "__owner"
 
@@ -35,15 +35,14 @@ def attach_asof(
     left = probes.withColumn("__probe", F.lit(True))
     right = registrations.select(*keys, *order, F.struct(*mine).alias(OWNER), F.lit(False).alias("__probe"))
     timeline = left.unionByName(right, allowMissingColumns=True)
-    timeline = with_slots(timeline, keys, micros(ts), slot_us, hot_rows)
+    slots = KeySlots(timeline, keys, micros(ts), slot_us, hot_rows)
     # A registration counts from its own position on.
-    window = slot_window(keys, [*order, "__probe"])
-    timeline = timeline.withColumn("__last", F.last(OWNER, ignorenulls=True).over(running(window)))
-    timeline = join_carry(
+    window = slots.window([*order, "__probe"])
+    timeline = slots.rows.withColumn("__last", F.last(OWNER, ignorenulls=True).over(running(window)))
+    timeline = slots.carry(
         timeline,
-        keys,
         [F.max_by(OWNER, F.when(F.col(OWNER).isNotNull(), position(order))).alias("newest")],
-        lambda slots, along: slots.withColumn("__carried", F.last("newest", ignorenulls=True).over(before(along))),
+        lambda ends, along: ends.withColumn("__carried", F.last("newest", ignorenulls=True).over(before(along))),
         ["__carried"],
     )
     held = F.coalesce("__last", "__carried")
@@ -94,13 +93,12 @@ def endpoint_intervals(
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``valid_from`` and ``valid_to``: an owner holds its endpoint until the next registration or its own end."""
-    rows = with_slots(registrations, keys, micros(ts), slot_us, hot_rows)
-    rows = rows.withColumn("__next", F.lead(ts).over(slot_window(keys, order)))
-    rows = join_carry(
+    slots = KeySlots(registrations, keys, micros(ts), slot_us, hot_rows)
+    rows = slots.rows.withColumn("__next", F.lead(ts).over(slots.window(order)))
+    rows = slots.carry(
         rows,
-        keys,
         [F.min(ts).alias("first_ts")],
-        lambda slots, along: slots.withColumn("__after", F.lead("first_ts").over(along)),
+        lambda ends, along: ends.withColumn("__after", F.lead("first_ts").over(along)),
         ["__after"],
     )
     upper: Column = F.coalesce("__next", "__after")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from callscope.functions.octets import zero_bytes
 from callscope.functions.values import micros
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, hot_keys, with_slots
+from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots
 
 FRAGMENT_KEYS = ["src_ip", "dst_ip", "ip_proto", "ip_id"]
 TIMEOUT_US = 30_000_000
@@ -119,10 +119,9 @@ def assign_datagrams(
         "__length": F.octet_length(data).cast("bigint"),
         "fragment_offset": F.col("fragment_offset").cast("bigint"),
     })
-    rows = with_slots(rows, keys, F.col("__us"), slot_us, hot_rows)
-    states = None
-    if not hot_keys(rows, keys, hot_rows).isEmpty():
-        states = _settled_states(rows, keys, timeout_us)
+    slots = KeySlots(rows, keys, F.col("__us"), slot_us, hot_rows)
+    rows = slots.rows
+    states = _settled_states(rows, keys, timeout_us) if slots.any_hot else None
     walked = _walk(rows, states, keys, timeout_us)
     return walked.filter(F.col("__datagram").isNotNull()).withColumnRenamed("__datagram", "datagram").drop(
         "__us", "__at", "__length", "__in", "__out", SLOT

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.octets import bits, ipv4_text, ipv6_text, number, part, rest
+from callscope.functions.octets import bits, ipv4_text, ipv6_groups, ipv6_text, number, part, rest
 from callscope.operators.filters import mirror_allowed
+from callscope.operators.settle import settle
 
 # Link types, ether types and protocol numbers.
 ETHERNET, RAW_IP, LINUX_COOKED = 1, 101, 113
@@ -25,49 +26,56 @@ def decode_ip(df: DataFrame, data: str = "data") -> DataFrame:
     Frames without an IPv4 or IPv6 header drop out.
     """
     frame, link = F.col(data), F.col("link_type")
-    tag = number(frame, 12, 2)
-    tags = F.when(~tag.isin(*VLAN_TAGS), 0).when(number(frame, 16, 2).isin(*VLAN_TAGS), 2).otherwise(1)
-    df = df.withColumn("__tags", F.when(link == ETHERNET, tags).otherwise(0))
-    start = (
-        F.when(link == ETHERNET, F.lit(14) + F.lit(4) * F.col("__tags"))
-        .when(link == LINUX_COOKED, F.lit(16))
-        .when(link == RAW_IP, F.lit(0))
-    )
-    df = df.withColumn("__l3", start)
-    nibble = bits(number(frame, F.col("__l3"), 1), 4, 15)
-    ether = F.when(link == RAW_IP, F.when(nibble == 4, IPV4).when(nibble == 6, IPV6)).otherwise(
-        number(frame, F.col("__l3") - F.lit(2), 2)
+    tags = F.when(~number(frame, 12, 2).isin(*VLAN_TAGS), 0).when(number(frame, 16, 2).isin(*VLAN_TAGS), 2).otherwise(1)
+    start = F.when(link == ETHERNET, F.lit(14) + F.lit(4) * tags).when(link == LINUX_COOKED, F.lit(16)).when(link == RAW_IP, F.lit(0))
+    df = settle(df, {"__l3": start})
+    at = F.col("__l3")
+    df = settle(df, {
+        "__first": number(frame, at, 1),
+        "__ether": number(frame, at - F.lit(2), 2),
+        "__flags": number(frame, at + F.lit(6), 2),
+    })
+    nibble = bits(F.col("__first"), 4, 15)
+    raw = link == RAW_IP
+    version = F.when((nibble == 4) & (raw | (F.col("__ether") == IPV4)), 4).when((nibble == 6) & (raw | (F.col("__ether") == IPV6)), 6)
+    df = settle(df, {"version": version}).filter(F.col("version").isNotNull())
+
+    v4, flags, size = F.col("version") == 4, F.col("__flags"), F.octet_length(frame)
+    # Extension headers of IPv6 may follow each other: (protocol, offset) steps over at most three.
+    first6 = F.struct(number(frame, at + F.lit(6), 1).alias("proto"), (at + F.lit(40)).cast("bigint").alias("at"))
+    chain = F.aggregate(
+        F.sequence(F.lit(1), F.lit(3)),
+        first6,
+        lambda h, _: F.when(
+            h["proto"].isin(*EXTENSION_HEADERS),
+            F.struct(
+                number(frame, h["at"], 1).alias("proto"),
+                (h["at"] + F.lit(8) * (number(frame, h["at"] + F.lit(1), 1) + F.lit(1))).alias("at"),
+            ),
+        ).otherwise(h),
     )
-    version = F.when((ether == IPV4) & (nibble == 4), 4).when((ether == IPV6) & (nibble == 6), 6)
-    df = df.withColumn("version", version).filter(F.col("version").isNotNull())
-
-    at, v4 = F.col("__l3"), F.col("version") == 4
-    flags = number(frame, at + F.lit(6), 2)
-    df = df.withColumns({
-        "src_ip": F.when(v4, ipv4_text(frame, at + F.lit(12))).otherwise(ipv6_text(frame, at + F.lit(8))),
-        "dst_ip": F.when(v4, ipv4_text(frame, at + F.lit(16))).otherwise(ipv6_text(frame, at + F.lit(24))),
-        "ip_proto": number(frame, F.when(v4, at + F.lit(9)).otherwise(at + F.lit(6)), 1),
+    df = settle(df, {
+        "__chain": F.when(~v4, chain),
+        "__src6": F.when(~v4, ipv6_groups(frame, at + F.lit(8))),
+        "__dst6": F.when(~v4, ipv6_groups(frame, at + F.lit(24))),
+        "__size": number(frame, F.when(v4, at + F.lit(2)).otherwise(at + F.lit(4)), 2),
+    })
+    length = F.col("__size")
+    end = F.when(v4, at + length).otherwise(at + F.lit(40) + length)
+    df = settle(df, {
+        "src_ip": F.when(v4, ipv4_text(frame, at + F.lit(12))).otherwise(ipv6_text(F.col("__src6"))),
+        "dst_ip": F.when(v4, ipv4_text(frame, at + F.lit(16))).otherwise(ipv6_text(F.col("__dst6"))),
+        "ip_proto": F.when(v4, number(frame, at + F.lit(9), 1)).otherwise(F.col("__chain.proto")),
         "ip_id": F.when(v4, number(frame, at + F.lit(4), 2)),
         "more_fragments": F.when(v4, bits(flags, 13, 1) == 1).otherwise(False),
         "fragment_offset": F.when(v4, bits(flags, 0, 8191) * F.lit(8)).otherwise(0),
-        "__l4": F.when(v4, at + F.lit(4) * bits(number(frame, at, 1), 0, 15)).otherwise(at + F.lit(40)),
-        "__size": number(frame, F.when(v4, at + F.lit(2)).otherwise(at + F.lit(4)), 2),
+        "__l4": F.when(v4, at + F.lit(4) * bits(F.col("__first"), 0, 15)).otherwise(F.col("__chain.at")),
+        # Bytes after the IP packet are link padding; a length of 0 means "to the end of the frame".
+        "__end": F.when(length > 0, F.least(end, size)).otherwise(size),
     })
-    # Extension headers of IPv6 may follow each other; more than three do not occur in practice.
-    for _ in range(3):
-        more = (F.col("version") == 6) & F.col("ip_proto").isin(*EXTENSION_HEADERS)
-        df = df.withColumns({
-            "ip_proto": F.when(more, number(frame, F.col("__l4"), 1)).otherwise(F.col("ip_proto")),
-            "__l4": F.when(more, F.col("__l4") + F.lit(8) * (number(frame, F.col("__l4") + F.lit(1), 1) + F.lit(1))).otherwise(
-                F.col("__l4")
-            ),
-        })
-    end = F.when(v4, at + F.col("__size")).otherwise(at + F.lit(40) + F.col("__size"))
-    size = F.octet_length(frame)
-    # Bytes after the IP packet are link padding; a length of 0 means "to the end of the frame".
-    end = F.when(F.col("__size") > 0, F.least(end, size)).otherwise(size)
-    payload = part(frame, F.col("__l4"), F.greatest(end - F.col("__l4"), F.lit(0)).cast("int"))
-    return df.withColumn("ip_payload", payload).drop("__tags", "__l3", "__l4", "__size")
+    payload = part(frame, F.col("__l4"), F.greatest(F.col("__end") - F.col("__l4"), F.lit(0)).cast("int"))
+    df = settle(df, {"ip_payload": payload})
+    return df.drop("__l3", "__first", "__ether", "__flags", "__chain", "__src6", "__dst6", "__size", "__l4", "__end")
 
 
 def is_fragment() -> Column:
@@ -79,15 +87,16 @@ def decode_transport(df: DataFrame) -> DataFrame:
     data, tcp = F.col("ip_payload"), F.col("ip_proto") == TCP
     size = F.octet_length(data)
     proto = F.when(tcp & (size >= 20), "tcp").when((F.col("ip_proto") == UDP) & (size >= 8), "udp")
-    df = df.withColumn("proto", proto).filter(F.col("proto").isNotNull())
-    head = F.when(tcp, F.lit(4) * bits(number(data, 12, 1), 4, 15)).otherwise(8)
-    length = number(data, 4, 2)
-    end = F.when(~tcp & (length >= 8), F.least(length, size)).otherwise(size)
-    return df.withColumns({
+    length, size = number(data, 4, 2), F.octet_length(data)
+    df = settle(df, {
+        "proto": proto,
         "src_port": number(data, 0, 2).cast("int"),
         "dst_port": number(data, 2, 2).cast("int"),
-        "payload": part(data, head, F.greatest(end - head, F.lit(0)).cast("int")),
-    })
+        "__head": F.when(tcp, F.lit(4) * bits(number(data, 12, 1), 4, 15)).otherwise(8),
+        "__end": F.when(~tcp & (length >= 8), F.least(length, size)).otherwise(size),
+    }).filter(F.col("proto").isNotNull())
+    payload = part(data, F.col("__head"), F.greatest(F.col("__end") - F.col("__head"), F.lit(0)).cast("int"))
+    return settle(df, {"payload": payload}).drop("__head", "__end")
 
 
 def mirror_header(kind: Column, header: Column) -> tuple[Column, Column]:
@@ -127,28 +136,24 @@ def decapsulate(df: DataFrame, span_ids: str = "", vlans: str = "") -> DataFrame
     valid, allowed mirrored frame drop out. The IP columns of opened rows are still those of the outer packet.
     """
     gre, data = F.col("ip_proto") == GRE, F.col("ip_payload")
-    flags, kind_of = number(data, 0, 2), number(data, 2, 2)
-    checksum, routing, key, sequence, ack = (bits(flags, s, 1) == 1 for s in (15, 14, 13, 12, 7))
-    header = (
-        F.lit(4)
-        + F.when(checksum | routing, 4).otherwise(0)
-        + F.when(key, 4).otherwise(0)
-        + F.when(sequence, 4).otherwise(0)
-        + F.when(ack, 4).otherwise(0)
-    )
-    kind = F.when(kind_of == MIRROR_3, 3).when((kind_of == MIRROR_12) & sequence, 2).when(kind_of == MIRROR_12, 1)
-    df = df.withColumns({"__kind": F.when(gre, kind), "__body": F.when(gre, rest(data, header))})
+    df = settle(df, {"__flags": F.when(gre, number(data, 0, 2)), "__of": F.when(gre, number(data, 2, 2))})
+    checksum, routing, key, sequence, ack = (bits(F.col("__flags"), s, 1) == 1 for s in (15, 14, 13, 12, 7))
+    header = F.lit(4)
+    for present in (checksum | routing, key, sequence, ack):
+        header = header + F.when(present, 4).otherwise(0)
+    of = F.col("__of")
+    kind = F.when(of == MIRROR_3, 3).when((of == MIRROR_12) & sequence, 2).when(of == MIRROR_12, 1)
+    df = settle(df, {"__kind": F.when(gre, kind), "__body": F.when(gre, rest(data, header))})
     metadata, length = mirror_header(F.col("__kind"), F.col("__body"))
-    df = df.withColumns({"mirror": F.when(gre, metadata), "__inner": F.when(gre, rest(F.col("__body"), length))})
-    df = df.filter(~gre | F.col("mirror").isNotNull()).filter(mirror_allowed(span_ids, vlans))
-    opened = F.col("mirror").isNotNull()
-    size = F.octet_length("__inner")
-    return df.withColumns({
+    df = settle(df, {"mirror": F.when(gre, metadata), "__inner": F.when(gre, rest(F.col("__body"), length))})
+    opened, size = F.col("mirror").isNotNull(), F.octet_length("__inner")
+    df = df.filter(~gre | opened).filter(mirror_allowed(span_ids, vlans))
+    return settle(df, {
         "data": F.when(opened, F.col("__inner")).otherwise(F.col("data")),
         "cap_len": F.when(opened, size).otherwise(F.col("cap_len")),
         "orig_len": F.when(opened, size).otherwise(F.col("orig_len")),
         "link_type": F.when(opened, F.lit(ETHERNET)).otherwise(F.col("link_type")),
-    }).drop("__kind", "__body", "__inner")
+    }).drop("__flags", "__of", "__kind", "__body", "__inner")
 
 
 IP_COLUMNS = ["version", "src_ip", "dst_ip", "ip_proto", "ip_id", "more_fragments", "fragment_offset", "ip_payload"]
@@ -164,7 +169,7 @@ def decode_rtp(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add seq and ssrc; both are null on payloads that are no RTP (shorter than 12 bytes, or another version)."""
     data = F.col(payload)
     rtp = (F.octet_length(data) >= 12) & (bits(number(data, 0, 1), 6, 3) == 2)
-    return df.withColumns({
+    return settle(df, {
         "seq": F.when(rtp, number(data, 2, 2)).cast("int"),
         "ssrc": F.when(rtp, number(data, 8, 4)),
     })

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import endpoint_text, micros, position, wrap16
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, before, join_carry, running, slot_window, with_slots
+from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots, before, running
 
 DEFAULT_PTIME_MS = 20
 
@@ -26,26 +26,28 @@ def unwrap_sequence(
 
     A packet is ``late`` when an earlier arrival of its stream has a higher number.
     """
-    packets = with_slots(df.withColumn("__us", micros(ts)), keys, F.col("__us"), slot_us, hot_rows)
-    window = slot_window(keys, order)
+    return _unwrap(KeySlots(df.withColumn("__us", micros(ts)), keys, F.col("__us"), slot_us, hot_rows), order, seq).drop(SLOT)
+
+
+def _unwrap(slots: KeySlots, order: Sequence[str], seq: str) -> DataFrame:
+    packets, window = slots.rows, slots.window(order)
     step = F.coalesce(wrap16(F.col(seq) - F.lag(seq).over(window)), F.lit(0)).cast("bigint")
     packets = packets.withColumns({"__step": step, "delta_us": F.col("__us") - F.lag("__us").over(window)})
     packets = packets.withColumn("__ext", F.first(seq).over(running(window)) + F.sum("__step").over(running(window)))
     packets = packets.withColumn("__max", F.max("__ext").over(before(window)))
 
-    def carry(slots, along):
+    def carry(ends, along):
         # Where a slot goes on from the one before it, against where its own count began.
         jump = F.lag("last_ext").over(along) + wrap16(F.col("first_seq") - F.lag("last_seq").over(along)) - F.col("first_seq")
-        slots = slots.withColumn("jump", F.coalesce(jump, F.lit(0)))
-        slots = slots.withColumn("__shift", F.sum("jump").over(running(along)))
-        return slots.withColumns({
+        ends = ends.withColumn("jump", F.coalesce(jump, F.lit(0)))
+        ends = ends.withColumn("__shift", F.sum("jump").over(running(along)))
+        return ends.withColumns({
             "__carried_max": F.max(F.col("max_ext") + F.col("__shift")).over(before(along)),
             "__carried_us": F.lag("last_us").over(along),
         })
 
-    packets = join_carry(
+    packets = slots.carry(
         packets,
-        keys,
         [
             F.min_by(seq, position(order)).alias("first_seq"),
             F.max_by(seq, position(order)).alias("last_seq"),
@@ -75,13 +77,12 @@ def inter_arrival(
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``delta_us``, the time since the previous row of the key (null on the first)."""
-    rows = with_slots(df.withColumn("__us", micros(ts)), keys, F.col("__us"), slot_us, hot_rows)
-    rows = rows.withColumn("delta_us", F.col("__us") - F.lag("__us").over(slot_window(keys, order)))
-    rows = join_carry(
+    slots = KeySlots(df.withColumn("__us", micros(ts)), keys, F.col("__us"), slot_us, hot_rows)
+    rows = slots.rows.withColumn("delta_us", F.col("__us") - F.lag("__us").over(slots.window(order)))
+    rows = slots.carry(
         rows,
-        keys,
         [F.max("__us").alias("last_us")],
-        lambda slots, along: slots.withColumn("__carried_us", F.lag("last_us").over(along)),
+        lambda ends, along: ends.withColumn("__carried_us", F.lag("last_us").over(along)),
         ["__carried_us"],
     )
     return rows.withColumn("delta_us", F.coalesce(F.col("delta_us"), F.col("__us") - F.col("__carried_us"))).drop(
@@ -131,7 +132,8 @@ def stream_statistics(
 
     ``first_of`` names columns whose value on the first packet is kept.
     """
-    packets = unwrap_sequence(df, keys, order, seq, ts, hot_rows, slot_us)
+    slots = KeySlots(df.withColumn("__us", micros(ts)), keys, F.col("__us"), slot_us, hot_rows)
+    packets = _unwrap(slots, order, seq)
 
     def numbers(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         return rows.groupBy(*by).agg(
@@ -156,9 +158,10 @@ def stream_statistics(
     )
     # Rows are already together by keys and slot, so this first step moves nothing. Only a hot stream, cut into slots,
     # can hold one number twice afterwards.
-    distinct = numbers(single, [*keys, SLOT, "ext_seq"])
-    across = numbers(distinct.filter(F.col(SLOT).isNotNull()), [*keys, "ext_seq"])
-    distinct = distinct.filter(F.col(SLOT).isNull()).drop(SLOT).unionByName(across)
+    distinct = numbers(single, [*slots.group, "ext_seq"])
+    if slots.any_hot:
+        across = numbers(distinct.filter(F.col(SLOT).isNotNull()), [*keys, "ext_seq"])
+        distinct = distinct.filter(F.col(SLOT).isNull()).drop(SLOT).unionByName(across)
 
     streams = distinct.groupBy(*keys).agg(
         F.sum("n").alias("packet_count"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import micros, position
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, before, join_carry, running, slot_window, with_slots
+from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots, before, running
 
 ACTIVE, FINISHED, TIMED_OUT = "active", "finished", "timedout"
 
@@ -31,8 +31,8 @@ def mark_sessions(
     the first row of the ``call_seq``. ``order`` must start with ``ts``.
     """
     marked = df.withColumns({"__us": micros(ts), "__opens": F.coalesce(opens, F.lit(False)), "__closes": F.coalesce(closes, F.lit(False))})
-    marked = with_slots(marked, keys, F.col("__us"), slot_us, hot_rows)
-    window = slot_window(keys, order)
+    slots = KeySlots(marked, keys, F.col("__us"), slot_us, hot_rows)
+    marked, window = slots.rows, slots.window(order)
 
     broken = F.lag("__closes").over(window) | _silent(F.col("__us") - F.lag("__us").over(window), timeout_us)
     marked = marked.withColumn("__break", F.coalesce(broken, F.lit(False)).cast("int"))
@@ -42,20 +42,19 @@ def mark_sessions(
     marked = marked.withColumn("__starts", F.when((F.col("__break") == 1) | first_of_key, position(order)))
     marked = marked.withColumn("__since", F.max("__starts").over(running(window)))
 
-    def carry(slots, along):
+    def carry(ends, along):
         boundary = F.lag("last_closes").over(along) | _silent(F.col("first_us") - F.lag("last_us").over(along), timeout_us)
-        slots = slots.withColumn("step", F.coalesce(boundary, F.lit(False)).cast("int"))
+        ends = ends.withColumn("step", F.coalesce(boundary, F.lit(False)).cast("int"))
         shift = F.sum("step").over(running(along)) + F.coalesce(F.sum("breaks").over(before(along)), F.lit(0))
-        slots = slots.withColumn("__shift", shift)
+        ends = ends.withColumn("__shift", shift)
         begins = F.when((F.col("step") == 1) | (F.row_number().over(along) == 1), F.col("first_at"))
-        slots = slots.withColumn("begins", begins)
+        ends = ends.withColumn("begins", begins)
         since = F.greatest(F.max("begins").over(running(along)), F.max("since").over(before(along)))
-        slots = slots.withColumn("__carried_since", since)
-        return slots.withColumn("__carried_open", F.max(F.col("open_seg") + F.col("__shift")).over(before(along)))
+        ends = ends.withColumn("__carried_since", since)
+        return ends.withColumn("__carried_open", F.max(F.col("open_seg") + F.col("__shift")).over(before(along)))
 
-    marked = join_carry(
+    marked = slots.carry(
         marked,
-        keys,
         [
             F.min("__us").alias("first_us"),
             F.max("__us").alias("last_us"),

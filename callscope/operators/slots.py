@@ -1,10 +1,10 @@
 """Ordered window work on keys of any size.
 
-A plain window over a key sorts all rows of that key in one task. Here only keys holding many rows ("hot" keys)
-are cut into time slots, so that each task sorts one slot. What a row needs from earlier (or later) slots is one summary row
-per slot: the summaries are windowed per key, and joined back as carried values.
+A plain window over a key sorts all rows of that key in one task. Here keys holding very many rows ("hot" keys) are
+cut into time slots, so that each task sorts one slot. What a row needs from earlier (or later) slots is one summary row per slot: the
+summaries are windowed per key, and joined back as carried values.
 
-Ordinary keys have a null slot: they keep the plain window, and the carry table holds nothing for them.
+Whether there are hot keys is counted first, on the key columns alone. Without any, an operator is its plain window.
 """
 
 from __future__ import annotations
@@ -30,33 +30,61 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, share
     Counting combines before its shuffle, so a hot key costs no more than any other here.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    # The same hash aggregate feeds the total, so Spark reuses its exchange.
     total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.filter((F.col("n") > F.lit(hot_rows)) & (F.col("n") > total * F.lit(share)))
 
 
-def with_slots(
-    df: DataFrame,
-    keys: Sequence[str],
-    position_us: Column,
-    width_us: int = MINUTE_US,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add the slot number: null for ordinary keys, ``position_us div width_us`` for hot ones.
+class KeySlots:
+    """Rows of a DataFrame with their slot: null for ordinary keys, ``position_us div width_us`` for hot ones.
 
     ``position_us`` must not decrease along the order used later. Rows with a null key belong to no group and are left out.
     """
-    df = df.filter(_all_present(keys))
-    hot = hot_keys(df, keys, hot_rows).select(*keys, F.lit(True).alias("__hot"))
-    # Bounded: see HOT_SHARE.
-    slotted = df.join(F.broadcast(hot), list(keys), "left")
-    slot = F.when(F.col("__hot"), F.floor(position_us / F.lit(width_us)).cast("bigint"))
-    return slotted.withColumn(SLOT, slot).drop("__hot")
 
-
-def slot_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    """Window over one key within one slot."""
-    return Window.partitionBy(*keys, SLOT).orderBy(*order)
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], position_us: Column, width_us: int = MINUTE_US, hot_rows: int = HOT_ROWS
+    ):
+        self.keys = list(keys)
+        present = F.lit(True)
+        for key in keys:
+            present = present & F.col(key).isNotNull()
+        rows = df.filter(present)
+        hot = hot_keys(rows, keys, hot_rows)
+        self.any_hot = not hot.isEmpty()
+        if self.any_hot:
+            # Bounded: see HOT_SHARE.
+            marks = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+            slot = F.when(F.col("__hot"), F.floor(position_us / F.lit(width_us)).cast("bigint"))
+            self.rows = rows.join(marks, self.keys, "left").withColumn(SLOT, slot).drop("__hot")
+        else:
+            self.rows = rows.withColumn(SLOT, F.lit(None).cast("bigint"))
+
+    @property
+    def group(self) -> list[str]:
+        """The columns that rows of one task share."""
+        return [*self.keys, SLOT] if self.any_hot else self.keys
+
+    def window(self, order: Sequence[str]) -> WindowSpec:
+        """Window over one key within one slot."""
+        return Window.partitionBy(*self.group).orderBy(*order)
+
+    def carry(
+        self,
+        df: DataFrame,
+        summary: Sequence[Column],
+        carry: Callable[[DataFrame, WindowSpec], DataFrame],
+        columns: Sequence[str],
+    ) -> DataFrame:
+        """Summarise each slot, let ``carry`` window the summaries along a key, and join ``columns`` back to the rows.
+
+        The carried columns are null for ordinary keys and, as a rule, in the first slot.
+        """
+        if not self.any_hot:
+            return df.withColumns({c: F.lit(None) for c in columns})
+        slots = df.filter(F.col(SLOT).isNotNull()).groupBy(*self.group).agg(*summary)
+        along = Window.partitionBy(*self.keys).orderBy(SLOT)
+        carried = carry(slots, along).select(*self.group, *columns)
+        # df is already partitioned by keys and slot; only the summaries move.
+        return df.join(carried, self.group, "left")
 
 
 def running(window: WindowSpec) -> WindowSpec:
@@ -67,28 +95,3 @@ def running(window: WindowSpec) -> WindowSpec:
 def before(window: WindowSpec) -> WindowSpec:
     """Everything before the current row."""
     return window.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def join_carry(
-    df: DataFrame,
-    keys: Sequence[str],
-    summary: Sequence[Column],
-    carry: Callable[[DataFrame, WindowSpec], DataFrame],
-    columns: Sequence[str],
-) -> DataFrame:
-    """Summarise each slot, let ``carry`` window the summaries along a key, and join ``columns`` back to the rows.
-
-    The carried columns are null for ordinary keys and, as a rule, in the first slot.
-    """
-    slots = df.filter(F.col(SLOT).isNotNull()).groupBy(*keys, SLOT).agg(*summary)
-    along = Window.partitionBy(*keys).orderBy(SLOT)
-    carried = carry(slots, along).select(*keys, SLOT, *columns)
-    # df is already partitioned by keys and slot; only the summaries move.
-    return df.join(carried, [*keys, SLOT], "left")
-
-
-def _all_present(keys: Sequence[str]) -> Column:
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    return present

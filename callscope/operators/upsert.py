@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators.sessions import ACTIVE, FINISHED, TIMED_OUT
-from callscope.operators.slots import HOT_ROWS, before, join_carry, slot_window, with_slots
+from callscope.operators.slots import HOT_ROWS, KeySlots, before
 
 INSERT, UPDATE, STORED = "insert", "update", "stored"
 STATES = (ACTIVE, FINISHED, TIMED_OUT)
@@ -43,17 +43,16 @@ def fold_changes(
     stored = current.select(*columns, F.lit(None).cast("bigint").alias("__at"), F.lit(STORED).alias("__kind"))
     incoming = changes.select(*columns, F.col(order).cast("bigint").alias("__at"), F.col(kind).alias("__kind"))
     timeline = stored.unionByName(incoming).withColumn("__slot_at", F.coalesce("__at", F.lit(-1)))
-    timeline = with_slots(timeline, keys, F.col("__slot_at"), slot_width, hot_rows)
-    window = slot_window(keys, ["__slot_at"])
+    slots = KeySlots(timeline, keys, F.col("__slot_at"), slot_width, hot_rows)
+    timeline, window = slots.rows, slots.window(["__slot_at"])
 
     stored_or_insert = F.col("__kind") != UPDATE
     # An update counts for the state only once the row exists, so the first row or insert comes along.
     timeline = timeline.withColumn("__made", F.max(stored_or_insert).over(before(window)))
-    timeline = join_carry(
+    timeline = slots.carry(
         timeline,
-        keys,
         [F.min(F.when(stored_or_insert, F.col("__slot_at"))).alias("made_at")],
-        lambda slots, along: slots.withColumn("__carried_made", F.min("made_at").over(before(along))),
+        lambda ends, along: ends.withColumn("__carried_made", F.min("made_at").over(before(along))),
         ["__carried_made"],
     )
     exists = F.coalesce("__made", F.lit(False)) | F.col("__carried_made").isNotNull()
@@ -63,11 +62,10 @@ def fold_changes(
     timeline = timeline.withColumn("__sets", F.when(creates | (F.col("__kind") == UPDATE), F.col(state)))
     timeline = timeline.withColumn("__state_before", F.last("__sets", ignorenulls=True).over(before(window)))
     timeline = timeline.drop("__carried_made")
-    timeline = join_carry(
+    timeline = slots.carry(
         timeline,
-        keys,
         [F.max_by("__sets", F.when(F.col("__sets").isNotNull(), F.col("__slot_at"))).alias("newest_state")],
-        lambda slots, along: slots.withColumn("__carried_state", F.last("newest_state", ignorenulls=True).over(before(along))),
+        lambda ends, along: ends.withColumn("__carried_state", F.last("newest_state", ignorenulls=True).over(before(along))),
         ["__carried_state"],
     )
     state_before = F.coalesce("__state_before", "__carried_state")

@@ -19,6 +19,7 @@ from callscope.operators.packets import IP_COLUMNS, decapsulate, decode_ip, deco
 from callscope.operators.sequence import effective_ptime, expected_packets, stream_statistics, with_endpoints
 from callscope.operators.sessions import FINISHED, TIMED_OUT, mark_sessions, session_state
 from callscope.options import Options
+from callscope.sources.storage import shared_folder
 
 CALL = ["instance_id", "call_id"]
 ORDER = ["ts", "frame_no"]
@@ -149,20 +150,25 @@ def call_streams(timeline: DataFrame, calls: DataFrame, capture_end_us: Column,
 
 
 def analyse_calls(packets: DataFrame, options: Options, capture_end_us: Column | None = None) -> CallAnalysis:
-    """Build all tables of an analysis. Store decoded packets first when frames are costly to read twice."""
-    datagrams = decode_datagrams(packets, options)
+    """Build all tables of an analysis.
+
+    Each step reads the one before more than once, so the steps are checkpointed (to ``spark.checkpoint.dir``): frames are decoded
+    once, and a lost executor costs one step.
+    """
+    shared_folder(packets.sparkSession)
+    datagrams = decode_datagrams(packets, options).checkpoint()
     if capture_end_us is None:
         capture_end_us = packets.agg(F.max(micros("ts")).alias("end")).scalar()
-    messages = signalling_messages(datagrams, options)
-    registrations = endpoint_registrations(messages, options)
+    messages = signalling_messages(datagrams, options).checkpoint()
+    registrations = endpoint_registrations(messages, options).checkpoint()
     candidates = decode_rtp(datagrams.filter(is_media_candidate(options.ports)))
     candidates = candidates.select("instance_id", *ORDER, "src_ip", "src_port", "dst_ip", "dst_port", "seq", "ssrc", "mirror", *_frame(candidates))
     media = attach_media(
         candidates, registrations, ORDER, ["call_id", "registered"], until="ended", scope=["instance_id"],
         hot_rows=options.hot_rows, slot_us=options.slot_us,
-    ).drop("matched_by")
-    timeline = call_timeline(messages, media, options)
-    calls = summarise_calls(timeline, capture_end_us, options)
+    ).drop("matched_by").checkpoint()
+    timeline = call_timeline(messages, media, options).checkpoint()
+    calls = summarise_calls(timeline, capture_end_us, options).checkpoint()
     streams = call_streams(timeline, calls, capture_end_us, options)
     return CallAnalysis(datagrams, messages, registrations, timeline, calls, streams)
 

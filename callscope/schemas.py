@@ -40,6 +40,8 @@ STREAM_STATISTICS = T.ArrayType(T.StructType([
 SIP_CALLS = T.StructType([
     T.StructField("call_id", T.StringType(), False),
     T.StructField("instance_id", T.StringType(), False),
+    T.StructField("call_seq", T.LongType(), False),
+    T.StructField("part", T.IntegerType(), False),
     T.StructField("start_timestamp", T.TimestampType(), False),
     T.StructField("end_timestamp", T.TimestampType()),
     T.StructField("pcap_filename", T.StringType()),

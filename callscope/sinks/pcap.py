@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from callscope.functions.values import micros
-from callscope.operators.slots import HOT_ROWS, HOUR_US, SLOT, with_slots
+from callscope.operators.slots import HOT_ROWS, HOUR_US, SLOT, KeySlots
 from callscope.sources.pcap import MICRO_MAGIC
 from callscope.sources.storage import file_system
 
@@ -78,7 +78,7 @@ def write_capture_files(
 ) -> None:
     """One capture file per call; a call with very many packets gets one file per time slot (``name.<slot>.pcap``)."""
     spark.dataSource.register(CaptureFiles)
-    rows = with_slots(packets.withColumn("us", micros("ts")), [file], F.col("us"), slot_us, hot_rows)
+    rows = KeySlots(packets.withColumn("us", micros("ts")), [file], F.col("us"), slot_us, hot_rows).rows
     stem = F.regexp_replace(F.col(file), r"\.pcap$", "")
     name = F.when(F.col(SLOT).isNotNull(), F.concat(stem, F.lit("."), F.col(SLOT).cast("string"), F.lit(".pcap"))).otherwise(F.col(file))
     rows = rows.withColumn("file_name", name)

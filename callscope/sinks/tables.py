@@ -10,7 +10,8 @@ from callscope.operators.nest import nest, stream_item
 from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_changes
 from callscope.schemas import CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
 
-CALLS_KEY = ["call_id", "instance_id"]
+#: A Call-ID used again is a new ``call_seq``; only calls with very many streams have more than ``part`` 0.
+CALLS_KEY = ["call_id", "instance_id", "call_seq", "part"]
 
 
 def detected_calls(calls: DataFrame) -> DataFrame:
@@ -85,32 +86,42 @@ def nested_statistics(streams: DataFrame, keys: list[str]) -> DataFrame:
 def call_changes(calls: DataFrame, streams: DataFrame) -> DataFrame:
     """Each call as an insert at its start and an update at its newest state, in event-time order."""
     keys = ["instance_id", "call_id", "call_seq"]
-    statistics = nested_statistics(streams, keys).filter("part = 0").drop("part")
-    with_stats = calls.join(statistics, keys, "left")
-    none = F.lit(None).cast("timestamp")
+    rows = calls.join(nested_statistics(streams, keys), keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    statistics = SIP_CALLS["rtp_statistics"].dataType
     start, end = F.unix_micros("start_ts"), F.unix_micros(F.coalesce("end_ts", "last_ts"))
+    shared = [
+        *CALLS_KEY,
+        F.col("start_ts").alias("start_timestamp"),
+        F.col("output_filename").alias("pcap_filename"),
+        "s3_location",
+        F.col("start_ts").alias("created_at"),
+    ]
+    inserts = rows.select(
+        *shared,
+        F.col("first_from").alias("sip_from"),
+        F.col("first_to").alias("sip_to"),
+        F.lit("active").alias("state"),
+        F.lit(None).cast("timestamp").alias("end_timestamp"),
+        F.lit(None).cast(statistics).alias("rtp_statistics"),
+        F.col("start_ts").alias("updated_at"),
+        *change_columns(INSERT, start),
+    )
+    updates = rows.select(
+        *shared,
+        "sip_from",
+        "sip_to",
+        "state",
+        F.col("end_ts").alias("end_timestamp"),
+        F.col("rtp_statistics").cast(statistics).alias("rtp_statistics"),
+        F.coalesce("end_ts", "last_ts").alias("updated_at"),
+        *change_columns(UPDATE, end),
+    )
+    return inserts.unionByName(updates)
 
-    def change(df: DataFrame, kind: str, at: Column, sip_from: str, sip_to: str, end_ts: Column, state: Column, stats: Column) -> DataFrame:
-        return df.select(
-            *CALLS_KEY,
-            F.col("start_ts").alias("start_timestamp"),
-            end_ts.alias("end_timestamp"),
-            F.col("output_filename").alias("pcap_filename"),
-            F.col(sip_from).alias("sip_from"),
-            F.col(sip_to).alias("sip_to"),
-            "s3_location",
-            state.alias("state"),
-            stats.alias("rtp_statistics"),
-            F.col("start_ts").alias("created_at"),
-            F.timestamp_micros(at).alias("updated_at"),
-            F.lit(kind).alias("kind"),
-            (at * F.lit(2) + F.lit(1 if kind == UPDATE else 0)).alias("change_no"),
-        )
 
-    kind_of_stats = SIP_CALLS["rtp_statistics"].dataType
-    inserts = change(calls, INSERT, start, "first_from", "first_to", none, F.lit("active"), F.lit(None).cast(kind_of_stats))
-    updates = change(with_stats, UPDATE, end, "sip_from", "sip_to", F.col("end_ts"), F.col("state"), F.col("rtp_statistics").cast(kind_of_stats))
-    return inserts.unionByName(updates)
+def change_columns(kind: str, at_us: Column) -> list[Column]:
+    """Kind and order of a change; at one moment an insert goes before an update."""
+    return [F.lit(kind).alias("kind"), (at_us * F.lit(2) + F.lit(int(kind == UPDATE))).alias("change_no")]
 
 
 class CallsTable:
