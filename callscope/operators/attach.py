@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import micros, position
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots, before, running
+from callscope.operators.slots import MINUTE_US, SLOT, KeySlots, before, running
 
 OWNER = "__owner"
 
@@ -21,7 +21,7 @@ def attach_asof(
     owner: Sequence[str],
     ts: str = "ts",
     until: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Give each probe the ``owner`` columns of the newest registration of its key at or before it (null without one).
@@ -62,7 +62,7 @@ def attach_media(
     ts: str = "ts",
     until: str | None = None,
     scope: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Attach packets by destination endpoint, those left over by source endpoint; packets without an owner drop out.
@@ -89,7 +89,7 @@ def endpoint_intervals(
     order: Sequence[str],
     ts: str = "ts",
     ends: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``valid_from`` and ``valid_to``: an owner holds its endpoint until the next registration or its own end."""

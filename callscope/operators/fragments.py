@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from callscope.functions.octets import zero_bytes
 from callscope.functions.values import micros
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots
+from callscope.operators.slots import MINUTE_US, SLOT, KeySlots
 
 FRAGMENT_KEYS = ["src_ip", "dst_ip", "ip_proto", "ip_id"]
 TIMEOUT_US = 30_000_000
@@ -105,7 +105,7 @@ def assign_datagrams(
     ts: str = "ts",
     data: str = "ip_payload",
     timeout_us: int = TIMEOUT_US,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``datagram`` (the ``at`` number of its first fragment) and ``completes`` to fragments of one capture.
@@ -181,7 +181,7 @@ def datagrams(
     keep: Sequence[str] = (),
     timeout_us: int = TIMEOUT_US,
     capture_end_us=None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """One row per datagram: first and last time, number of fragments, ``status`` and, when complete, its payload.
@@ -253,7 +253,7 @@ def reassemble(
     ts: str = "ts",
     scope: Sequence[str] = (),
     timeout_us: int = TIMEOUT_US,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Replace the fragments of IP-decoded packets by whole packets.

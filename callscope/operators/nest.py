@@ -16,8 +16,8 @@ ROW_ITEMS = 10_000
 LARGE_SHARE = 1e-6
 
 
-def nest(df: DataFrame, keys: Sequence[str], item: Column, sort_by: str, row_items: int = ROW_ITEMS) -> DataFrame:
-    """Collect ``item`` per key into ``items``, sorted by the item field ``sort_by``.
+def nest(df: DataFrame, keys: Sequence[str], item: Column, row_items: int = ROW_ITEMS) -> DataFrame:
+    """Collect the struct ``item`` per key into ``items``, sorted by its fields from the first on.
 
     A key with more than ``row_items`` rows gives several rows, numbered by ``part``: every row of the input is in exactly one of them.
     """
@@ -27,9 +27,7 @@ def nest(df: DataFrame, keys: Sequence[str], item: Column, sort_by: str, row_ite
     parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(row_items))
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.to_json(F.struct(item.alias("i")))), parts)).otherwise(F.lit(0))
     rows = rows.select(*keys, part.cast("int").alias("part"), item.alias("__item"))
-    return rows.groupBy(*keys, "part").agg(
-        F.array_sort(F.collect_list("__item"), lambda a, b: _compare(a[sort_by], b[sort_by])).alias("items")
-    )
+    return rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("__item")).alias("items"))
 
 
 def unnest(df: DataFrame, items: str = "items", outer: bool = False) -> DataFrame:
@@ -58,7 +56,3 @@ def json_int(json_text: str | Column, field: str) -> Column:
     """Whole number of a JSON field."""
     text = F.col(json_text) if isinstance(json_text, str) else json_text
     return F.try_variant_get(F.try_parse_json(text), f"$.{field}", "bigint")
-
-
-def _compare(a: Column, b: Column) -> Column:
-    return F.when(a < b, -1).when(a > b, 1).otherwise(0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import endpoint_text, micros, position, wrap16
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots, before, running
+from callscope.operators.slots import MINUTE_US, SLOT, KeySlots, before, running
 
 DEFAULT_PTIME_MS = 20
 
@@ -19,7 +19,7 @@ def unwrap_sequence(
     order: Sequence[str],
     seq: str = "seq",
     ts: str = "ts",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``ext_seq`` (64-bit number without wrap), ``delta_us`` (since the previous packet) and ``late``.
@@ -73,7 +73,7 @@ def inter_arrival(
     keys: Sequence[str],
     order: Sequence[str],
     ts: str = "ts",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``delta_us``, the time since the previous row of the key (null on the first)."""
@@ -100,7 +100,7 @@ def delta_columns(total: str, known: str, smallest: str, largest: str) -> dict[s
 
 
 def delta_statistics(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str = "ts", hot_rows: int = HOT_ROWS, slot_us: int = MINUTE_US
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str = "ts", hot_rows: int | None = None, slot_us: int = MINUTE_US
 ) -> DataFrame:
     """Packet count and inter-arrival min, max and mean per key."""
     rows = inter_arrival(df, keys, order, ts, hot_rows, slot_us)
@@ -125,7 +125,7 @@ def stream_statistics(
     seq: str = "seq",
     ts: str = "ts",
     first_of: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """One row per stream: counts, loss, duplicates, reordering and inter-arrival times.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import micros, position
-from callscope.operators.slots import HOT_ROWS, MINUTE_US, SLOT, KeySlots, before, running
+from callscope.operators.slots import MINUTE_US, SLOT, KeySlots, before, running
 
 ACTIVE, FINISHED, TIMED_OUT = "active", "finished", "timedout"
 
@@ -21,7 +21,7 @@ def mark_sessions(
     closes: Column,
     timeout_us: int = 0,
     ts: str = "ts",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
     """Add ``call_seq``, ``in_call`` and ``since`` to every row.
@@ -96,7 +96,7 @@ def sessionize(
     ts: str = "ts",
     capture_end_us: Column | None = None,
     close_at_end: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
     extra: Sequence[Column] = (),
 ) -> DataFrame:

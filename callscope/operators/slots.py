@@ -24,7 +24,7 @@ HOT_ROWS = 1_000_000
 HOT_SHARE = 1e-5
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, share: float = HOT_SHARE) -> DataFrame:
     """The keys with more than ``hot_rows`` rows, with their row count ``n``: at most 1 / ``share`` rows.
 
     Counting combines before its shuffle, so a hot key costs no more than any other here.
@@ -41,14 +41,14 @@ class KeySlots:
     """
 
     def __init__(
-        self, df: DataFrame, keys: Sequence[str], position_us: Column, width_us: int = MINUTE_US, hot_rows: int = HOT_ROWS
+        self, df: DataFrame, keys: Sequence[str], position_us: Column, width_us: int = MINUTE_US, hot_rows: int | None = None
     ):
         self.keys = list(keys)
         present = F.lit(True)
         for key in keys:
             present = present & F.col(key).isNotNull()
         rows = df.filter(present)
-        hot = hot_keys(rows, keys, hot_rows)
+        hot = hot_keys(rows, keys, HOT_ROWS if hot_rows is None else hot_rows)
         self.any_hot = not hot.isEmpty()
         if self.any_hot:
             # Bounded: see HOT_SHARE.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators.sessions import ACTIVE, FINISHED, TIMED_OUT
-from callscope.operators.slots import HOT_ROWS, KeySlots, before
+from callscope.operators.slots import KeySlots, before
 
 INSERT, UPDATE, STORED = "insert", "update", "stored"
 STATES = (ACTIVE, FINISHED, TIMED_OUT)
@@ -29,7 +29,7 @@ def fold_changes(
     fixed: Sequence[str] = (),
     state: str = "state",
     kind: str = "kind",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     slot_width: int = 100_000,
 ) -> DataFrame:
     """The table after ``changes``, applied in the order of the whole-number column ``order``.

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from callscope.functions.privacy import PrivacyRules
 from callscope.operators.filters import parse_port_range
-from callscope.operators.slots import HOT_ROWS, MINUTE_US
+from callscope.operators.slots import MINUTE_US
 
 SECOND_US = 1_000_000
 
@@ -33,7 +33,7 @@ class Options:
     instance_id: str = "default"
     skip_port_zero: bool = False
     compat_body: bool = False
-    hot_rows: int = HOT_ROWS
+    hot_rows: int | None = None
     slot_us: int = MINUTE_US
 
     def __post_init__(self) -> None:

@@ -84,7 +84,7 @@ def unwrapped(spark: SparkSession, sf: str) -> DataFrame:
 
 def worst_loss(spark: SparkSession, sf: str) -> DataFrame:
     streams = stream_statistics(numbered(spark, sf), ["user_id"], ORDER, slot_us=HOUR_US)
-    calls = nest(streams, ["user_id"], F.struct("user_id", "lost_packets", "packet_count").alias("i"), "user_id")
+    calls = nest(streams, ["user_id"], F.struct("user_id", "lost_packets", "packet_count"))
     calls = calls.select("part", "items")
     return worst_loss_first(calls, 45, "items").select("user_id", "lost_packets", "packet_count")
 
@@ -150,7 +150,7 @@ def endpoint_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 def media_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Endpoints of each user in the order first seen: at most 20 of them."""
     found = endpoint_first_seen(spark, sf)
-    lists = nest(found, ["user_id"], F.struct("first_event", "endpoint"), "first_event")
+    lists = nest(found, ["user_id"], F.struct("first_event", "endpoint"))
     return lists.select("user_id", F.array_join(F.transform("items", lambda i: i["endpoint"].cast("string")), ",").alias("endpoints"))
 
 
@@ -185,7 +185,8 @@ def stream_sessionize(spark: SparkSession, sf: str) -> DataFrame:
         T.StructField("event_type", T.StringType()),
     ])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet")
+    # A glob takes the table whether it is one file or a folder of files.
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     messages = rows.select(
         F.lit("events").alias("instance_id"), F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("frame_no"),
         "ts", "event_type", F.lit(None).cast("string").alias("sip_from"), F.lit(None).cast("string").alias("sip_to"),

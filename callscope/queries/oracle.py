@@ -61,7 +61,12 @@ app AS (SELECT * FROM st WHERE creates OR kind = 'update' OR state_before = 'act
 
 _FRAGMENTS = """
 d AS (SELECT doc_id, text, strlen(text) AS size, CAST(ceil(greatest(strlen(text), 1) / 1480.0) AS BIGINT) AS n FROM documents),
-f AS (SELECT *, n + CASE WHEN doc_id % 5 = 0 AND n > 1 THEN 1 ELSE 0 END - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS n_all FROM d)"""
+t AS (SELECT *, doc_id % 5 = 0 AND n > 1 AS twice, doc_id % 9 = 0 AS lacks,
+    doc_id % 5 = 0 AND n > 1 AND doc_id % 9 <> 0 AND doc_id % 2 = 1 AS late_copy FROM d),
+-- A copy that comes after its datagram was complete opens a new one that never ends.
+f AS (SELECT doc_id, n + CASE WHEN twice AND NOT late_copy THEN 1 ELSE 0 END - CASE WHEN lacks THEN 1 ELSE 0 END AS n_fragments,
+      NOT lacks AS whole, size, text FROM t
+  UNION ALL SELECT doc_id, 1, false, size, text FROM t WHERE late_copy)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -120,14 +125,14 @@ def oracle_sql() -> dict[str, str]:
             max(started) FILTER (creates) AS started,
             arg_max(state, pos) FILTER (creates OR kind = 'update') AS state FROM app GROUP BY call_id""",
         "nest_streams": """SELECT l_orderkey, 0 AS part, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey ||
-            ',"lost_packets":' || CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber) || ']' AS rtp_statistics FROM lineitem GROUP BY 1""",
+            ',"lost_packets":' || CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) || ']' AS rtp_statistics FROM lineitem GROUP BY 1""",
         "nest_unnest": """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS lost_packets FROM lineitem
             WHERE CAST(l_quantity AS BIGINT) > 40 ORDER BY 3 DESC""",
         "unnest_lines": """SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS lost_packets FROM lineitem
             WHERE CAST(l_quantity AS BIGINT) <= 3""",
         "call_lookup": """SELECT CAST(l_orderkey AS VARCHAR) AS call_id, 'a' AS sip_from, 'b' AS sip_to,
             '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"lost_packets":' ||
-            CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber) || ']' AS rtp_stats FROM lineitem WHERE l_orderkey = 7 GROUP BY 1""",
+            CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) || ']' AS rtp_stats FROM lineitem WHERE l_orderkey = 7 GROUP BY 1""",
         "privacy_case": """WITH v AS (SELECT c_custkey, c_name AS n, c_mktsegment AS m, 'sip:' || c_nationkey || '@x' AS t FROM customer)
             SELECT c_custkey, true AS everything,
               regexp_matches(n, '[05]$') OR regexp_matches(m, '^BUILD') OR regexp_matches(t, 'sip:1[0-9]@') AS targets,
@@ -169,12 +174,10 @@ def oracle_sql() -> dict[str, str]:
               CAST(CASE WHEN kind = 1 THEN event_id % 2 ELSE 0 END AS INT) AS direction,
               CASE WHEN kind = 1 THEN event_id * 1009 % 4294967296 ELSE 0 END AS ts32,
               CAST(42 + length(event_type) AS INT) AS cap_len FROM x""",
-        "fragment_reassembly": f"""WITH {_FRAGMENTS} SELECT doc_id, n_all AS n_fragments,
-            CASE WHEN doc_id % 9 = 0 THEN 'timeout' ELSE 'reassembled' END AS status,
-            CASE WHEN doc_id % 9 <> 0 THEN CAST(size AS INT) END AS size, CASE WHEN doc_id % 9 <> 0 THEN md5(text) END AS digest
-            FROM f WHERE n_all > 0""",
-        "fragment_counters": f"""WITH {_FRAGMENTS} SELECT CAST(sum(n_all) AS BIGINT) AS total, count(*) FILTER (doc_id % 9 <> 0) AS reassembled,
-            count(*) FILTER (doc_id % 9 = 0 AND n_all > 0) AS timeout, 0 AS active, 0 AS dropped FROM f""",
+        "fragment_reassembly": f"""WITH {_FRAGMENTS} SELECT doc_id, n_fragments, CASE WHEN whole THEN 'reassembled' ELSE 'timeout' END AS status,
+            CASE WHEN whole THEN CAST(size AS INT) END AS size, CASE WHEN whole THEN md5(text) END AS digest FROM f WHERE n_fragments > 0""",
+        "fragment_counters": f"""WITH {_FRAGMENTS} SELECT CAST(sum(n_fragments) AS BIGINT) AS total, count(*) FILTER (whole) AS reassembled,
+            count(*) FILTER (NOT whole) AS timeout, 0 AS active, 0 AS dropped FROM f WHERE n_fragments > 0""",
         "call_analysis": sessions + """SELECT calls.user_id, start_us, last_us, state, sip_packets, n_rows - sip_packets AS media_packets, 30 AS ptime_ms,
             (SELECT '<sip:u>;tag=' || arg_max(event_id, length(CAST(event_id AS VARCHAR)) * 1000000000000 - event_id) FROM i
               WHERE in_call = 1 AND i.user_id = calls.user_id AND i.seg = calls.call_seq AND event_type IN ('signup', 'error')) AS sip_from,

@@ -56,7 +56,7 @@ def upsert_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def nested_lines(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("lost_packets"))
-    return nest(load(spark, sf, "lineitem"), ["l_orderkey"], item, "l_linenumber")
+    return nest(load(spark, sf, "lineitem"), ["l_orderkey"], item)
 
 
 def nest_streams(spark: SparkSession, sf: str) -> DataFrame:

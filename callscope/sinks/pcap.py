@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from callscope.functions.values import micros
-from callscope.operators.slots import HOT_ROWS, HOUR_US, SLOT, KeySlots
+from callscope.operators.slots import HOUR_US, SLOT, KeySlots
 from callscope.sources.pcap import MICRO_MAGIC
 from callscope.sources.storage import file_system
 
@@ -74,7 +74,7 @@ class CaptureFilesWriter(DataSourceArrowWriter):
 
 
 def write_capture_files(
-    spark: SparkSession, packets: DataFrame, path: str, file: str = "call_file", hot_rows: int = HOT_ROWS, slot_us: int = HOUR_US
+    spark: SparkSession, packets: DataFrame, path: str, file: str = "call_file", hot_rows: int | None = None, slot_us: int = HOUR_US
 ) -> None:
     """One capture file per call; a call with very many packets gets one file per time slot (``name.<slot>.pcap``)."""
     spark.dataSource.register(CaptureFiles)

@@ -80,7 +80,7 @@ def write_call_packets(packets: DataFrame, path: str) -> None:
 
 def nested_statistics(streams: DataFrame, keys: list[str]) -> DataFrame:
     """``rtp_statistics`` per call; calls with very many streams give several parts."""
-    return nest(streams, keys, stream_item(), "ssrc").withColumnRenamed("items", "rtp_statistics")
+    return nest(streams, keys, stream_item()).withColumnRenamed("items", "rtp_statistics")
 
 
 def call_changes(calls: DataFrame, streams: DataFrame) -> DataFrame:
