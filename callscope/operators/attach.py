@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.values import micros, position
 from callscope.operators.slots import MINUTE_US, SLOT, KeySlots, before, running
+from callscope.sources.storage import stored
 
 OWNER = "__owner"
 
@@ -75,7 +76,8 @@ def attach_media(
         regs = registrations.withColumnsRenamed({"ip": f"{side}_ip", "port": f"{side}_port"})
         return attach_asof(rows, regs, keys, order, owner, ts, until, hot_rows, slot_us)
 
-    by_dst = look_up(packets, "dst")
+    # Read three times below; packets are looked up by destination only once.
+    by_dst = stored(look_up(packets, "dst"), "by-destination")
     taken = F.col(owner[0]).isNotNull()
     by_src = look_up(by_dst.filter(~taken).drop(*owner), "src")
     return by_dst.filter(taken).withColumn("matched_by", F.lit("dst")).unionByName(

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.functions.octets import zero_bytes
+from callscope.functions.octets import part, zero_bytes
 from callscope.functions.values import micros
+from callscope.operators.settle import settle
 from callscope.operators.slots import MINUTE_US, SLOT, KeySlots
 
 FRAGMENT_KEYS = ["src_ip", "dst_ip", "ip_proto", "ip_id"]
@@ -137,7 +138,8 @@ def _walk(rows: DataFrame, states: DataFrame | None, keys: Sequence[str], timeou
         T.StructField("completes", T.BooleanType()),
         T.StructField("__out", rows.schema["__in"].dataType),
     ]
-    schema = T.StructType([*rows.schema.fields, *added])
+    # Rows that carry a state have no value in the other columns.
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*rows.schema.fields, *added]])
     # The state row of a slot comes first: it has no time.
     ordered = rows.repartition(*keys, SLOT).sortWithinPartitions(*keys, SLOT, F.col("__us").asc_nulls_first(), "__at")
     return ordered.mapInArrow(_walker(keys, timeout_us), schema)
@@ -247,6 +249,14 @@ def fragment_counters(rows: DataFrame) -> DataFrame:
     )
 
 
+def rebuild_frame(data: Column, ip_at: Column, payload_at: Column, payload: Column) -> Column:
+    """The frame of a fragment as that of the whole IPv4 packet: lower layers and header kept, length set, flags cleared."""
+    total = payload_at - ip_at + F.octet_length(payload)
+    length = F.unhex(F.lpad(F.hex(F.pmod(total, F.lit(65536)).cast("bigint")), 4, "0"))
+    kept = [part(data, 0, ip_at + F.lit(2)), part(data, ip_at + F.lit(4), 2), part(data, ip_at + F.lit(8), payload_at - ip_at - F.lit(8))]
+    return F.concat(kept[0], length, kept[1], zero_bytes(F.lit(2)), kept[2], payload)
+
+
 def reassemble(
     packets: DataFrame,
     at: str = "frame_no",
@@ -275,4 +285,8 @@ def reassemble(
         F.lit(0).cast("bigint").alias("fragment_offset"),
         *keep,
     )
+    if "data" in keep:
+        size = F.octet_length("data")
+        whole = settle(whole, {"data": rebuild_frame(F.col("data"), F.col("ip_at"), F.col("ip_payload_at"), F.col("ip_payload"))})
+        whole = whole.withColumns({"cap_len": size, "orig_len": size})
     return packets.filter(~fragment).unionByName(whole.select(*packets.columns))

@@ -21,15 +21,16 @@ MIRROR_12, MIRROR_3 = 0x88BE, 0x22EB
 
 
 def decode_ip(df: DataFrame, data: str = "data") -> DataFrame:
-    """Add the IP columns: version, src_ip, dst_ip, ip_proto, ip_id, more_fragments, fragment_offset, ip_payload.
+    """Add the IP columns: version, src_ip, dst_ip, ip_proto, ip_id, more_fragments, fragment_offset, ip_payload, and the
+    byte positions of the IP packet and its payload in the frame.
 
     Frames without an IPv4 or IPv6 header drop out.
     """
     frame, link = F.col(data), F.col("link_type")
     tags = F.when(~number(frame, 12, 2).isin(*VLAN_TAGS), 0).when(number(frame, 16, 2).isin(*VLAN_TAGS), 2).otherwise(1)
     start = F.when(link == ETHERNET, F.lit(14) + F.lit(4) * tags).when(link == LINUX_COOKED, F.lit(16)).when(link == RAW_IP, F.lit(0))
-    df = settle(df, {"__l3": start})
-    at = F.col("__l3")
+    df = settle(df, {"ip_at": start.cast("int")})
+    at = F.col("ip_at")
     df = settle(df, {
         "__first": number(frame, at, 1),
         "__ether": number(frame, at - F.lit(2), 2),
@@ -69,13 +70,13 @@ def decode_ip(df: DataFrame, data: str = "data") -> DataFrame:
         "ip_id": F.when(v4, number(frame, at + F.lit(4), 2)),
         "more_fragments": F.when(v4, bits(flags, 13, 1) == 1).otherwise(False),
         "fragment_offset": F.when(v4, bits(flags, 0, 8191) * F.lit(8)).otherwise(0),
-        "__l4": F.when(v4, at + F.lit(4) * bits(F.col("__first"), 0, 15)).otherwise(F.col("__chain.at")),
+        "ip_payload_at": F.when(v4, at + F.lit(4) * bits(F.col("__first"), 0, 15)).otherwise(F.col("__chain.at")).cast("int"),
         # Bytes after the IP packet are link padding; a length of 0 means "to the end of the frame".
         "__end": F.when(length > 0, F.least(end, size)).otherwise(size),
     })
-    payload = part(frame, F.col("__l4"), F.greatest(F.col("__end") - F.col("__l4"), F.lit(0)).cast("int"))
+    payload = part(frame, F.col("ip_payload_at"), F.greatest(F.col("__end") - F.col("ip_payload_at"), F.lit(0)).cast("int"))
     df = settle(df, {"ip_payload": payload})
-    return df.drop("__l3", "__first", "__ether", "__flags", "__chain", "__src6", "__dst6", "__size", "__l4", "__end")
+    return df.drop("__first", "__ether", "__flags", "__chain", "__src6", "__dst6", "__size", "__end")
 
 
 def is_fragment() -> Column:
@@ -83,7 +84,7 @@ def is_fragment() -> Column:
 
 
 def decode_transport(df: DataFrame) -> DataFrame:
-    """Add proto, src_port, dst_port and payload; rows other than TCP and UDP drop out."""
+    """Add proto, src_port, dst_port, payload and its byte position in the frame; rows other than TCP and UDP drop out."""
     data, tcp = F.col("ip_payload"), F.col("ip_proto") == TCP
     size = F.octet_length(data)
     proto = F.when(tcp & (size >= 20), "tcp").when((F.col("ip_proto") == UDP) & (size >= 8), "udp")
@@ -96,7 +97,8 @@ def decode_transport(df: DataFrame) -> DataFrame:
         "__end": F.when(~tcp & (length >= 8), F.least(length, size)).otherwise(size),
     }).filter(F.col("proto").isNotNull())
     payload = part(data, F.col("__head"), F.greatest(F.col("__end") - F.col("__head"), F.lit(0)).cast("int"))
-    return settle(df, {"payload": payload}).drop("__head", "__end")
+    at = (F.col("ip_payload_at") + F.col("__head")).cast("int")
+    return settle(df, {"payload": payload, "payload_at": at}).drop("__head", "__end")
 
 
 def mirror_header(kind: Column, header: Column) -> tuple[Column, Column]:
@@ -156,7 +158,9 @@ def decapsulate(df: DataFrame, span_ids: str = "", vlans: str = "") -> DataFrame
     }).drop("__flags", "__of", "__kind", "__body", "__inner")
 
 
-IP_COLUMNS = ["version", "src_ip", "dst_ip", "ip_proto", "ip_id", "more_fragments", "fragment_offset", "ip_payload"]
+IP_COLUMNS = [
+    "version", "src_ip", "dst_ip", "ip_proto", "ip_id", "more_fragments", "fragment_offset", "ip_payload", "ip_at", "ip_payload_at",
+]
 
 
 def open_mirrored(df: DataFrame, span_ids: str = "", vlans: str = "") -> DataFrame:

@@ -21,7 +21,8 @@ class Options:
     mirror_enabled: bool = False
     mirror_span_ids: str = ""
     mirror_vlans: str = ""
-    source_filter: str = "udp"
+    #: A predicate over datagrams; ``udp`` for UDP only. Empty lets everything pass.
+    source_filter: str = ""
     reassemble: bool = False
     fragment_timeout_us: int = 30 * SECOND_US
     privacy: PrivacyRules = field(default_factory=PrivacyRules)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.functions.octets import part, rest
 from callscope.functions.naming import output_filename, s3_location
 from callscope.functions.privacy import privacy_decision, zero_payload
 from callscope.functions.sdp import DEFAULT_PTIME, explode_endpoints, parse_bodies
@@ -17,9 +18,10 @@ from callscope.operators.fragments import reassemble
 from callscope.operators.filters import is_media_candidate, is_signalling, non_empty, source_filter
 from callscope.operators.packets import IP_COLUMNS, decapsulate, decode_ip, decode_rtp, decode_transport
 from callscope.operators.sequence import effective_ptime, expected_packets, stream_statistics, with_endpoints
+from callscope.operators.settle import settle
 from callscope.operators.sessions import FINISHED, TIMED_OUT, mark_sessions, session_state
 from callscope.options import Options
-from callscope.sources.storage import shared_folder
+from callscope.sources.storage import stored
 
 CALL = ["instance_id", "call_id"]
 ORDER = ["ts", "frame_no"]
@@ -27,7 +29,7 @@ ORDER = ["ts", "frame_no"]
 
 @dataclass(frozen=True)
 class CallAnalysis:
-    """The tables of one analysis; all lazy."""
+    """The tables of one analysis."""
 
     datagrams: DataFrame
     messages: DataFrame
@@ -50,17 +52,23 @@ def decode_datagrams(packets: DataFrame, options: Options) -> DataFrame:
         rows = rows.filter(F.col("mirror").isNull()).unionByName(opened)
     if options.reassemble:
         rows = reassemble(rows, **whole)
-    rows = decode_transport(rows).filter(non_empty())
+    rows = decode_rtp(decode_transport(rows).filter(non_empty()))
     if not options.mirror_enabled:
         rows = source_filter(rows, options.source_filter)
     if "mirror" not in rows.columns:
         rows = rows.withColumn("mirror", F.lit(None).cast("struct<version:int,span_id:int,vlan:int,direction:int,ts32:bigint>"))
-    return rows
+    # The payload is part of the frame; its place is enough.
+    return rows.withColumn("payload_size", F.octet_length("payload")).drop("ip_payload", "payload")
+
+
+def payload_of_frame() -> Column:
+    return part(F.col("data"), F.col("payload_at"), F.col("payload_size"))
 
 
 def signalling_messages(datagrams: DataFrame, options: Options) -> DataFrame:
     """Valid messages with their endpoints and packet time."""
-    messages = valid_messages(parse_messages(datagrams.filter(is_signalling(options.ports)), compat=options.compat_body))
+    signalling = settle(datagrams.filter(is_signalling(options.ports)), {"payload": payload_of_frame()})
+    messages = valid_messages(parse_messages(signalling, compat=options.compat_body)).drop("payload")
     return parse_bodies(messages).withColumn("is_answer", is_answer(F.col("method")))
 
 
@@ -83,10 +91,14 @@ def endpoint_registrations(messages: DataFrame, options: Options) -> DataFrame:
 
 
 def call_timeline(messages: DataFrame, media: DataFrame, options: Options) -> DataFrame:
-    """Messages and attached media of each call, numbered by call instance; what belongs to no open call drops out."""
+    """Messages and attached media of each call, numbered by call instance; what belongs to no open call drops out.
+
+    Rows are light: they name their frame, and do not hold it.
+    """
     sip = messages.select(
         *CALL, *ORDER, "method", "sip_from", "sip_to", "ptime", "mirror", F.lit(None).cast(_position_type(media)).alias("registered"),
-        F.lit(None).cast("int").alias("seq"), F.lit(None).cast("bigint").alias("ssrc"), "src_ip", "src_port", "dst_ip", "dst_port", *_frame(messages),
+        F.lit(None).cast("int").alias("seq"), F.lit(None).cast("bigint").alias("ssrc"),
+        "capture_file", "src_ip", "src_port", "dst_ip", "dst_port",
     )
     rows = sip.unionByName(media, allowMissingColumns=True)
     marked = mark_sessions(rows, CALL, ORDER, opens(), closes(), options.call_timeout_us, hot_rows=options.hot_rows, slot_us=options.slot_us)
@@ -152,23 +164,23 @@ def call_streams(timeline: DataFrame, calls: DataFrame, capture_end_us: Column,
 def analyse_calls(packets: DataFrame, options: Options, capture_end_us: Column | None = None) -> CallAnalysis:
     """Build all tables of an analysis.
 
-    Each step reads the one before more than once, so the steps are checkpointed (to ``spark.checkpoint.dir``): frames are decoded
-    once, and a lost executor costs one step.
+    Each step reads the one before more than once, so the steps are stored (below ``spark.checkpoint.dir``): frames are decoded
+    once, later steps read only the columns they use, and a lost executor costs one step.
     """
-    shared_folder(packets.sparkSession)
-    datagrams = decode_datagrams(packets, options).checkpoint()
+    datagrams = stored(decode_datagrams(packets, options), "datagrams")
     if capture_end_us is None:
         capture_end_us = packets.agg(F.max(micros("ts")).alias("end")).scalar()
-    messages = signalling_messages(datagrams, options).checkpoint()
-    registrations = endpoint_registrations(messages, options).checkpoint()
-    candidates = decode_rtp(datagrams.filter(is_media_candidate(options.ports)))
-    candidates = candidates.select("instance_id", *ORDER, "src_ip", "src_port", "dst_ip", "dst_port", "seq", "ssrc", "mirror", *_frame(candidates))
-    media = attach_media(
+    messages = stored(signalling_messages(datagrams, options).drop("data", "body"), "messages")
+    registrations = stored(endpoint_registrations(messages, options), "registrations")
+    candidates = datagrams.filter(is_media_candidate(options.ports)).select(
+        "instance_id", *ORDER, "capture_file", "src_ip", "src_port", "dst_ip", "dst_port", "seq", "ssrc", "mirror"
+    )
+    media = stored(attach_media(
         candidates, registrations, ORDER, ["call_id", "registered"], until="ended", scope=["instance_id"],
         hot_rows=options.hot_rows, slot_us=options.slot_us,
-    ).drop("matched_by").checkpoint()
-    timeline = call_timeline(messages, media, options).checkpoint()
-    calls = summarise_calls(timeline, capture_end_us, options).checkpoint()
+    ).drop("matched_by"), "media")
+    timeline = stored(call_timeline(messages, media, options), "timeline")
+    calls = stored(summarise_calls(timeline, capture_end_us, options), "calls")
     streams = call_streams(timeline, calls, capture_end_us, options)
     return CallAnalysis(datagrams, messages, registrations, timeline, calls, streams)
 
@@ -176,23 +188,25 @@ def analyse_calls(packets: DataFrame, options: Options, capture_end_us: Column |
 def call_packets(analysis: CallAnalysis, options: Options) -> DataFrame:
     """The frames of each call: messages always, media unless the privacy rules drop or clear it."""
     names = analysis.calls.select(*CALL, "call_seq", "output_filename", "clear_media")
-    rows = analysis.timeline.join(names, [*CALL, "call_seq"])
+    rows = analysis.timeline.select(*CALL, "call_seq", *ORDER, "capture_file", "method").join(names, [*CALL, "call_seq"])
     file = F.when(F.col("call_seq") == 0, F.col("output_filename")).otherwise(
         F.concat(F.regexp_replace("output_filename", r"\.pcap$", ""), F.lit("-"), F.col("call_seq").cast("string"), F.lit(".pcap"))
     )
     rows = rows.withColumn("call_file", file)
     hidden = F.col("clear_media") & F.col("method").isNull()
     if options.privacy_mode == "drop":
-        return rows.filter(~hidden)
-    # The UDP payload is the tail of the frame; headers before it stay.
-    size = F.octet_length("data")
-    head = F.substring("data", F.lit(1), size - F.octet_length("payload"))
-    cleared = F.concat(head, zero_payload(F.col("payload")))
-    return rows.withColumn("data", F.when(hidden, cleared).otherwise(F.col("data")))
-
-
-def _frame(rows: DataFrame) -> list[str]:
-    return [c for c in ("capture_file", "cap_len", "orig_len", "link_type", "data", "payload") if c in rows.columns]
+        rows = rows.filter(~hidden)
+    # Frames come back in only here, by their number.
+    frames = analysis.datagrams.select(
+        "instance_id", "capture_file", *ORDER, "cap_len", "orig_len", "link_type", "data", "payload_at", "payload_size"
+    )
+    rows = rows.join(frames, ["instance_id", "capture_file", *ORDER])
+    if options.privacy_mode == "zero":
+        end = F.col("payload_at") + F.col("payload_size")
+        rows = settle(rows, {"payload": payload_of_frame()})
+        cleared = F.concat(part(F.col("data"), 0, F.col("payload_at")), zero_payload(F.col("payload")), rest(F.col("data"), end))
+        rows = settle(rows, {"data": F.when(hidden, cleared).otherwise(F.col("data"))}).drop("payload")
+    return rows.drop("payload_at", "payload_size")
 
 
 def _position_type(media: DataFrame):
