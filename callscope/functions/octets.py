@@ -27,10 +27,9 @@ def bits(value: Column, shift: int, mask: int) -> Column:
     return F.shiftright(value, shift).bitwiseAND(F.lit(mask))
 
 
-def ipv4_text(data: Column, offset: Column | int) -> Column:
-    """Dotted text of four bytes."""
-    whole = number(data, offset, 4)
-    return F.concat_ws(".", *[bits(whole, s, 255).cast("string") for s in (24, 16, 8, 0)])
+def ipv4_text(address: Column) -> Column:
+    """Dotted text of an address number."""
+    return F.concat_ws(".", *[bits(address, s, 255).cast("string") for s in (24, 16, 8, 0)])
 
 
 def ipv6_groups(data: Column, offset: Column | int) -> Column:
@@ -43,14 +42,13 @@ def ipv6_groups(data: Column, offset: Column | int) -> Column:
 
 def ipv6_text(groups: Column) -> Column:
     """Address text of ``ipv6_groups``: the longest run of zero groups shortened, mapped IPv4 addresses dotted."""
-    text = groups
-    for run in range(2, 9):
-        pattern = rf"^(|.*?:)0(?::0){{{run - 1}}}(?::(.*))?$"
-        head = F.regexp_replace(F.regexp_extract(groups, pattern, 1), ":$", "")
-        text = F.when(groups.rlike(pattern), F.concat(head, F.lit("::"), F.regexp_extract(groups, pattern, 2))).otherwise(text)
-    last = [F.conv(F.split_part(groups, F.lit(":"), F.lit(i)), 16, 10).cast("bigint") for i in (7, 8)]
-    octets = [bits(g, s, 255).cast("string") for g in last for s in (8, 0)]
-    return F.when(groups.startswith("0:0:0:0:0:ffff:"), F.concat_ws(".", *octets)).otherwise(text)
+    # The longest run that occurs is replaced, at its first place; a loop keeps the generated code small.
+    runs = F.array(*[F.lit(rf"^(?:(.*?):)??0(?::0){{{run - 1}}}(?::(.*))?$") for run in range(8, 1, -1)])
+    text = F.aggregate(
+        runs, groups, lambda t, run: F.when(t.contains("::"), t).otherwise(F.regexp_replace(t, run, F.lit("$1::$2")))
+    )
+    last = F.conv(F.concat(*[F.lpad(F.split_part(groups, F.lit(":"), F.lit(i)), 4, "0") for i in (7, 8)]), 16, 10).cast("bigint")
+    return F.when(groups.startswith("0:0:0:0:0:ffff:"), ipv4_text(last)).otherwise(text)
 
 
 def zero_bytes(count: Column) -> Column:

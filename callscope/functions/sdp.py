@@ -8,62 +8,56 @@ from pyspark.sql import functions as F
 from callscope.functions.octets import latin1
 from callscope.operators.settle import settle
 
-IP4 = "c=IN IP4 "
 DEFAULT_PTIME = 20
+BLANK = r"[ \t\r\f\x0B]"
+# The lines that matter. Greedy starts find the last one of its kind.
+IP4_LINE = r"(?s)^.*\nc=IN IP4 +([^\n]+)"
+PTIME_LINE = rf"(?s)^.*\na=ptime:{BLANK}*([+-]?[0-9]+)(?:\n|$)"
+PORT_FIELD = r"^[^\s]*[^\S\n]+([0-9]+)(?:\s|$)"
+INACTIVE = "\na=inactive"
 
 
-def lines(body: Column) -> Column:
-    """Trimmed lines of a body."""
-    return F.transform(F.split(latin1(body), r"\r?\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+def normal_text(body: Column) -> Column:
+    """The body with trimmed lines, each after a line feed."""
+    return F.concat(F.lit("\n"), F.regexp_replace(F.btrim(latin1(body)), rf"{BLANK}*\n{BLANK}*", "\n"))
 
 
-def last_ip(some_lines: Column) -> Column:
+def last_ip(text: Column) -> Column:
     """Value of the last IPv4 connection line; null without one."""
-    found = F.filter(some_lines, lambda line: line.startswith(IP4))
-    return F.trim(F.substring(F.try_element_at(found, F.lit(-1)), len(IP4) + 1, 2**31 - 1))
+    return F.nullif(F.regexp_extract(text, IP4_LINE, 1), F.lit(""))
 
 
-def blocks(body: Column) -> Column:
-    """Session part first, then one text per media block, each without its ``m=``."""
-    return F.split(F.concat(F.lit("\n"), F.array_join(lines(body), "\n")), "\nm=")
+def ptime(text: Column) -> Column:
+    """The last whole-number ``a=ptime:``; null without one."""
+    return F.regexp_extract(text, PTIME_LINE, 1).try_cast("int")
 
 
-def ptime(body: Column) -> Column:
-    """The last whole-number ``a=ptime:`` of the body; null without one."""
-    values = F.transform(
-        F.filter(lines(body), lambda line: line.startswith("a=ptime:")),
-        lambda line: F.regexp_extract(line, r"^a=ptime:\s*([+-]?[0-9]+)$", 1).try_cast("int"),
-    )
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
-
-
-def endpoints(parts: Column) -> Column:
-    """``array<struct<m_index, ip, port>>`` of the active media blocks; takes the result of ``blocks``."""
-    session_ip = last_ip(F.split(F.element_at(parts, 1), "\n"))
+def endpoints(media: Column, session_ip: Column) -> Column:
+    """``array<struct<m_index, ip, port>>`` of the active ones of the media blocks (texts after their ``m=``)."""
 
     def block(text: Column, index: Column) -> Column:
-        rows = F.split(text, "\n")
-        fields = F.split(F.concat(F.lit("m="), F.element_at(rows, 1)), r"\s+")
-        attributes = F.slice(rows, 2, F.size(rows))
-        port_text = F.try_element_at(fields, F.lit(2))
-        port = F.when(port_text.rlike("^[0-9]+$"), port_text.try_cast("int"))
-        inactive = F.exists(attributes, lambda line: line.startswith("a=inactive"))
         return F.struct(
             (index + F.lit(1)).cast("int").alias("m_index"),
-            F.coalesce(F.nullif(last_ip(attributes), F.lit("")), F.nullif(session_ip, F.lit(""))).alias("ip"),
-            F.when(~inactive & (port <= 65535), port).alias("port"),
+            F.regexp_extract(text, IP4_LINE, 1).alias("ip"),
+            F.when(~text.contains(INACTIVE), F.regexp_extract(text, PORT_FIELD, 1).try_cast("int")).alias("port"),
         )
 
-    return F.filter(
-        F.transform(F.slice(parts, 2, F.size(parts)), block), lambda e: e["ip"].isNotNull() & e["port"].isNotNull()
-    )
+    def with_session(e: Column) -> Column:
+        return F.struct(e["m_index"], F.when(e["ip"] != "", e["ip"]).otherwise(session_ip).alias("ip"), e["port"])
+
+    found = F.transform(F.transform(media, block), with_session)
+    return F.filter(found, lambda e: e["ip"].isNotNull() & (e["port"] <= 65535))
 
 
 def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``endpoints`` and ``ptime`` to messages with a body."""
-    df = settle(df, {"__blocks": blocks(F.col(body))})
+    df = settle(df, {"__text": normal_text(F.col(body))})
+    df = settle(df, {"__blocks": F.split("__text", "\nm="), "ptime": ptime(F.col("__text"))})
+    split = F.col("__blocks")
+    df = settle(df, {"__media": F.slice(split, 2, F.size(split)), "__session_ip": last_ip(F.element_at(split, 1))})
     none = F.expr("cast(array() as array<struct<m_index:int,ip:string,port:int>>)")
-    return settle(df, {"endpoints": F.coalesce(endpoints(F.col("__blocks")), none), "ptime": ptime(F.col(body))}).drop("__blocks")
+    found = F.coalesce(endpoints(F.col("__media"), F.col("__session_ip")), none)
+    return settle(df, {"endpoints": found}).drop("__text", "__blocks", "__media", "__session_ip")
 
 
 def explode_endpoints(df: DataFrame, skip_port_zero: bool = False) -> DataFrame:

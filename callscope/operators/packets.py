@@ -57,6 +57,8 @@ def decode_ip(df: DataFrame, data: str = "data") -> DataFrame:
     )
     df = settle(df, {
         "__chain": F.when(~v4, chain),
+        "__src4": F.when(v4, number(frame, at + F.lit(12), 4)),
+        "__dst4": F.when(v4, number(frame, at + F.lit(16), 4)),
         "__src6": F.when(~v4, ipv6_groups(frame, at + F.lit(8))),
         "__dst6": F.when(~v4, ipv6_groups(frame, at + F.lit(24))),
         "__size": number(frame, F.when(v4, at + F.lit(2)).otherwise(at + F.lit(4)), 2),
@@ -64,8 +66,8 @@ def decode_ip(df: DataFrame, data: str = "data") -> DataFrame:
     length = F.col("__size")
     end = F.when(v4, at + length).otherwise(at + F.lit(40) + length)
     df = settle(df, {
-        "src_ip": F.when(v4, ipv4_text(frame, at + F.lit(12))).otherwise(ipv6_text(F.col("__src6"))),
-        "dst_ip": F.when(v4, ipv4_text(frame, at + F.lit(16))).otherwise(ipv6_text(F.col("__dst6"))),
+        "src_ip": F.when(v4, ipv4_text(F.col("__src4"))).otherwise(ipv6_text(F.col("__src6"))),
+        "dst_ip": F.when(v4, ipv4_text(F.col("__dst4"))).otherwise(ipv6_text(F.col("__dst6"))),
         "ip_proto": F.when(v4, number(frame, at + F.lit(9), 1)).otherwise(F.col("__chain.proto")),
         "ip_id": F.when(v4, number(frame, at + F.lit(4), 2)),
         "more_fragments": F.when(v4, bits(flags, 13, 1) == 1).otherwise(False),
@@ -76,7 +78,7 @@ def decode_ip(df: DataFrame, data: str = "data") -> DataFrame:
     })
     payload = part(frame, F.col("ip_payload_at"), F.greatest(F.col("__end") - F.col("ip_payload_at"), F.lit(0)).cast("int"))
     df = settle(df, {"ip_payload": payload})
-    return df.drop("__first", "__ether", "__flags", "__chain", "__src6", "__dst6", "__size", "__end")
+    return df.drop("__first", "__ether", "__flags", "__chain", "__src4", "__dst4", "__src6", "__dst6", "__size", "__end")
 
 
 def is_fragment() -> Column:

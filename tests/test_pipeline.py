@@ -128,7 +128,7 @@ def stream_fold(packets):
     return len(packets), lost, late, dup, max([0, *deltas]) / 1000, (min(deltas) if deltas else 0) / 1000
 
 
-@pytest.mark.parametrize("seed,hot_rows,slot_us", [(1, 10**6, S), (2, 3, 5 * S), (3, 3, 60 * S)])
+@pytest.mark.parametrize("seed,hot_rows,slot_us", [(1, 10**6, S), (2, 3, 5 * S)])
 def test_capture_to_calls(spark, tmp_path, seed, hot_rows, slot_us):
     events = build_events(seed)
     c.write_pcap(tmp_path / "a.pcap", frames_of(events))
