@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from callscope.functions.values import fixed2, hex8, rfc3339
 from callscope.operators.nest import nest, stream_item
+from callscope.operators.sessions import ACTIVE
+from callscope.operators.slots import MINUTE_US
 from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_changes
 from callscope.schemas import CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
 
+CHANGES_PER_US = 4
 #: A Call-ID used again is a new ``call_seq``; only calls with very many streams have more than ``part`` 0.
 CALLS_KEY = ["call_id", "instance_id", "call_seq", "part"]
 
@@ -100,11 +103,12 @@ def call_changes(calls: DataFrame, streams: DataFrame) -> DataFrame:
         *shared,
         F.col("first_from").alias("sip_from"),
         F.col("first_to").alias("sip_to"),
-        F.lit("active").alias("state"),
+        F.lit(ACTIVE).alias("state"),
         F.lit(None).cast("timestamp").alias("end_timestamp"),
         F.lit(None).cast(statistics).alias("rtp_statistics"),
         F.col("start_ts").alias("updated_at"),
-        *change_columns(INSERT, start),
+        F.lit(INSERT).alias("kind"),
+        change_number(start, F.lit(INSERT), F.lit(ACTIVE)).alias("change_no"),
     )
     updates = rows.select(
         *shared,
@@ -114,14 +118,15 @@ def call_changes(calls: DataFrame, streams: DataFrame) -> DataFrame:
         F.col("end_ts").alias("end_timestamp"),
         F.col("rtp_statistics").cast(statistics).alias("rtp_statistics"),
         F.coalesce("end_ts", "last_ts").alias("updated_at"),
-        *change_columns(UPDATE, end),
+        F.lit(UPDATE).alias("kind"),
+        change_number(end, F.lit(UPDATE), F.col("state")).alias("change_no"),
     )
     return inserts.unionByName(updates)
 
 
-def change_columns(kind: str, at_us: Column) -> list[Column]:
-    """Kind and order of a change; at one moment an insert goes before an update."""
-    return [F.lit(kind).alias("kind"), (at_us * F.lit(2) + F.lit(int(kind == UPDATE))).alias("change_no")]
+def change_number(at_us: Column, kind: Column, state: Column) -> Column:
+    """Order of a change; at one moment an insert goes first and the end of a call last."""
+    return at_us * F.lit(CHANGES_PER_US) + F.when(kind == INSERT, 0).when(state == ACTIVE, 1).otherwise(2)
 
 
 class CallsTable:
@@ -169,7 +174,7 @@ class CallsTable:
             non_empty=["s3_location"],
             newest=["end_timestamp", "rtp_statistics", "updated_at"],
             fixed=["start_timestamp", "pcap_filename", "created_at"],
-            slot_width=2 * 60_000_000,
+            slot_width=CHANGES_PER_US * MINUTE_US,
         )
         return folded.select(*SIP_CALLS.fieldNames())
 

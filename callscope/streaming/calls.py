@@ -17,7 +17,7 @@ from callscope.functions.naming import output_filename
 from callscope.operators.sessions import ACTIVE, FINISHED, TIMED_OUT
 from callscope.operators.upsert import INSERT, UPDATE
 from callscope.schemas import SIP_CALLS
-from callscope.sinks.tables import CallsTable
+from callscope.sinks.tables import CallsTable, change_number
 
 CHANGES = (
     "instance_id string, call_id string, call_seq long, kind string, start_us long, last_us long, at_us long, state string, "
@@ -103,8 +103,8 @@ def stream_sessions(
 
 def table_changes(changes: DataFrame) -> DataFrame:
     """Session changes as changes of the calls table."""
-    at, update = F.timestamp_micros("at_us"), F.col("kind") == UPDATE
-    rows = changes.select(
+    at = F.timestamp_micros("at_us")
+    return changes.select(
         "call_id",
         "instance_id",
         "call_seq",
@@ -120,9 +120,8 @@ def table_changes(changes: DataFrame) -> DataFrame:
         F.timestamp_micros("start_us").alias("created_at"),
         at.alias("updated_at"),
         "kind",
-        (F.col("at_us") * F.lit(2) + update.cast("long")).alias("change_no"),
+        change_number(F.col("at_us"), F.col("kind"), F.col("state")).alias("change_no"),
     )
-    return rows
 
 
 def write_calls(changes: DataFrame, table: CallsTable, checkpoint: str, **trigger: Any) -> StreamingQuery:
