@@ -39,10 +39,10 @@ def header(head: Column, names: tuple[str, ...]) -> Column:
 
 
 def content_length(head: Column) -> Column:
-    """The last Content-Length; null without one."""
-    pattern = rf"(?imd)^{BLANK}*(?:{'|'.join(CONTENT_LENGTH)}):{BLANK}*(\d+)"
-    numbers = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(1)), lambda n: n.try_cast("bigint"))
-    return F.try_element_at(F.filter(numbers, lambda n: n.isNotNull()), F.lit(-1))
+    """The last Content-Length that is a number of up to 18 digits; null without one."""
+    # The greedy start finds the last line.
+    pattern = rf"(?is)^.*\n{BLANK}*(?:{'|'.join(CONTENT_LENGTH)}):{BLANK}*([0-9]{{1,18}})(?![0-9])"
+    return F.regexp_extract(F.concat(F.lit("\n"), head), pattern, 1).try_cast("bigint")
 
 
 def parse_messages(df: DataFrame, payload: str = "payload", compat: bool = False) -> DataFrame:
