@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.functions import naming, octets, sdp, sip, values
+from callscope.functions import naming, sdp, sip, values
 from callscope.functions.privacy import PrivacyRules, privacy_decision, zero_payload
 from callscope.operators import filters
 from callscope.operators.packets import decode_ip, decode_rtp, decode_transport, decapsulate, mirror_header
