@@ -29,6 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the cluster's default file system gives it: tasks must not take one without a scheme for a local folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def file_system(path: str):
     """File system and path for a task: local paths, and what Arrow knows (HDFS, S3)."""
     from pyarrow import fs
