@@ -30,13 +30,13 @@ class Kind:
     base: bool = True
 
 
-EMAIL = Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(text, '@')", 0.9, "mail|contact|write")
-IP = Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", "has_digit", 0.6, "ip|host|server|address|login")
-CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "has_digit", 0.8, "card|visa|master|credit|payment|konto|carte|tarjeta")
-PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(text, '+')", 0.7, "phone|call|tel|mobile|fax")
-IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "has_digit", 0.9, "iban|bank|account|konto|cuenta|compte", False)
-SSN = Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "has_digit", 0.3, "ssn|social security|tax", False)
-LOCAL = Kind("local", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", "has_digit", 0.2, "phone|call|tel|mobile|fax", False)
+EMAIL = Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(__pii_text, '@')", 0.9, "mail|contact|write")
+IP = Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", "__pii_digit", 0.6, "ip|host|server|address|login")
+CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "__pii_digit", 0.8, "card|visa|master|credit|payment|konto|carte|tarjeta")
+PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(__pii_text, '+')", 0.7, "phone|call|tel|mobile|fax")
+IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "__pii_digit", 0.9, "iban|bank|account|konto|cuenta|compte", False)
+SSN = Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "__pii_digit", 0.3, "ssn|social security|tax", False)
+LOCAL = Kind("local", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", "__pii_digit", 0.2, "phone|call|tel|mobile|fax", False)
 #: In the order in which spans with one start are listed.
 KINDS = (EMAIL, IP, CARD, PHONE, IBAN, SSN, LOCAL)
 
@@ -89,15 +89,15 @@ def _matches(kind: Kind, order: int) -> Column:
     """
     pattern = kind.pattern.replace("\\", "\\\\").replace("'", "\\'")
     zipped = (
-        f"transform(array(struct(regexp_extract_all(text, '{pattern}', 0) AS m, split(text, '{pattern}', -1) AS p)), z -> "
+        f"transform(array(struct(regexp_extract_all(__pii_text, '{pattern}', 0) AS m, split(__pii_text, '{pattern}', -1) AS p)), z -> "
         "aggregate(sequence(0, size(z.m) - 1), struct(0 AS at, CAST(array() AS array<struct<start:int,found:string>>) AS list), "
         "(a, i) -> struct(a.at + length(z.p[i]) + length(z.m[i]) AS at, concat(a.list, array(struct(a.at + length(z.p[i]) AS start, z.m[i] AS found))) AS list), a -> a.list))[0]"
     )
     # sequence(0, -1) counts down, so texts without a match are left out first.
-    listed = F.expr(f"CASE WHEN {kind.hint} AND text RLIKE '{pattern}' THEN {zipped} ELSE CAST(array() AS array<struct<start:int,found:string>>) END")
+    listed = F.expr(f"CASE WHEN {kind.hint} AND __pii_text RLIKE '{pattern}' THEN {zipped} ELSE CAST(array() AS array<struct<start:int,found:string>>) END")
 
     def span(x: Column) -> Column:
-        around = F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), x.start + 1 - WINDOW), F.length(x.found) + F.least(x.start, F.lit(WINDOW)) + WINDOW))
+        around = F.lower(F.substring(F.col("__pii_text"), F.greatest(F.lit(1), x.start + 1 - WINDOW), F.length(x.found) + F.least(x.start, F.lit(WINDOW)) + WINDOW))
         score = F.lit(kind.score) + F.when(around.rlike(rf"\b(?:{kind.context})"), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(
             x.start.cast("long").alias("start"), F.lit(order).alias("rank"), (x.start + F.length(x.found)).cast("long").alias("end"),
@@ -107,19 +107,23 @@ def _matches(kind: Kind, order: int) -> Column:
     return F.transform(F.filter(listed, lambda x: confirmed(kind.name, x.found)), span)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+def _with_spans(docs: DataFrame, text_col: str, least_score: float) -> DataFrame:
+    """`docs` with the column __pii_spans; names of its own start with __pii_, so no column of the table is in the way."""
+    hinted = docs.withColumn("__pii_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__pii_digit", F.col("__pii_text").rlike("[0-9]"))
+    by_kind = hinted.withColumns({f"__pii_{k.name}": _matches(k, i) for i, k in enumerate(KINDS)})
+    joined = by_kind.withColumn("__pii_base", F.concat(*(f"__pii_{k.name}" for k in KINDS if k.base))).withColumn("__pii_more", F.concat(*(f"__pii_{k.name}" for k in KINDS if not k.base)))
+    fit = F.filter("__pii_more", lambda x: (x.score >= least_score) & ~F.exists("__pii_base", lambda b: (b.start < x.end) & (x.start < b.end)))
+    return joined.withColumn("__pii_spans", F.sort_array(F.concat("__pii_base", fit)))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """
-    One row for each row of `docs`: id, the columns `keep` names, and spans (array of start, rank, end, kind, score, base), by start, then as KINDS are listed.
+    One row for each row of `docs`: id and spans (array of start, rank, end, kind, score, base), by start, then as KINDS are listed.
 
     Each kind's matches are leftmost and do not overlap; unconfirmed ones are dropped and not tried again. Base spans are all reported; others
     if their score is `least_score` or more and no base span overlaps them. A null text has no spans; every row is one row, without a shuffle.
     """
-    named = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"kept_{c}") for c in keep or []), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hinted = named.withColumn("has_digit", F.col("text").rlike("[0-9]"))
-    by_kind = hinted.withColumns({f"spans_{k.name}": _matches(k, i) for i, k in enumerate(KINDS)})
-    joined = by_kind.withColumn("base", F.concat(*(f"spans_{k.name}" for k in KINDS if k.base))).withColumn("more", F.concat(*(f"spans_{k.name}" for k in KINDS if not k.base)))
-    fit = F.filter("more", lambda x: (x.score >= least_score) & ~F.exists("base", lambda b: (b.start < x.end) & (x.start < b.end)))
-    return joined.select("id", *(F.col(f"kept_{c}").alias(c) for c in keep or []), F.sort_array(F.concat("base", fit)).alias("spans"))
+    return _with_spans(docs, text_col, least_score).select(F.col(id_col).alias("id"), F.col("__pii_spans").alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -148,9 +152,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", least_score: float = LEAST_SCORE) -> DataFrame:
     """All rows of `docs` with the personal data in their texts marked out; null texts stay null, and `chars_col`, if there, becomes the new length."""
-    found = find_pii(docs, text_col, text_col, keep=[c for c in docs.columns], least_score=least_score)
-    marked = found.withColumn("_marked", F.when(F.col(text_col).isNotNull(), redacted(F.col(text_col), F.col("spans"))))
+    spans = F.col("__pii_spans")
+    marked = _with_spans(docs, text_col, least_score).withColumn("__pii_marked", F.when(F.col(text_col).isNotNull(), redacted(F.col(text_col), spans)))
     if chars_col in docs.columns:
-        length = F.when((F.size("spans") > 0) & F.col(text_col).isNotNull(), F.length("_marked")).otherwise(F.col(chars_col))
+        length = F.when((F.size(spans) > 0) & F.col(text_col).isNotNull(), F.length("__pii_marked")).otherwise(F.col(chars_col))
         marked = marked.withColumn(chars_col, length.cast(docs.schema[chars_col].dataType))
-    return marked.withColumn(text_col, F.col("_marked")).select(*docs.columns)
+    return marked.withColumn(text_col, F.col("__pii_marked")).select(*docs.columns)

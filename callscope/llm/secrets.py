@@ -20,15 +20,19 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: What the models judge: unbroken strings of letters, digits and the signs of usual encodings.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_LENGTH = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 
-#: Bounds of the training samples: documents whose ids hash lowest, words taken from them, and characters looked at of each word.
+#: One unbroken piece must be this long: paths and hyphened names are many short ones.
+PIECES = re.compile(r"[A-Za-z0-9]{10,}")
+
+#: Bounds of the training samples: documents whose ids hash lowest, and words taken from them.
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 50_000
-WORD_CHARS = 64
 RANDOM_STRINGS = 4000
 #: A string is reported if its log-likelihood ratio is at least this for each character, and it has this many characters and digits or both cases.
-LEAST_PER_CHAR = 0.7
+LEAST_PER_CHAR = 1.0
+BACKOFF = 20.0
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _PLACE = np.full(128, len(SYMBOLS), np.int64)
 _PLACE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
@@ -42,14 +46,18 @@ def _chain(text: str) -> np.ndarray:
 
 
 def transitions(strings: list[str]) -> np.ndarray:
-    """Log-probabilities of a symbol after another, from counts plus a half."""
+    """
+    Log-probabilities of a symbol after another. Symbols that a context has shown seldom or never go by how often they occur at all, as BACKOFF
+    counts of the context's: so what ordinary strings hardly hold is unlikely anywhere in them.
+    """
     size = len(SYMBOLS) + 1
-    counts = np.full(size * size, 0.5)
+    counts = np.zeros(size * size)
     if strings:
         codes = [_chain(s) for s in strings]
         counts += np.bincount(np.concatenate([c[:-1] * size + c[1:] for c in codes]), minlength=size * size)
     table = counts.reshape(size, size)
-    return np.log(table / table.sum(axis=1, keepdims=True))
+    single = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * size)
+    return np.log((table + BACKOFF * single) / (table.sum(axis=1, keepdims=True) + BACKOFF))
 
 
 def random_strings(n: int = RANDOM_STRINGS, seed: int = 7) -> list[str]:
@@ -93,20 +101,20 @@ def find_secrets(text: str | None, models: Models | None = None, least: float =
     """
     (start, end, kind) in code points of all secrets of a whole text, by start, then in the order of KINDS; a null text has none.
 
-    To the base spans the models add strings of 20 or more characters that overlap none of them, mix digits and letters or cases, and look random.
+    To the base spans the models add strings of 20 or more characters that overlap none of them, look random, and have a long piece that mixes digits and letters or cases.
     """
     text = text or ""
     found = base_spans(text)
     if models is not None:
         for m in CANDIDATE.finditer(text):
-            if _mixed(m[0]) and models.score(m[0]) >= least and not any(s < m.end() and m.start() < e for s, e, _ in found):
+            if models.score(m[0]) >= least and any(_mixed(p) for p in PIECES.findall(m[0])) and not any(s < m.end() and m.start() < e for s, e, _ in found):
                 found.append((m.start(), m.end(), "random"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Models:
     """
-    Models of random and ordinary strings. Ordinary ones are labelled samples from `docs`: words outside every base span, of the
+    Models of random and ordinary strings. Ordinary ones are labelled samples from `docs`: words outside every base span, too short to be judged themselves, of the
     `sample_docs` documents whose ids hash lowest, up to `words` words that hash lowest of theirs. Without documents, all strings of the random kind score high.
     """
     picked = docs.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(F.col(text_col).alias("text")).limit(sample_docs)
@@ -119,7 +127,7 @@ def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept.append(text[at:start])
             at = max(at, end)
         kept.append(text[at:])
-        return (sorted({w[:WORD_CHARS] for w in re.findall(r"[^\s]+", " ".join(kept))}),)
+        return (sorted({w for w in " ".join(kept).split() if len(w) < LEAST_LENGTH}),)
 
     found = map_rows(picked, ["text"], ordinary, "words array<string>").select(F.explode("words").alias("word"))
     rows = found.distinct().orderBy(F.xxhash64("word"), "word").limit(words).collect()

@@ -1,0 +1,207 @@
+"""Operators on single texts against plain versions."""
+
+import random
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from callscope.llm import bpe, language, lines, pii, secrets, simhash
+from tests.llm import brute
+from tests.llm.conftest import prose
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(PATH)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def same_tokens(library, text):
+    encoder = bpe.load_encoder(PATH)
+    want = library.encode(text, add_special_tokens=False).ids
+    ids = encoder.encode(text)
+    assert ids.tolist() == want
+    assert encoder.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+    assert encoder.numbers(ids).decode() == " ".join(map(str, want))
+
+
+def test_bpe_edges(library, odd_texts):
+    for text in odd_texts:
+        same_tokens(library, text or "")
+    for text in ("a<|endoftext|>b <|startoftext|>", "<|EndOfText|>", "I'll've it'S", "x</w> </w>", "֋ ՘a", "!?" * 500, "１２ Ⅷ ½", "á é ﬁ"):
+        same_tokens(library, text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_bpe_any(text):
+    t = Tokenizer.from_file(PATH) if not hasattr(test_bpe_any, "library") else test_bpe_any.library
+    test_bpe_any.library = t
+    assert bpe.load_encoder(PATH).encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_documents(library, odd_docs, no_docs):
+    rows = bpe.token_digests(odd_docs, PATH).collect()
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.select("doc_id", "text").collect()}
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        ids = library.encode(texts[r["id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == brute.sha(" ".join(map(str, ids)))
+        assert r["decoded_sha256"] == brute.sha(library.decode(ids, skip_special_tokens=False))
+    assert bpe.token_digests(no_docs, PATH).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aAbBé \t\n\x0b\x1c ", max_size=40))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) % (1 << 64) == brute.simhash(text)
+
+
+def test_pii(odd_docs, no_docs):
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.select("doc_id", "text").collect()}
+    rows = pii.find_pii(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    extra = set()
+    for r in rows:
+        text = texts[r["id"]]
+        base = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]]
+        assert base == brute.pii(text)
+        extra |= {text[s["start"] : s["end"]] for s in r["spans"] if not s["base"]}
+    # Valid accounts and numbers with a context word nearby; not the account whose check fails, nor numbers without context.
+    assert extra == {"DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "123-45-6789", "555-123-4567"}
+    assert pii.find_pii(no_docs).count() == 0
+
+
+def test_pii_any(spark):
+    draw = random.Random(5)
+    parts = ["a", "b.c", "@", ".", "+", "1", "22", "333", "4111", "1111", " ", "-", "(", ")", "_", "é", "🙂", "0", "255", "256", "\n"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(1, 40))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(docs).collect():
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == brute.pii(texts[r["id"]]), texts[r["id"]]
+
+
+def test_very_long_texts(spark):
+    """Runs that plain patterns would walk once for each of their characters."""
+    texts = ["x" * 200_000, "1" * 100_000, "a.b" * 50_000, "1." * 4000, "+1 " * 20_000, "a@b.c " * 3000, "x" * 200_000 + "@y.z"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    counts = {r["id"]: len(r["spans"]) for r in pii.find_pii(docs).collect()}
+    assert counts == {0: 0, 1: 0, 2: 0, 3: 1000, 4: 0, 5: 3000, 6: 1}
+    assert lines.judge(docs).count() == secrets.secrets(docs, secrets.Models(secrets.transitions(["a"]))).count() == len(texts)
+    assert simhash.fingerprints(docs).count() == language.identify(docs, language.learn_profiles(docs.withColumn("lang", F.lit("xx")))).count() == len(texts)
+
+
+def test_redact(odd_docs, no_docs):
+    before, after = odd_docs.collect(), pii.redact(odd_docs).collect()
+    assert pii.redact(odd_docs).columns == odd_docs.columns and len(before) == len(after)
+    texts = {r["doc_id"]: r["text"] for r in after}
+    assert texts[16] == "write to <EMAIL>, <EMAIL><EMAIL> and @no or a@b or é.a@b.cé; mail <EMAIL>.".replace("é.a@b.cé", "é<EMAIL>é")
+    assert texts[0] is None and texts[1] == ""
+    assert all(r["n_chars"] == len(r["text"]) for r in after if r["doc_id"] == 16)
+    assert pii.redact(no_docs).count() == 0
+
+
+def test_secrets(odd_docs, no_docs):
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.select("doc_id", "text").collect()}
+    models = secrets.train_models(odd_docs)
+    rows = secrets.secrets(odd_docs, models).collect()
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "random"] == brute.secrets(texts[r["id"]])
+    added = {texts[r["id"]][s["start"] : s["end"]] for r in rows for s in r["spans"] if s["kind"] == "random"}
+    assert added == {"ghp_16C7e42F292c6912E7710c838347Ae178B4a"}
+    assert secrets.secrets(no_docs, secrets.train_models(no_docs)).count() == 0
+
+
+def test_secret_models():
+    draw = random.Random(1)
+    plain = [prose(draw, 1, "etaoinshrdlu") for _ in range(5000)] + ["snake_case_identifier_name", "someLongCamelCaseName2", "https://example.com/2020/01/title"]
+    models = secrets.Models(secrets.transitions(secrets.random_strings()) - secrets.transitions(plain))
+    fresh = secrets.random_strings(300, seed=99)
+    hits = sum(bool(secrets.find_secrets(f"x {s} y", models)) for s in fresh)
+    assert hits >= 0.9 * len(fresh)
+    assert not secrets.find_secrets("a snake_case_identifier_name and someVeryLongCamelCaseIdentifierName at example.com/2020/01/02/some-title-of-a-post", models)
+
+
+def test_measures(odd_docs, no_docs):
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.select("doc_id", "text").collect()}
+    rows = lines.judge(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        want = brute.measures(texts[r["id"]])
+        assert {k: r[k] for k in want} == want
+        failed = want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert lines.judge(no_docs).count() == 0
+
+
+def test_measures_both_ways(odd_docs, monkeypatch):
+    picked = odd_docs.where("doc_id <> 12 AND doc_id < 100").select("doc_id", "text")
+    ways = []
+    for limit in (0, 10**6):
+        monkeypatch.setattr(lines, "LOOK_UP", limit)
+        ways.append({r["doc_id"]: r["n_repeat_words"] for r in lines.measured(picked).collect()})
+    assert ways[0] == ways[1]
+
+
+def test_common_lines(spark):
+    draw = random.Random(2)
+    bodies = [prose(draw, 80) for _ in range(60)]
+    rows = [(i, f"Menu  {i} home\n{b}", "h" if i % 2 else None) for i, b in enumerate(bodies)]
+    rows += [(100 + i, "Menu 9 HOME\nmenu 1 home\n" + "word " * 3 + prose(draw, 5), "h") for i in range(3)] + [(200, "menu 2 home\n" * 30, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["id"]: r for r in lines.judge(docs, documents=20, share=0.5, most_removed=0.2).collect()}
+    assert all(found[i]["removed_words"] == 3 and found[i]["kept"] for i in range(60))
+    assert found[100]["removed_words"] == 6 and not found[100]["kept"]
+    assert found[200]["removed_words"] == 0  # another host
+    kept = {r["doc_id"]: r["text"] for r in lines.cleaned(docs, documents=20, share=0.5).collect()}
+    assert kept == {i: bodies[i] for i in range(60)}
+
+
+def test_language(spark, no_docs):
+    draw = random.Random(4)
+    kinds = {"xx": "abcdeaae", "yy": "nopqrnno", "zz": "абвгдааб"}
+    rows = [(i, prose(draw, 40, kinds[k]), k) for i, k in enumerate(list(kinds) * 40)]
+    docs = spark.createDataFrame(rows + [(900, None, "xx"), (901, "12 .. 3", "xx"), (902, "aab", None)], "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(docs.where("doc_id % 5 <> 0"))
+    found = {r["id"]: r for r in language.identify(docs, profiles).collect()}
+    assert all(found[i]["lang_pred"] == k for i, _, k in rows)
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert found[900]["lang_pred"] == found[901]["lang_pred"] == "und" and found[902]["lang_pred"] == "xx"
+    none = language.learn_profiles(no_docs)
+    assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
+    assert language.identify(no_docs, profiles).count() == 0
+
+
+def test_language_counts(spark, odd_docs):
+    """Counts of all rows, and distances by hand."""
+    import numpy as np
+
+    want = {}
+    for r in odd_docs.select("lang", "text").collect():
+        if r["lang"] and r["text"]:
+            for c in language.ngram_cells(r["text"]).tolist():
+                want[r["lang"], c] = want.get((r["lang"], c), 0) + 1
+    assert {(r["lang"], r["cell"]): r["n"] for r in language.count_cells(odd_docs).collect()} == want
+    ranks = np.full((2, language.CELLS), 5, np.int32)
+    cells = language.ranked_cells("aba", 5)
+    ranks[1, cells] = np.arange(len(cells))[::-1]
+    apart = sum(abs(len(cells) - 1 - 2 * i) for i in range(len(cells)))
+    assert language.Profiles(("p", "q"), ranks, 5).predict("aba") == ("q", 1 - apart / (5 * len(cells)))
+
+
+def test_held_out_accuracy(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["op5_language"](spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    right = found.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("x")).first()["x"]
+    assert right >= 0.97
