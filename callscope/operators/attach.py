@@ -27,6 +27,8 @@ def attach_asof(
 ) -> DataFrame:
     """Give each probe the ``owner`` columns of the newest registration of its key at or before it (null without one).
 
+    A null in a key equals nothing: such probes stay, without an owner.
+
     Both sides carry ``keys`` and the ``order`` columns (``ts`` first). ``until`` names a registration column with a
     struct comparable to ``order``: the owner loses the key after it, and no earlier owner gets it back.
 
@@ -34,7 +36,7 @@ def attach_asof(
     """
     mine = [F.col(c).alias(c) for c in owner] + ([F.col(until).alias("__until")] if until else [])
     left = probes.withColumn("__probe", F.lit(True))
-    right = registrations.select(*keys, *order, F.struct(*mine).alias(OWNER), F.lit(False).alias("__probe"))
+    right = registrations.dropna(subset=list(keys)).select(*keys, *order, F.struct(*mine).alias(OWNER), F.lit(False).alias("__probe"))
     timeline = left.unionByName(right, allowMissingColumns=True)
     slots = KeySlots(timeline, keys, micros(ts), slot_us, hot_rows)
     # A registration counts from its own position on.

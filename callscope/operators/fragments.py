@@ -63,11 +63,14 @@ def _walker(keys: Sequence[str], timeout_us: int):
             if schema is None:
                 out_type = batch.schema.field("__in").type
                 schema = pa.schema(
-                    [*batch.schema, pa.field("__datagram", pa.int64()), pa.field("completes", pa.bool_()), pa.field("__out", out_type)]
+                    [
+                        *batch.schema, pa.field("__datagram", pa.int64()), pa.field("__datagram_us", pa.int64()), pa.field("completes", pa.bool_()),
+                        pa.field("__out", out_type),
+                    ]
                 )
             columns = [batch.column(n).to_pylist() for n in (*keys, SLOT)]
             rows = zip(*columns, *(batch.column(n).to_pylist() for n in ("__us", "__at", "fragment_offset", "__length", "more_fragments", "__in")))
-            numbers, done, ends = [], [], []
+            numbers, times, done, ends = [], [], [], []
             for *this_key, us, at, offset, length, more, carried in rows:
                 if this_key != key:
                     if key is not None and key[-1] is not None:
@@ -77,6 +80,7 @@ def _walker(keys: Sequence[str], timeout_us: int):
                     if carried["first_at"] >= 0:
                         open_one = _Datagram(carried["first_us"], carried["first_at"], carried["total"], dict(carried["pieces"]))
                     numbers.append(None)
+                    times.append(None)
                     done.append(None)
                     continue
                 if open_one is None or us - open_one.first_us > timeout_us:
@@ -86,10 +90,11 @@ def _walker(keys: Sequence[str], timeout_us: int):
                     open_one.total = offset + length
                 complete = open_one.complete()
                 numbers.append(open_one.first_at)
+                times.append(open_one.first_us)
                 done.append(complete)
                 if complete:
                     open_one = None
-            added = [pa.array(numbers, pa.int64()), pa.array(done, pa.bool_()), pa.nulls(batch.num_rows, out_type)]
+            added = [pa.array(numbers, pa.int64()), pa.array(times, pa.int64()), pa.array(done, pa.bool_()), pa.nulls(batch.num_rows, out_type)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema=schema)
             if ends:
                 yield pa.RecordBatch.from_pylist(ends, schema=schema)
@@ -109,7 +114,9 @@ def assign_datagrams(
     hot_rows: int | None = None,
     slot_us: int = MINUTE_US,
 ) -> DataFrame:
-    """Add ``datagram`` (the ``at`` number of its first fragment) and ``completes`` to fragments of one capture.
+    """Add ``datagram`` and ``datagram_us`` (number and time of its first fragment) and ``completes`` to fragments.
+
+    Numbers start again in each capture file, and IP ids come round, so only time and number together name a datagram; one may begin in one file and end in the next.
 
     A key with very many fragments is cut into time slots that are walked side by side. A slot needs the open datagram the slot before
     it ends with; as one rarely reaches far, the slots are walked again with the states found until these no longer change.
@@ -124,7 +131,7 @@ def assign_datagrams(
     rows = slots.rows
     states = _settled_states(rows, keys, timeout_us) if slots.any_hot else None
     walked = _walk(rows, states, keys, timeout_us)
-    return walked.filter(F.col("__datagram").isNotNull()).withColumnRenamed("__datagram", "datagram").drop(
+    return walked.filter(F.col("__datagram").isNotNull()).withColumnsRenamed({"__datagram": "datagram", "__datagram_us": "datagram_us"}).drop(
         "__us", "__at", "__length", "__in", "__out", SLOT
     )
 
@@ -135,6 +142,7 @@ def _walk(rows: DataFrame, states: DataFrame | None, keys: Sequence[str], timeou
         rows = rows.unionByName(states, allowMissingColumns=True)
     added = [
         T.StructField("__datagram", T.LongType()),
+        T.StructField("__datagram_us", T.LongType()),
         T.StructField("completes", T.BooleanType()),
         T.StructField("__out", rows.schema["__in"].dataType),
     ]
@@ -194,29 +202,28 @@ def datagrams(
     if capture_end_us is None:
         capture_end_us = fragments.agg(F.max(micros(ts)).alias("end")).scalar()
     rows = assign_datagrams(fragments, keys, at, ts, data, timeout_us, hot_rows, slot_us)
-    group = [*keys, "datagram"]
+    rows = rows.withColumn("__pos", F.struct(micros(ts).alias("us"), F.col(at).alias("at")))
+    group = [*keys, "datagram_us", "datagram"]
     # Copies of one fragment collapse before they meet; what is left of a datagram is bounded by the 13-bit offset.
     offsets = rows.groupBy(*group, "fragment_offset").agg(
-        F.max_by(F.struct(F.col(at).alias("at"), F.col(data).alias("data"), "more_fragments"), F.col(at)).alias("piece"),
+        F.max_by(F.struct(F.col("__pos").alias("at"), F.col(data).alias("data"), "more_fragments"), "__pos").alias("piece"),
         F.count(F.lit(1)).alias("n"),
         F.min(ts).alias("first"),
         F.max(ts).alias("last"),
-        F.max(at).alias("last_at"),
+        F.max("__pos").alias("last_at"),
         F.max("completes").alias("complete"),
-        F.max(F.when(~F.col("more_fragments"), F.struct(F.col(at).alias("at"), (F.col("fragment_offset") + F.octet_length(data)).alias("end")))).alias("total"),
-        F.min_by(F.struct(F.col(at).alias("at"), *keep), F.col(at)).alias("kept"),
+        F.max(F.when(~F.col("more_fragments"), F.struct(F.col("__pos").alias("at"), (F.col("fragment_offset") + F.octet_length(data)).alias("end")))).alias("total"),
+        F.min_by(F.struct(F.col("__pos").alias("at"), *keep), "__pos").alias("kept"),
     )
     whole = offsets.groupBy(*group).agg(
         F.sum("n").alias("n_fragments"),
         F.min("first").alias("first_ts"),
         F.max("last").alias("last_ts"),
-        F.max("last_at").alias("last_at"),
+        F.max("last_at").getField("at").alias("last_at"),
         F.max("complete").alias("complete"),
         F.max("total").getField("end").alias("total"),
         F.min_by("kept", "kept.at").alias("kept"),
-        F.array_sort(
-            F.collect_list(F.struct("piece.at", "fragment_offset", "piece.data")), lambda a, b: (a["at"] - b["at"]).cast("int")
-        ).alias("pieces"),
+        F.array_sort(F.collect_list(F.struct("piece.at", "fragment_offset", "piece.data"))).alias("pieces"),
     )
     payload = F.aggregate(
         "pieces",

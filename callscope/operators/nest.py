@@ -8,26 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.values import hex8
-from callscope.operators.slots import hot_keys
+from callscope.schemas import STREAM_STATISTICS
 
-#: Arrays longer than about this are spread over several rows of a key.
-ROW_ITEMS = 10_000
-#: Keys that are spread also hold more than this share of all rows, so there are never more than a million of them.
-LARGE_SHARE = 1e-6
+def nest(df: DataFrame, keys: Sequence[str], item: Column) -> DataFrame:
+    """Collect the struct ``item`` per key into ``items``, sorted by its fields from the first on: one row per key.
 
-
-def nest(df: DataFrame, keys: Sequence[str], item: Column, row_items: int = ROW_ITEMS) -> DataFrame:
-    """Collect the struct ``item`` per key into ``items``, sorted by its fields from the first on.
-
-    A key with more than ``row_items`` rows gives several rows, numbered by ``part``: every row of the input is in exactly one of them.
+    The array is one value, so this is for items that are few by nature, such as the streams of a call. Keys without such a bound keep one row per item.
     """
-    large = hot_keys(df, keys, row_items, LARGE_SHARE)
-    # Bounded: see LARGE_SHARE.
-    rows = df.join(F.broadcast(large), list(keys), "left")
-    parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(row_items))
-    part = F.when(parts > 1, F.pmod(F.xxhash64(F.to_json(F.struct(item.alias("i")))), parts)).otherwise(F.lit(0))
-    rows = rows.select(*keys, part.cast("int").alias("part"), item.alias("__item"))
-    return rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("__item")).alias("items"))
+    return df.select(*keys, item.alias("__item")).groupBy(*keys).agg(F.array_sort(F.collect_list("__item")).alias("items"))
 
 
 def unnest(df: DataFrame, items: str = "items", outer: bool = False) -> DataFrame:
@@ -39,17 +27,9 @@ def unnest(df: DataFrame, items: str = "items", outer: bool = False) -> DataFram
 
 def stream_item() -> Column:
     """One stream as the delivered record."""
-    return F.struct(
-        hex8("ssrc").alias("ssrc"),
-        *[
-            F.col(c)
-            for c in (
-                "src_endpoint", "dst_endpoint", "packet_count", "expected_packets", "lost_packets", "out_of_order_count",
-                "duplicate_count", "max_delta_ms", "min_delta_ms", "avg_delta_ms",
-            )
-        ],
-        F.col("ptime_ms").cast("int").alias("ptime_ms"),
-    )
+    made = {"ssrc": hex8("ssrc")}
+    fields = STREAM_STATISTICS.elementType.fields
+    return F.struct(*[made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def json_int(json_text: str | Column, field: str) -> Column:

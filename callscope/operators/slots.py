@@ -20,43 +20,44 @@ HOUR_US = 60 * MINUTE_US
 
 #: A key with more rows than this is cut into slots.
 HOT_ROWS = 1_000_000
-#: A hot key also holds more than this share of all rows, so there are never more than 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1e-5
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, share: float = HOT_SHARE) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows, with their row count ``n``: at most 1 / ``share`` rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows, with their row count ``n``; null is a key like others.
 
     Counting combines before its shuffle, so a hot key costs no more than any other here.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.filter((F.col("n") > F.lit(hot_rows)) & (F.col("n") > total * F.lit(share)))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.lit(hot_rows))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Left join that adds ``columns`` of the one row per group in ``groups``; nulls in ``keys`` equal nulls, as in a groupBy."""
+    named = groups.select(*[F.col(k).alias(f"__of_{k}") for k in keys], *columns)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return rows.join(named, same, "left").drop(*[f"__of_{k}" for k in keys])
 
 
 class KeySlots:
     """Rows of a DataFrame with their slot: null for ordinary keys, ``position_us div width_us`` for hot ones.
 
-    ``position_us`` must not decrease along the order used later. Rows with a null key belong to no group and are left out.
+    ``position_us`` must not decrease along the order used later. Rows with a null in their key are one group, as in a groupBy.
     """
 
     def __init__(
         self, df: DataFrame, keys: Sequence[str], position_us: Column, width_us: int = MINUTE_US, hot_rows: int | None = None
     ):
         self.keys = list(keys)
-        present = F.lit(True)
-        for key in keys:
-            present = present & F.col(key).isNotNull()
-        rows = df.filter(present)
-        hot = hot_keys(rows, keys, HOT_ROWS if hot_rows is None else hot_rows)
+        hot = hot_keys(df, keys, HOT_ROWS if hot_rows is None else hot_rows)
         self.any_hot = not hot.isEmpty()
         if self.any_hot:
-            # Bounded: see HOT_SHARE.
-            marks = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+            # One row per hot key: Spark broadcasts them if they are few, else it splits the hot keys' partitions.
             slot = F.when(F.col("__hot"), F.floor(position_us / F.lit(width_us)).cast("bigint"))
-            self.rows = rows.join(marks, self.keys, "left").withColumn(SLOT, slot).drop("__hot")
+            marked = join_groups(df, hot.select(*keys, F.lit(True).alias("__hot")), self.keys, ["__hot"])
+            self.rows = marked.withColumn(SLOT, slot).drop("__hot")
         else:
-            self.rows = rows.withColumn(SLOT, F.lit(None).cast("bigint"))
+            self.rows = df.withColumn(SLOT, F.lit(None).cast("bigint"))
 
     @property
     def group(self) -> list[str]:
@@ -84,7 +85,7 @@ class KeySlots:
         along = Window.partitionBy(*self.keys).orderBy(SLOT)
         carried = carry(slots, along).select(*self.group, *columns)
         # df is already partitioned by keys and slot; only the summaries move.
-        return df.join(carried, self.group, "left")
+        return join_groups(df, carried, self.group, columns)
 
 
 def running(window: WindowSpec) -> WindowSpec:

@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "stream_sessionize": e.stream_sessionize,
         "longest_text": t.longest_text,
         "upsert_orders": t.upsert_orders,
+        "calls_of_streams": t.calls_of_streams,
         "nest_streams": t.nest_streams,
         "nest_unnest": t.nest_unnest,
         "unnest_lines": t.unnest_lines,

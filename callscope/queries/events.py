@@ -85,7 +85,7 @@ def unwrapped(spark: SparkSession, sf: str) -> DataFrame:
 def worst_loss(spark: SparkSession, sf: str) -> DataFrame:
     streams = stream_statistics(numbered(spark, sf), ["user_id"], ORDER, slot_us=HOUR_US)
     calls = nest(streams, ["user_id"], F.struct("user_id", "lost_packets", "packet_count"))
-    calls = calls.select("part", "items")
+    calls = calls.select("items")
     return worst_loss_first(calls, 45, "items").select("user_id", "lost_packets", "packet_count")
 
 

@@ -119,12 +119,16 @@ def oracle_sql() -> dict[str, str]:
         "longest_text": """WITH x AS (SELECT conv_id, turn, text, strlen(text) AS bytes,
               row_number() OVER (PARTITION BY conv_id ORDER BY strlen(text) DESC, turn) AS rn FROM conversations)
             SELECT conv_id, turn, CAST(bytes AS INT) AS bytes, text AS longest FROM x WHERE rn = 1""",
+        "calls_of_streams": """SELECT CAST(o_orderkey AS VARCHAR) AS call_id, o_orderpriority AS instance_id, epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP) AS start_us,
+            CASE WHEN o_orderstatus <> 'O' THEN epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP) + o_orderkey END AS end_us,
+            CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'finished' ELSE 'timedout' END AS state,
+            CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'customer ' END || o_custkey AS sip_from FROM orders""",
         "upsert_orders": f"""WITH {_UPSERT} SELECT call_id, arg_max(sip_from, length(sip_from) * 1000000000000 - pos) AS sip_from,
             coalesce(arg_max(s3_location, pos) FILTER (s3_location <> ''), max(s3_location) FILTER (creates)) AS s3_location,
             arg_max(ended, pos) FILTER (ended IS NOT NULL AND (creates OR kind = 'update')) AS ended,
             max(started) FILTER (creates) AS started,
             arg_max(state, pos) FILTER (creates OR kind = 'update') AS state FROM app GROUP BY call_id""",
-        "nest_streams": """SELECT l_orderkey, 0 AS part, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey ||
+        "nest_streams": """SELECT l_orderkey, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey ||
             ',"lost_packets":' || CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) || ']' AS rtp_statistics FROM lineitem GROUP BY 1""",
         "nest_unnest": """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS lost_packets FROM lineitem
             WHERE CAST(l_quantity AS BIGINT) > 40 ORDER BY 3 DESC""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from callscope.queries import frames as f
 from callscope.queries.events import DAY_US, events, k, load, numbered
 from callscope.sinks.pcap import write_capture_files
 from callscope.sources.pcap import read_pcap
+from callscope.sinks.tables import CallsTable
 from callscope.sources.storage import scratch_table, shared_folder
+from callscope.streaming.calls import write_calls
 
 
 def longest_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +35,39 @@ def longest_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "t.turn", F.octet_length("t.text").alias("bytes"), F.col("t.text").alias("longest"))
 
 
+def order_changes(orders: DataFrame) -> DataFrame:
+    """Each order as a call that opens with its year (the table has a folder for each start date) and, unless it is open still, ends."""
+    key, at = F.col("o_orderkey"), F.unix_micros(F.date_trunc("year", F.col("o_orderdate").cast("timestamp")))
+    ends = F.array(F.lit(INSERT), F.lit(UPDATE))
+    kinds = F.when(F.col("o_orderstatus") == "O", F.slice(ends, 1, 1)).otherwise(ends)
+    rows = orders.withColumn("kind", F.explode(kinds))
+    update = F.col("kind") == UPDATE
+    return rows.select(
+        F.col("o_orderpriority").alias("instance_id"), key.cast("string").alias("call_id"), F.lit(0).cast("bigint").alias("call_seq"), "kind", at.alias("start_us"), at.alias("last_us"),
+        F.when(update, at + key).otherwise(at).alias("at_us"), F.when(~update, "active").when(F.col("o_orderstatus") == "F", "finished").otherwise("timedout").alias("state"),
+        F.when(update, F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string")).alias("sip_from"),
+        F.lit("").alias("sip_to"), F.lit(1).cast("bigint").alias("n_rows"),
+    )
+
+
+def calls_of_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """Three streams with checkpoints of their own into one calls table, folded after the second, read through the catalog at the end."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    folder = scratch_table(spark, "calls-of-streams")
+    table = CallsTable(spark, f"{folder}/sip_calls")
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    for k in range(3):
+        part = spark.readStream.schema(schema).parquet(f"{sf}/orders.parquet*").filter(F.col("o_orderkey") % 3 == k)
+        write_calls(order_changes(part), table, f"{folder}/progress-{k}", availableNow=True).awaitTermination()
+        if k == 1:
+            table.compact()
+    name = f"calls_{uuid.uuid4().hex}"
+    table.publish(name)
+    return spark.table(name).select("call_id", "instance_id", F.unix_micros("start_timestamp").alias("start_us"), F.unix_micros("end_timestamp").alias("end_us"), "state", "sip_from")
+
+
 def upsert_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders upserted into a stored table of every second customer, so that there are keys with a row and without one."""
     orders, customers = load(spark, sf, "orders"), load(spark, sf, "customer")
     current = customers.filter("c_custkey % 2 = 0").select(
         F.col("c_custkey").alias("call_id"), F.substring("c_name", F.lit(1), (F.col("c_custkey") % F.lit(18)).cast("int")).alias("sip_from"),
@@ -60,7 +96,7 @@ def nested_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nest_streams(spark: SparkSession, sf: str) -> DataFrame:
-    return nested_lines(spark, sf).select("l_orderkey", "part", F.to_json("items").alias("rtp_statistics"))
+    return nested_lines(spark, sf).select("l_orderkey", F.to_json("items").alias("rtp_statistics"))
 
 
 def nest_unnest(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +107,7 @@ def nest_unnest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unnest_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return unnest(nested_lines(spark, sf).drop("part")).filter("lost_packets <= 3")
+    return unnest(nested_lines(spark, sf)).filter("lost_packets <= 3")
 
 
 def call_lookup_query(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,7 @@ MIRROR = T.StructType([
     T.StructField("ts32", T.LongType()),
 ])
 
+# The fields of the delivered stream record.
 STREAM_STATISTICS = T.ArrayType(T.StructType([
     T.StructField("ssrc", T.StringType()),
     T.StructField("src_endpoint", T.StringType()),
@@ -37,11 +38,11 @@ STREAM_STATISTICS = T.ArrayType(T.StructType([
     T.StructField("ptime_ms", T.IntegerType()),
 ]))
 
+# The columns of the delivered calls table; ``call_seq`` is our own.
 SIP_CALLS = T.StructType([
     T.StructField("call_id", T.StringType(), False),
     T.StructField("instance_id", T.StringType(), False),
     T.StructField("call_seq", T.LongType(), False),
-    T.StructField("part", T.IntegerType(), False),
     T.StructField("start_timestamp", T.TimestampType(), False),
     T.StructField("end_timestamp", T.TimestampType()),
     T.StructField("pcap_filename", T.StringType()),

@@ -5,15 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from callscope.functions.values import micros
-from callscope.operators.slots import HOUR_US, SLOT, KeySlots
 from callscope.sources.pcap import MICRO_MAGIC
-from callscope.sources.storage import file_system
+from callscope.sources.storage import file_system, qualified
 
 SNAP_LENGTH = 65536
 
@@ -55,14 +54,15 @@ class CaptureFilesWriter(DataSourceArrowWriter):
                 system.move(f"{folder}/_{attempt}-{name}", f"{folder}/{name}")
 
         for batch in iterator:
-            for row in batch.to_pylist():
-                if row["file_name"] != name:
+            names = batch.column("file_name").to_pylist()
+            starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(names)]):
+                if names[start] != name:
                     finish()
-                    name = row["file_name"]
+                    name = names[start]
                     out = system.open_output_stream(f"{folder}/_{attempt}-{name}")
-                    out.write(struct.pack("<IHHiIII", MICRO_MAGIC, 2, 4, 0, 0, SNAP_LENGTH, row["link_type"]))
-                seconds, fraction = divmod(row["us"], 1_000_000)
-                out.write(struct.pack("<IIII", seconds, fraction, len(row["data"]), row["orig_len"]) + row["data"])
+                    out.write(struct.pack("<IHHiIII", MICRO_MAGIC, 2, 4, 0, 0, SNAP_LENGTH, batch.column("link_type")[start].as_py()))
+                out.write(_records(batch.slice(start, end - start)))
         finish()
         return WriterCommitMessage()
 
@@ -73,14 +73,18 @@ class CaptureFilesWriter(DataSourceArrowWriter):
         pass
 
 
-def write_capture_files(
-    spark: SparkSession, packets: DataFrame, path: str, file: str = "call_file", hot_rows: int | None = None, slot_us: int = HOUR_US
-) -> None:
-    """One capture file per call; a call with very many packets gets one file per time slot (``name.<slot>.pcap``)."""
+def _records(rows: pa.RecordBatch) -> bytes:
+    """Records of some rows: their heads are packed together, then laid between the frames."""
+    us, orig = rows.column("us").to_numpy(), rows.column("orig_len").to_numpy()
+    frames = rows.column("data").to_pylist()
+    heads = np.empty((len(frames), 4), "<u4")
+    heads[:, 0], heads[:, 1], heads[:, 2], heads[:, 3] = us // 1_000_000, us % 1_000_000, [len(f) for f in frames], orig
+    packed = heads.tobytes()
+    return b"".join(part for i, frame in enumerate(frames) for part in (packed[16 * i : 16 * i + 16], frame))
+
+
+def write_capture_files(spark: SparkSession, packets: DataFrame, path: str, file: str = "call_file") -> None:
+    """One capture file per call, under the call's own name. A capture file has one order, so one task writes it, however long the call: it streams its sorted packets."""
     spark.dataSource.register(CaptureFiles)
-    rows = KeySlots(packets.withColumn("us", micros("ts")), [file], F.col("us"), slot_us, hot_rows).rows
-    stem = F.regexp_replace(F.col(file), r"\.pcap$", "")
-    name = F.when(F.col(SLOT).isNotNull(), F.concat(stem, F.lit("."), F.col(SLOT).cast("string"), F.lit(".pcap"))).otherwise(F.col(file))
-    rows = rows.withColumn("file_name", name)
-    rows = rows.repartition("file_name").sortWithinPartitions("file_name", "us", "frame_no")
-    rows.select("file_name", "us", "orig_len", "link_type", "data").write.format("capture_files").mode("append").save(path)
+    rows = packets.withColumn("us", micros("ts")).withColumnRenamed(file, "file_name").repartition("file_name").sortWithinPartitions("file_name", "us", "frame_no")
+    rows.select("file_name", "us", "orig_len", "link_type", "data").write.format("capture_files").mode("append").save(qualified(spark, path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from callscope.operators.sessions import ACTIVE
 from callscope.operators.slots import MINUTE_US
 from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_changes
 from callscope.schemas import CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
+from callscope.sources.storage import finished, subfolders
 
 CHANGES_PER_US = 4
-#: A Call-ID used again is a new ``call_seq``; only calls with very many streams have more than ``part`` 0.
-CALLS_KEY = ["call_id", "instance_id", "call_seq", "part"]
+#: A Call-ID used again is a new ``call_seq``.
+CALLS_KEY = ["call_id", "instance_id", "call_seq"]
 
 
 def detected_calls(calls: DataFrame) -> DataFrame:
@@ -62,8 +65,7 @@ def write_outputs(calls: DataFrame, streams: DataFrame, path: str, sink: str = "
         append_csv(detected_calls(calls), f"{path}/detected_calls")
         append_csv(call_statistics(streams), f"{path}/call_statistics")
     elif sink == "table":
-        table = CallsTable(calls.sparkSession, f"{path}/sip_calls")
-        table.append(call_changes(calls, streams), table.next_batch())
+        CallsTable(calls.sparkSession, f"{path}/sip_calls").append(call_changes(calls, streams))
     else:
         raise ValueError("sink is 'csv' or 'table'")
     if fragments is not None:
@@ -82,14 +84,14 @@ def write_call_packets(packets: DataFrame, path: str) -> None:
 
 
 def nested_statistics(streams: DataFrame, keys: list[str]) -> DataFrame:
-    """``rtp_statistics`` per call; calls with very many streams give several parts."""
+    """``rtp_statistics``, one row per call."""
     return nest(streams, keys, stream_item()).withColumnRenamed("items", "rtp_statistics")
 
 
 def call_changes(calls: DataFrame, streams: DataFrame) -> DataFrame:
     """Each call as an insert at its start and an update at its newest state, in event-time order."""
     keys = ["instance_id", "call_id", "call_seq"]
-    rows = calls.join(nested_statistics(streams, keys), keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    rows = calls.join(nested_statistics(streams, keys), keys, "left")
     statistics = SIP_CALLS["rtp_statistics"].dataType
     start, end = F.unix_micros("start_ts"), F.unix_micros(F.coalesce("end_ts", "last_ts"))
     shared = [
@@ -132,69 +134,88 @@ def change_number(at_us: Column, kind: Column, state: Column) -> Column:
 class CallsTable:
     """The calls table as a base and a log of change batches, merged when read.
 
-    A batch costs what it holds, not what the table holds; ``compact`` folds the log into a new base now and then. Batches are folders
-    named by their number, so writing one again replaces it.
+    A batch is a folder named by who wrote it and its number with that writer, so writers never meet, and a batch written again replaces itself.
+    ``compact`` folds the log into a new base, which lists the batches it holds: what a reader still has to merge is every finished batch that isn't
+    listed, whenever it arrives. Merging touches the calls that the log names; all others pass through.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def append(self, changes: DataFrame, batch: int) -> None:
-        check_states(changes).write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch:012d}")
-
-    def next_batch(self) -> int:
-        return max([*self._numbers("changes", "batch"), *self._numbers("base", "upto"), -1]) + 1
+    def append(self, changes: DataFrame, batch: int = 0, writer: str | None = None) -> None:
+        """Add a batch. A writer that may have to repeat its batches names itself; without a name, each call is a writer of its own."""
+        folder = f"{self.path}/changes/writer={writer or uuid.uuid4().hex}/batch={batch:012d}"
+        check_states(changes).write.mode("overwrite").parquet(folder)
 
     def read(self) -> DataFrame:
-        upto = max(self._numbers("base", "upto"), default=-1)
-        return self._merged(upto)
+        base = self._base()
+        return self._merged(base, self._waiting(base))
 
     def compact(self) -> None:
-        """Write a new base from the base and all batches so far."""
-        upto = max(self._numbers("base", "upto"), default=-1)
-        newest = max(self._numbers("changes", "batch"), default=-1)
-        if newest > upto:
-            # A fold keeps one row per key; files sorted by start and state let readers of a time span or state skip most of them.
-            table = self._merged(upto).withColumn("start_date", F.to_date("start_timestamp"))
-            table = table.repartitionByRange("start_date", "start_timestamp").sortWithinPartitions("start_date", "state", "instance_id")
-            table.write.mode("overwrite").partitionBy("start_date").parquet(f"{self.path}/base/upto={newest:012d}")
-
-    def _merged(self, upto: int) -> DataFrame:
-        if upto >= 0:
-            base = self.spark.read.parquet(f"{self.path}/base/upto={upto:012d}").drop("start_date")
+        """Write a new base from the base and the batches that wait."""
+        base = self._base()
+        waiting = self._waiting(base)
+        if not waiting:
+            return
+        version = int(base.split("=")[1].split("-")[0]) + 1 if base else 0
+        folder = f"{self.path}/base/version={version:012d}-{uuid.uuid4().hex}"
+        # A fold keeps one row per key; files sorted by start and state let readers of a time span or state skip most of them.
+        table = self._merged(base, waiting).withColumn("start_date", F.to_date("start_timestamp"))
+        table = table.repartitionByRange("start_date", "start_timestamp").sortWithinPartitions("start_date", "state", "instance_id")
+        table.write.partitionBy("start_date").parquet(f"{folder}/rows")
+        # Written last: a base counts once its list is there. One name per batch, so the list is as long as the log, not the table.
+        names = sorted({*self._folded(base), *waiting})
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{folder}/holds")
+
+    def publish(self, name: str) -> None:
+        """Let the catalog show the table under a name: as of now, partitioned by start date."""
+        self.compact()
+        base = self._base()
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        create_calls_table(self.spark, name, f"{self.path}/base/{base}/rows" if base else None)
+        if base:
+            self.spark.sql(f"MSCK REPAIR TABLE {name}")
+
+    def _base(self) -> str | None:
+        """Folder name of the newest whole base."""
+        whole = [n for n in subfolders(self.spark, f"{self.path}/base") if finished(self.spark, f"{self.path}/base/{n}/holds")]
+        return max(whole, default=None)
+
+    def _folded(self, base: str | None) -> set[str]:
+        return {r["batch"] for r in self.spark.read.parquet(f"{self.path}/base/{base}/holds").collect()} if base else set()
+
+    def _waiting(self, base: str | None) -> list[str]:
+        """Finished batches that the base doesn't hold."""
+        folded, found = self._folded(base), []
+        for writer in subfolders(self.spark, f"{self.path}/changes"):
+            for batch in subfolders(self.spark, f"{self.path}/changes/{writer}"):
+                name = f"{writer}/{batch}"
+                if name not in folded and finished(self.spark, f"{self.path}/changes/{name}"):
+                    found.append(name)
+        return found
+
+    def _merged(self, base: str | None, waiting: list[str]) -> DataFrame:
+        if base:
+            rows = self.spark.read.parquet(f"{self.path}/base/{base}/rows").select(*SIP_CALLS.fieldNames())
         else:
-            base = self.spark.createDataFrame([], SIP_CALLS)
-        newer = [f"{self.path}/changes/batch={n:012d}" for n in self._numbers("changes", "batch") if n > upto]
-        if not newer:
-            return base
-        changes = self.spark.read.parquet(*newer)
+            rows = self.spark.createDataFrame([], SIP_CALLS)
+        if not waiting:
+            return rows
+        changes = self.spark.read.parquet(*[f"{self.path}/changes/{name}" for name in waiting])
+        keys = changes.select(*CALLS_KEY).distinct()
         folded = fold_changes(
-            base, changes, CALLS_KEY, "change_no",
+            rows.join(keys, CALLS_KEY, "left_semi"), changes, CALLS_KEY, "change_no",
             longest=["sip_from", "sip_to"],
             non_empty=["s3_location"],
             newest=["end_timestamp", "rtp_statistics", "updated_at"],
             fixed=["start_timestamp", "pcap_filename", "created_at"],
             slot_width=CHANGES_PER_US * MINUTE_US,
         )
-        return folded.select(*SIP_CALLS.fieldNames())
-
-    def _numbers(self, folder: str, name: str) -> list[int]:
-        """Numbers of the finished folders."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(root):
-            return []
-        found = []
-        for status in system.listStatus(root):
-            path = status.getPath()
-            if path.getName().startswith(f"{name}=") and system.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                found.append(int(path.getName().split("=")[1]))
-        return sorted(found)
+        return rows.join(keys, CALLS_KEY, "left_anti").unionByName(folded.select(*SIP_CALLS.fieldNames()))
 
 
 def create_calls_table(spark: SparkSession, name: str, location: str | None = None) -> None:
-    """Declare the calls table in the catalog, partitioned by start date."""
+    """Declare the calls table in the catalog, in the layout of a compacted base: partitioned by start date."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SIP_CALLS.fields)
     place = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, start_date DATE) USING parquet PARTITIONED BY (start_date){place}")

@@ -35,6 +35,36 @@ def qualified(spark: SparkSession, path: str) -> str:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path, sorted; none if the path isn't there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(root) if s.isDirectory())
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """True if a Spark job wrote this folder to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def kept_name(spark: SparkSession, folder: str) -> str:
+    """A name that is drawn once and then kept in a folder, so that all who share the folder share the name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder, "_name")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        out = system.create(place, False)
+        out.writeBytes(uuid.uuid4().hex)
+        out.close()
+    read = system.open(place)
+    try:
+        return read.readLine()
+    finally:
+        read.close()
+
+
 def file_system(path: str):
     """File system and path for a task: local paths, and what Arrow knows (HDFS, S3)."""
     from pyarrow import fs

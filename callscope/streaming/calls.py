@@ -18,6 +18,7 @@ from callscope.operators.sessions import ACTIVE, FINISHED, TIMED_OUT
 from callscope.operators.upsert import INSERT, UPDATE
 from callscope.schemas import SIP_CALLS
 from callscope.sinks.tables import CallsTable, change_number
+from callscope.sources.storage import kept_name
 
 CHANGES = (
     "instance_id string, call_id string, call_seq long, kind string, start_us long, last_us long, at_us long, state string, "
@@ -108,7 +109,6 @@ def table_changes(changes: DataFrame) -> DataFrame:
         "call_id",
         "instance_id",
         "call_seq",
-        F.lit(0).alias("part"),
         F.timestamp_micros("start_us").alias("start_timestamp"),
         F.when(F.col("state") != ACTIVE, at).alias("end_timestamp"),
         output_filename(F.col("call_id")).alias("pcap_filename"),
@@ -125,9 +125,13 @@ def table_changes(changes: DataFrame) -> DataFrame:
 
 
 def write_calls(changes: DataFrame, table: CallsTable, checkpoint: str, **trigger: Any) -> StreamingQuery:
-    """Append each micro-batch to the log of the calls table. A repeated micro-batch replaces its own folder: nothing is lost or doubled."""
+    """Append each micro-batch to the log of the calls table.
+
+    The stream's name as a writer lies beside its checkpoint: a repeated micro-batch replaces its own folder, and streams with other checkpoints never touch it.
+    """
+    writer = kept_name(table.spark, f"{checkpoint.rstrip('/')}-writer")
     return (
-        changes.writeStream.foreachBatch(lambda batch, number: table.append(table_changes(batch), number))
+        changes.writeStream.foreachBatch(lambda batch, number: table.append(table_changes(batch), number, writer))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()

@@ -203,7 +203,7 @@ def test_tables(spark, tmp_path, analysis):
     want = {(r.call_id, r.call_seq): r.state for r in result.calls.collect()}
     assert {(r.call_id, r.call_seq): r.state for r in stored.collect()} == want
     table.compact()
-    table.append(call_changes(result.calls, result.streams), table.next_batch())
+    table.append(call_changes(result.calls, result.streams))
     assert {(r.call_id, r.call_seq): r.state for r in table.read().collect()} == want
     assert calls_by_state(stored, "finished").count() == sum(s == "finished" for s in want.values())
     losses = [r.lost_packets for r in worst_loss_first(stored, 0).collect()]
