@@ -73,20 +73,34 @@ def attach_media(
     ``scope`` holds further key columns of both sides, such as the instance.
     """
 
-    def look_up(rows: DataFrame, side: str) -> DataFrame:
-        keys = [*scope, f"{side}_ip", f"{side}_port"]
-        regs = registrations.withColumnsRenamed({"ip": f"{side}_ip", "port": f"{side}_port"})
-        return attach_asof(rows, regs, keys, order, owner, ts, until, hot_rows, slot_us)
-
+    shared = (registrations, order, owner, ts, until, scope, hot_rows, slot_us)
     # Read three times below; packets are looked up by destination only once.
-    by_dst = stored(look_up(packets, "dst"), "by-destination")
+    by_dst = stored(attach_side(packets, "dst", *shared), "by-destination")
     taken = F.col(owner[0]).isNotNull()
-    by_src = look_up(by_dst.filter(~taken).drop(*owner), "src")
+    by_src = attach_side(by_dst.filter(~taken).drop(*owner), "src", *shared)
     return by_dst.filter(taken).withColumn("matched_by", F.lit("dst")).unionByName(
         by_src.filter(taken).withColumn("matched_by", F.lit("src"))
     )
 
 
+def attach_side(
+    packets: DataFrame,
+    side: str,
+    registrations: DataFrame,
+    order: Sequence[str],
+    owner: Sequence[str],
+    ts: str = "ts",
+    until: str | None = None,
+    scope: Sequence[str] = (),
+    hot_rows: int | None = None,
+    slot_us: int = MINUTE_US,
+) -> DataFrame:
+    """The owner of each packet's endpoint on one side (``dst`` or ``src``), null without one."""
+    keys = [*scope, f"{side}_ip", f"{side}_port"]
+    named = registrations.withColumnsRenamed({"ip": f"{side}_ip", "port": f"{side}_port"})
+    return attach_asof(packets, named, keys, order, owner, ts, until, hot_rows, slot_us)
+
+
 def endpoint_intervals(
     registrations: DataFrame,
     keys: Sequence[str],

@@ -282,7 +282,8 @@ def reassemble(
     keys = [*scope, *FRAGMENT_KEYS]
     replaced = {*keys, at, ts, "ip_payload", "more_fragments", "fragment_offset"}
     keep = [c for c in packets.columns if c not in replaced]
-    whole = datagrams(packets.filter(fragment), keys, at, ts, "ip_payload", keep, timeout_us, None, hot_rows, slot_us)
+    whole = datagrams(packets.filter(fragment), keys, at, ts, "ip_payload", keep, timeout_us, F.lit(0), hot_rows, slot_us)
+    # Only complete ones are used, whose status does not depend on where the capture ends.
     whole = whole.filter("status = 'reassembled'").select(
         *keys,
         F.col("last_at").alias(at),

@@ -13,7 +13,7 @@ from callscope.functions.privacy import privacy_decision, zero_payload
 from callscope.functions.sdp import DEFAULT_PTIME, explode_endpoints, parse_bodies
 from callscope.functions.sip import is_answer, parse_messages, valid_messages
 from callscope.functions.values import micros, position
-from callscope.operators.attach import attach_media
+from callscope.operators.attach import attach_media, attach_side
 from callscope.operators.fragments import reassemble
 from callscope.operators.filters import is_media_candidate, is_signalling, non_empty, source_filter
 from callscope.operators.packets import IP_COLUMNS, decapsulate, decode_ip, decode_rtp, decode_transport
@@ -25,6 +25,8 @@ from callscope.sources.storage import stored
 
 CALL = ["instance_id", "call_id"]
 ORDER = ["ts", "frame_no"]
+FRAME = ["instance_id", "capture_file", *ORDER]
+OWNER = ["call_id", "registered"]
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,7 @@ def decode_datagrams(packets: DataFrame, options: Options) -> DataFrame:
     whole = dict(scope=["instance_id"], timeout_us=options.fragment_timeout_us, hot_rows=options.hot_rows, slot_us=options.slot_us)
     rows = decode_ip(packets)
     if options.mirror_enabled:
+        rows = source_filter(rows, options.source_filter, mirror_mode=True)
         if options.reassemble:
             rows = reassemble(rows, **whole)
         rows = decapsulate(rows, options.mirror_span_ids, options.mirror_vlans)
@@ -169,17 +172,23 @@ def analyse_calls(packets: DataFrame, options: Options, capture_end_us: Column |
     """
     datagrams = stored(decode_datagrams(packets, options), "datagrams")
     if capture_end_us is None:
-        capture_end_us = packets.agg(F.max(micros("ts")).alias("end")).scalar()
+        # Taken once: calls and streams use the number, not the captures.
+        capture_end_us = F.lit(packets.agg(F.max(micros("ts"))).first()[0]).cast("bigint")
     messages = stored(signalling_messages(datagrams, options).drop("data", "body"), "messages")
     registrations = stored(endpoint_registrations(messages, options), "registrations")
     candidates = datagrams.filter(is_media_candidate(options.ports)).select(
         "instance_id", *ORDER, "capture_file", "src_ip", "src_port", "dst_ip", "dst_port", "seq", "ssrc", "mirror"
     )
-    media = stored(attach_media(
-        candidates, registrations, ORDER, ["call_id", "registered"], until="ended", scope=["instance_id"],
-        hot_rows=options.hot_rows, slot_us=options.slot_us,
-    ).drop("matched_by"), "media")
-    timeline = stored(call_timeline(messages, media, options), "timeline")
+    looked_up = dict(until="ended", scope=["instance_id"], hot_rows=options.hot_rows, slot_us=options.slot_us)
+    media = stored(attach_media(candidates, registrations, ORDER, OWNER, **looked_up), "media")
+    timeline = stored(call_timeline(messages, media.drop("matched_by"), options), "timeline")
+    # A call that has timed out holds no endpoint: its media is tried again by the source, and what that finds may keep other calls open. Each
+    # pass moves packets from destination to source only, so there are as many passes as calls that wait for each other, and usually none.
+    while not (missed := stored(missed_media(media, timeline), "missed")).isEmpty():
+        again = attach_side(missed.drop(*OWNER, "matched_by"), "src", registrations, ORDER, OWNER, **looked_up)
+        found = again.filter(F.col(OWNER[0]).isNotNull()).withColumn("matched_by", F.lit("src"))
+        media = stored(media.join(missed.select(*FRAME), FRAME, "left_anti").unionByName(found), "media")
+        timeline = stored(call_timeline(messages, media.drop("matched_by"), options), "timeline")
     calls = stored(summarise_calls(timeline, capture_end_us, options), "calls")
     streams = call_streams(timeline, calls, capture_end_us, options)
     return CallAnalysis(datagrams, messages, registrations, timeline, calls, streams)
@@ -209,5 +218,10 @@ def call_packets(analysis: CallAnalysis, options: Options) -> DataFrame:
     return rows.drop("payload_at", "payload_size")
 
 
+def missed_media(media: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Packets attached by their destination that the timeline left out, as the call had timed out."""
+    return media.filter("matched_by = 'dst'").join(timeline.filter("method IS NULL").select(*FRAME), FRAME, "left_anti")
+
+
 def _position_type(media: DataFrame):
     return media.schema["registered"].dataType

@@ -236,6 +236,21 @@ def test_mirrored_and_fragmented(spark, tmp_path):
     assert [(r.call_id, r.span_id, r.vlan, r.version, r.packet_count) for r in sessions] == [("m", 5, 100, 1, 1)]
 
 
+def test_source_takes_media_of_timed_out_calls(spark, tmp_path):
+    """A call goes silent; later its endpoint gets media from the endpoint of a live call, which that media keeps alive."""
+    second = 1_000_000
+    invite = lambda name, ip, port: c.frame("1.1.1.1", 5060, "2.2.2.2", 5060, c.sip("INVITE", name, body=c.sdp(ip, port)))
+    records = [(T0, invite("silent", "10.0.0.1", 10000)), (T0 + second, invite("live", "10.0.0.2", 20000)), (T0 + 8 * second, invite("live", "10.0.0.2", 20000))]
+    records += [(T0 + (10 + i) * second, c.frame("10.0.0.2", 20000, "10.0.0.1", 10000, c.rtp(i, 5))) for i in range(9)]
+    c.write_pcap(tmp_path / "s.pcap", records)
+    options = Options("5060-5061", call_timeout_us=5 * second)
+    result = analyse_calls(read_pcap(spark, str(tmp_path / "s.pcap")).checkpoint(), options)
+    got = {(r.call_id, r.call_seq): (r.media_packets, r.state) for r in result.calls.collect()}
+    assert got.pop(("silent", 0)) == (0, "timedout")
+    assert sum(n for n, _ in got.values()) == 9 and {k for k, _ in got} == {"live"}
+    assert [(r.call_id, r.packet_count, r.lost_packets) for r in result.streams.collect()] == [("live", 9, 0)]
+
+
 @pytest.mark.parametrize("order,nano", [("<", False), (">", False), ("<", True), (">", True)])
 def test_capture_formats(spark, tmp_path, order, nano):
     records = [(T0 + i * 1000, bytes([i]) * (i + 1)) for i in range(50)]
