@@ -27,6 +27,8 @@ SAMPLE_CHARS = 8192
 #: A task starts another file when one has this many packed bytes.
 FILE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+#: Tasks that read archives, at most; each takes several files if there are more.
+READ_TASKS = 20_000
 LEVEL = 3
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,7 +196,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes = b"", lev
 
 def read_archives(files: DataFrame) -> DataFrame:
     """
-    All records of the archives named in column `path`, one task per file and one record in memory at a time; see READ for the columns.
+    All records of the archives named in column `path`, each file read by one task and one record at a time; see READ for the columns.
 
     A file that isn't whole fails the job with BadArchive and its name. No files give no rows.
     """
@@ -229,7 +231,9 @@ def read_archives(files: DataFrame) -> DataFrame:
                         held, size = [], 0
             yield batch_of(held)
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, READ)
+    # Names are small, what they name is not: dealt out by number, as Spark would put all names into one task by their size.
+    tasks = min(max(1, files.count()), READ_TASKS)
+    return files.select("path").repartition(tasks).mapInArrow(run, READ)
 
 
 def page_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
