@@ -70,13 +70,15 @@ def base_failed() -> Column:
 
 def common_lines(lines: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """
-    (host, key) of lines (host, row, lines) in over `documents` documents of a host and over `share` of these; null is a host like others.
+    (host, key) of lines (host, text_key, lines) in over `documents` distinct documents of a host and over `share` of these; null is a host like others.
 
-    A document's line counts once. Counts are summed where the rows are read, so a line that all documents share costs each task one row.
+    Rows with the same text are one document, and a document's line counts once. Copies and counts are put together where the rows are read, so a
+    text or a line that all rows share costs each task one row.
     """
-    seen = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key"))
+    once = lines.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
+    seen = once.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key"))
     often = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > documents)
-    hosts = lines.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("of"))
+    hosts = lines.groupBy("host").agg(F.count_distinct("text_key").alias("of")).withColumnRenamed("host", "_host")
     return often.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > share * F.col("of")).select("host", "key")
 
 
@@ -84,11 +86,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     One row for each row of `docs`: id, the measures, base_failed, removed_lines (array of keys), removed_words, and kept.
 
-    A row is kept if it passes the base rules and removed lines held at most `most_removed` of its words. Repeated rows are documents of
-    their own; nulls count as above; an empty table gives an empty result.
+    A row is kept if it passes the base rules and removed lines held at most `most_removed` of its words. Repeated rows are judged alike;
+    nulls count as above; an empty table gives an empty result.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    rows = stored(measured(named).drop("text").withColumn("row", F.monotonically_increasing_id()), "measures")
+    keyed = measured(named).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text")
+    rows = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "measures")
     common = common_lines(rows, documents, share).select(F.col("host").alias("_host"), F.col("key").alias("_key"))
     single = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.key", "line.words")
     removed = (

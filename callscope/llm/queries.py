@@ -159,11 +159,11 @@ WITH own AS (
 ), repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, w) AS n FROM windows) WHERE n > 1
 ), covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY row
 ), single AS (
-  SELECT row, source, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-  FROM (SELECT row, source, unnest(lines) AS line FROM own)
-), hosts AS (SELECT source, count(*) AS n FROM own GROUP BY source
+  SELECT row, source, text, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT row, source, text, unnest(lines) AS line FROM own)
+), hosts AS (SELECT source, count(DISTINCT text) AS n FROM own GROUP BY source
 ), common AS (
-  SELECT c.source, c.key FROM (SELECT source, key, count(DISTINCT row) AS n FROM single GROUP BY source, key) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+  SELECT c.source, c.key FROM (SELECT source, key, count(DISTINCT text) AS n FROM single GROUP BY source, key) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
   WHERE c.n > 20 AND c.n > 0.01 * h.n
 ), removed AS (SELECT row, sum(words) AS n FROM single s JOIN common c ON s.key = c.key AND s.source IS NOT DISTINCT FROM c.source GROUP BY row
 ), measured AS (
