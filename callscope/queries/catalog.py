@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "sessionize_events": e.sessionize_events,
+        "closed_calls": e.closed_calls,
+        "null_groups": e.null_groups,
         "state_counts": e.state_counts_query,
         "active_calls": e.active_calls,
         "inter_arrival": e.inter_arrival_query,

@@ -61,6 +61,18 @@ def sessionize_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def closed_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions when the end of the input ends what is still open."""
+    rows = sessionize(events(spark, sf), ["user_id"], ORDER, signs_up(), fails(), DAY_US, close_at_end=True, slot_us=HOUR_US)
+    return rows.select("user_id", "call_seq", micros("end_ts").alias("end_us"), "state")
+
+
+def null_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Inter-arrival over streams one of which has no name."""
+    rows = events(spark, sf).withColumn("user_id", F.nullif(F.col("user_id") % F.lit(7), F.lit(0)))
+    return delta_statistics(rows, ["user_id"], ORDER, slot_us=HOUR_US)
+
+
 def state_counts_query(spark: SparkSession, sf: str) -> DataFrame:
     return state_counts(sessions(spark, sf))
 

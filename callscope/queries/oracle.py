@@ -76,6 +76,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "sessionize_events": sessions + """SELECT user_id, call_seq, start_us, last_us,
             CASE WHEN state <> 'active' THEN last_us END AS end_us, n_rows, state FROM calls""",
+        "closed_calls": sessions + """SELECT user_id, call_seq, CASE WHEN state = 'active' THEN (SELECT max(epoch_us(ts)) FROM events) ELSE last_us END AS end_us,
+            CASE WHEN state = 'active' THEN 'finished' ELSE state END AS state FROM calls""",
+        "null_groups": f"""WITH {_EVENTS}, g AS (SELECT * REPLACE (nullif(user_id % 7, 0) AS user_id) FROM e), {_sequence('g', 'user_id')}
+            SELECT user_id, packet_count, max_delta_ms, min_delta_ms, avg_delta_ms FROM stats""",
         "state_counts": sessions + """SELECT count(*) AS total_calls, count(*) FILTER (state = 'active') AS active_calls,
             count(*) FILTER (state = 'finished') AS finished_calls, count(*) FILTER (state = 'timedout') AS timedout_calls FROM calls""",
         "active_calls": sessions + "SELECT user_id, start_us, n_rows FROM calls WHERE state = 'active' ORDER BY start_us DESC",
