@@ -25,6 +25,7 @@ SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 
 RANGES = "capture_file string, start long, stop long, first_frame long, little boolean, nano boolean, link_type int"
+REST = "capture_file string, at long, bytes long"
 LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -55,11 +56,19 @@ def load_packets(spark: SparkSession, path: str | None = None, stream: str | Non
     return read_pcap(spark, path, **options) if path is not None else stream_pcap(spark, stream, **options)
 
 
-def _decode(spark: SparkSession, files: DataFrame, instance_id: str, split_bytes: int, tasks: int | None) -> DataFrame:
+def unread_bytes(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES, tasks: int | None = None) -> DataFrame:
+    """(capture_file, at, bytes) of what follows the last whole record: frames stop there, as in a file cut off while it was written."""
+    return _ranges(spark, spark.read.format("binaryFile").load(path), split_bytes, tasks).mapInArrow(_range_reader(rest_only=True), REST)
+
+
+def _ranges(spark: SparkSession, files: DataFrame, split_bytes: int, tasks: int | None) -> DataFrame:
     # A plain number keeps adaptive execution from merging the few bytes that describe the ranges into one task.
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism
-    ranges = files.select("path", "length").mapInArrow(_cutter(split_bytes), RANGES)
-    frames = ranges.repartition(tasks, "capture_file", "start").mapInArrow(_range_reader(), PACKETS)
+    return files.select("path", "length").mapInArrow(_cutter(split_bytes), RANGES).repartition(tasks, "capture_file", "start")
+
+
+def _decode(spark: SparkSession, files: DataFrame, instance_id: str, split_bytes: int, tasks: int | None) -> DataFrame:
+    frames = _ranges(spark, files, split_bytes, tasks).mapInArrow(_range_reader(), PACKETS)
     return frames.withColumn("instance_id", F.lit(instance_id))
 
 
@@ -78,12 +87,15 @@ def _cutter(split_bytes: int):
                     ranges = []
                     start, frame, at, first = FILE_HEADER, 1, FILE_HEADER, 1
                     order = "<" if little else ">"
+                    block, base = b"", 0
                     while size > split_bytes and at + RECORD_HEADER <= size:
                         if at - start >= split_bytes:
                             ranges.append((start, at, first))
                             start, first = at, frame
-                        file.seek(at + 8)
-                        (stored,) = struct.unpack(order + "I", file.read(4))
+                        if at + RECORD_HEADER > base + len(block):  # heads are walked in memory: one request per block, not per record
+                            file.seek(at)
+                            block, base = file.read(BATCH_BYTES), at
+                        (stored,) = struct.unpack_from(order + "I", block, at - base + 8)
                         at += RECORD_HEADER + stored
                         frame += 1
                     ranges.append((start, size, first))
@@ -106,7 +118,7 @@ def _file_header(head: bytes, path: str) -> tuple[bool, bool, int]:
     raise ValueError(f"not a capture file: {path}")
 
 
-def _range_reader():
+def _range_reader(rest_only: bool = False):
     names = [f.name for f in PACKETS.fields]
     schema = pa.schema([
         ("capture_file", pa.string()), ("frame_no", pa.int64()), ("ts", pa.timestamp("us", tz="UTC")), ("cap_len", pa.int32()),
@@ -143,7 +155,10 @@ def _range_reader():
                             frame += 1
                             at = stop
                         buffer = buffer[at:]
-                        if rows:
+                        if rows and not rest_only:
                             yield flush(rows)
+                    if rest_only and buffer:
+                        left_over = [[r["capture_file"]], [r["stop"] - len(buffer)], [len(buffer)]]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in left_over], names=["capture_file", "at", "bytes"])
 
     return read

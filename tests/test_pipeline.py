@@ -12,7 +12,7 @@ from callscope.plans.calls import analyse_calls, call_packets
 from callscope.plans.reports import call_lookup, calls_by_state, worst_loss_first
 from callscope.sinks.pcap import write_capture_files
 from callscope.sinks.tables import CallsTable, call_changes, call_statistics, detected_calls, write_call_packets, write_outputs
-from callscope.sources.pcap import load_packets, read_pcap
+from callscope.sources.pcap import load_packets, read_pcap, unread_bytes
 from tests import capture as c
 
 S = 1_000_000
@@ -260,6 +260,17 @@ def test_capture_formats(spark, tmp_path, order, nano):
     assert [r.frame_no for r in rows] == list(range(1, 51))
 
 
+def test_cut_off_capture(spark, tmp_path):
+    records = [(T0 + i, bytes([i]) * 40) for i in range(30)]
+    c.write_pcap(tmp_path / "cut.pcap", records)
+    data = (tmp_path / "cut.pcap").read_bytes()
+    (tmp_path / "cut.pcap").write_bytes(data[:-7])
+    c.write_pcap(tmp_path / "whole.pcap", records)
+    for split in (200, 1 << 20):
+        assert read_pcap(spark, str(tmp_path / "*.pcap"), split_bytes=split).count() == 59
+        assert [(r.at, r.bytes) for r in unread_bytes(spark, str(tmp_path / "*.pcap"), split_bytes=split).collect()] == [(len(data) - 56, 49)]
+
+
 def test_one_source_only(spark):
     with pytest.raises(ValueError):
         load_packets(spark)
