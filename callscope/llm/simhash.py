@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined.join(nodes, F.col("node") == F.col("fingerprint")).groupBy("component").agg(F.min("least").alias("smallest"))
     )
     linked = joined.join(groups, "component").select(F.col("node").alias("fingerprint"), "smallest")
-    named = nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("smallest", "least").alias("component"))
+    # Stored, so that the last join is one plain join, whose partition of a text copied very often Spark can split.
+    named = stored(nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("smallest", "least").alias("component")), "groups")
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component")
 
 
