@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ROWS = 1000
+
 
 def map_rows(df: DataFrame, columns: list[str], row: Callable[..., tuple], schema: str, keep: list[str] | None = None) -> DataFrame:
     """
     One output row per input row: the columns of `keep`, then what `row(*values)` returns for the fields of `schema`.
 
-    Values are taken out of the batch one row at a time, so a task holds one batch and the results for it, whatever the
-    length of the texts.
+    Values are taken out of the batch one row at a time and results handed on some rows at a time, so a task holds one batch and the
+    results of ROWS of it.
     """
     kept = keep or []
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields] + [schema])
@@ -22,11 +24,13 @@ def map_rows(df: DataFrame, columns: list[str], row: Callable[..., tuple], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [batch.column(c) for c in columns]
-            out = [row(*(v[i].as_py() for v in values)) for i in range(batch.num_rows)]
-            made = [pa.array([r[k] for r in out], target.field(name).type) for k, name in enumerate(names)]
-            carried = [batch.column(c).cast(target.field(c).type) for c in kept]
-            yield pa.RecordBatch.from_arrays(carried + made, schema=target)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                values = [part.column(c) for c in columns]
+                out = [row(*(v[i].as_py() for v in values)) for i in range(part.num_rows)]
+                made = [pa.array([r[k] for r in out], target.field(name).type) for k, name in enumerate(names)]
+                carried = [part.column(c).cast(target.field(c).type) for c in kept]
+                yield pa.RecordBatch.from_arrays(carried + made, schema=target)
 
     return df.select(*dict.fromkeys([*kept, *columns])).mapInArrow(run, fields)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from callscope.llm.batches import map_rows
 
 #: Words, and pairs of tokens, whose outcome a worker remembers of late.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: What this encoder stands for: other tokenizer files are refused.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
