@@ -15,8 +15,10 @@ from callscope.llm.simhash import forest
 from callscope.sources.storage import stored
 
 COSINE = 0.93
-#: A shard is split again while it has over so many vectors; centres a shard is split by, at most; shards a vector goes to in a split.
+#: Vectors of one label are split if there are over so many, and a part of them again if it still has over WHOLE times that; centres a shard is split by, at most; shards a
+#: vector goes to in a split. A part that is a little too large stays whole: splitting it doubles its vectors and hardly makes it smaller.
 SHARD = 1000
+WHOLE = 4
 FAN = 128
 OVERLAP = 2
 #: Splits in a row, at most: what still hangs together then stays whole, however large.
@@ -87,6 +89,34 @@ def _lists(neighbours: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int, cosine: float, beam: int, found: np.ndarray, seen: np.ndarray, opened: np.ndarray) -> None:
+    """Best-first walks of some queries from the medoid; notes what they found, saw and left."""
+    best, score = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf)
+    best[:, 0], score[:, 0] = medoid, x[queries] @ x[medoid]
+    seen[queries, medoid] = True
+    found[queries, medoid] = score[:, 0] >= cosine
+    active = np.arange(len(queries))
+    while len(active):
+        rows = queries[active]
+        waiting = np.where((best[active] >= 0) & ~opened[rows[:, None], np.maximum(best[active], 0)], score[active], -np.inf)
+        place = waiting.argmax(axis=1)
+        going = waiting[np.arange(len(active)), place] > -np.inf
+        active, rows, place = active[going], rows[going], place[going]
+        if not len(active):
+            break
+        node = best[active, place]
+        opened[rows, node] = True
+        next_ = lists[node]
+        fresh = (next_ >= 0) & ~seen[rows[:, None], next_]
+        near = np.where(fresh, np.einsum("qk,qdk->qd", x[rows], x[next_], optimize=True), -np.inf)
+        q, d = np.nonzero(fresh)
+        seen[rows[q], next_[q, d]] = True
+        found[rows[q], next_[q, d]] = near[q, d] >= cosine
+        ids, scores = np.hstack([best[active], np.where(fresh, next_, -1)]), np.hstack([score[active], near])
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :beam]
+        best[active], score[active] = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+
+
 def range_search(x: np.ndarray, lists: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> np.ndarray:
     """
     A table of the pairs found with a cosine of `cosine` or more, each row being a query.
@@ -98,31 +128,11 @@ def range_search(x: np.ndarray, lists: np.ndarray, cosine: float = COSINE, beam:
     found, seen, opened = (np.zeros((n, n), bool) for _ in range(3))
     if n < 2:
         return found
-    queries = np.arange(n)
     medoid = int((x @ x.mean(axis=0)).argmax())
-    best, score = np.full((n, beam), -1, np.int64), np.full((n, beam), -np.inf)
-    best[:, 0], score[:, 0] = medoid, x @ x[medoid]
-    seen[:, medoid] = True
-    found[:, medoid] = score[:, 0] >= cosine
-    active = queries
-    while len(active):
-        waiting = np.where((best[active] >= 0) & ~np.take_along_axis(opened[active], np.maximum(best[active], 0), 1), score[active], -np.inf)
-        place = waiting.argmax(axis=1)
-        going = waiting[np.arange(len(active)), place] > -np.inf
-        active, place = active[going], place[going]
-        if not len(active):
-            break
-        node = best[active, place]
-        opened[active, node] = True
-        next_ = lists[node]
-        fresh = (next_ >= 0) & ~seen[active[:, None], next_]
-        near = np.where(fresh, np.einsum("qk,qdk->qd", x[active], x[next_], optimize=True), -np.inf)
-        q, d = np.nonzero(fresh)
-        seen[active[q], next_[q, d]] = True
-        found[active[q], next_[q, d]] = near[q, d] >= cosine
-        ids, scores = np.hstack([best[active], np.where(fresh, next_, -1)]), np.hstack([score[active], near])
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :beam]
-        best[active], score[active] = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+    # Queries don't see each other, so they go in blocks that bound what is gathered at once.
+    block = max(16, (1 << 22) // (lists.shape[1] * x.shape[1]))
+    for start in range(0, n, block):
+        _greedy(x, lists, np.arange(start, min(start + block, n)), medoid, cosine, beam, found, seen, opened)
     step = max(1, (1 << 20) // lists.shape[1])
     while True:
         q, node = np.nonzero(found & ~opened)
@@ -200,18 +210,18 @@ def shards(classes: DataFrame, size: int = SHARD, fan: int = FAN, overlap: int =
     """
     (node, copies, vector, shard) from classes (node, copies, label, vector): vectors of different labels or lengths never share a shard.
 
-    A shard over `size` is split by some of its own vectors, those whose ids hash lowest, and each vector goes to its `overlap` nearest of them; this
+    A shard over `size` (a part of one: over WHOLE times that) is split by some of its own vectors, those whose ids hash lowest, and each vector goes to its `overlap` nearest of them; this
     goes on until all are small. Each split is dealt out in slices of some ten thousand rows, whose centres travel along, so a label that holds most rows is split by many tasks.
     """
     now = stored(classes.select("node", "copies", "vector", F.xxhash64("label", F.size("vector")).alias("shard")), "shards")
     done: DataFrame | None = None
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         sizes = stored(now.groupBy("shard").agg(F.count("*").alias("n")), "shard-sizes")
-        large = sizes.where(F.col("n") > size)
+        large = sizes.where(F.col("n") > (size if level == 0 else WHOLE * size))
         small = now.join(large, "shard", "left_anti")
         done = small if done is None else done.unionByName(small)
         if large.isEmpty():
-            return stored(done.distinct(), "shards")
+            return stored(done, "shards")
         rows = now.join(large, "shard").withColumn("salts", F.ceil(F.col("n") / (20 * size)))
         draw = F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) / float(1 << 30)
         wanted = F.least(F.lit(fan), F.ceil(4 * F.col("n") / size))
@@ -225,7 +235,7 @@ def shards(classes: DataFrame, size: int = SHARD, fan: int = FAN, overlap: int =
         )
         dealt = parts.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "centre")
         now = stored(_assign(dealt, overlap), "shards")
-    return stored(done.unionByName(now).distinct(), "shards")
+    return stored(done.unionByName(now), "shards")
 
 
 def graph(members: DataFrame) -> DataFrame:
@@ -233,9 +243,8 @@ def graph(members: DataFrame) -> DataFrame:
     schema = to_arrow("node bigint, neighbours array<bigint>")
 
     def build(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        nodes, picked = nodes[order], pruned_graph(unit_rows(table)[order])
+        nodes, order = np.unique(table.column("node").to_numpy(), return_index=True)
+        picked = pruned_graph(unit_rows(table)[order])
         lists = [nodes[row[row >= 0]] for row in picked]
         return pa.table([pa.array(nodes), pa.array(lists, schema.field(1).type)], schema=schema)
 
@@ -251,9 +260,8 @@ def search(members: DataFrame, lists: DataFrame, cosine: float = COSINE) -> Data
     schema = to_arrow(PAIRS)
 
     def find(table: pa.Table) -> pa.Table:
-        nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        nodes, copies, x = nodes[order], copies[order], unit_rows(table)[order]
+        nodes, order = np.unique(table.column("node").to_numpy(), return_index=True)
+        copies, x = table.column("copies").to_numpy()[order], unit_rows(table)[order]
         held = table.column("neighbours").combine_chunks()
         local = []
         for i in order:
