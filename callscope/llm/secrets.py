@@ -117,7 +117,10 @@ def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Models of random and ordinary strings. Ordinary ones are labelled samples from `docs`: words outside every base span, too short to be judged themselves, of the
     `sample_docs` documents whose ids hash lowest, up to `words` words that hash lowest of theirs. Without documents, all strings of the random kind score high.
     """
-    picked = docs.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(F.col(text_col).alias("text")).limit(sample_docs)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Ids are sorted without their texts; the list is bounded by the parameter, so it may be sent to every task.
+    lowest = named.where("id IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    picked = named.join(F.broadcast(lowest), "id")
 
     def ordinary(text: str | None) -> tuple[list[str]]:
         text = text or ""
