@@ -90,11 +90,13 @@ def _lists(neighbours: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def _greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int, cosine: float, beam: int, found: np.ndarray, seen: np.ndarray, opened: np.ndarray) -> None:
-    """Best-first walks of some queries from the medoid; notes what they found, saw and left."""
+    """Best-first walks of some queries from the medoid and from themselves; notes what they found, saw and left."""
     best, score = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf)
     best[:, 0], score[:, 0] = medoid, x[queries] @ x[medoid]
-    seen[queries, medoid] = True
+    best[:, 1], score[:, 1] = queries, 1
+    seen[queries, medoid] = seen[queries, queries] = True
     found[queries, medoid] = score[:, 0] >= cosine
+    found[queries, queries] = True
     active = np.arange(len(queries))
     while len(active):
         rows = queries[active]
@@ -117,12 +119,36 @@ def _greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, medoid: int,
         best[active], score[active] = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
 
 
+def _pieces(lists: np.ndarray) -> np.ndarray:
+    """For each row, the first row of the piece of the graph it is in."""
+    piece = np.full(len(lists), -1, np.int64)
+    for root in range(len(lists)):
+        front = np.array([root] if piece[root] < 0 else [], np.int64)
+        while len(front):
+            piece[front] = root
+            next_ = np.unique(lists[front])
+            front = next_[(next_ >= 0) & (piece[next_] < 0)]
+    return piece
+
+
+def _starts(x: np.ndarray, piece: np.ndarray, cosine: float, found: np.ndarray, seen: np.ndarray) -> None:
+    """Notes, for each row as a query, the nearest row of every piece that has any within range: no walk leads from one piece to another."""
+    order = np.argsort(piece, kind="stable")
+    first = np.flatnonzero(np.diff(piece[order], prepend=-1))
+    sizes = np.diff(first, append=len(order))
+    for start in range(0, len(x), BLOCK):
+        near = x[start : start + BLOCK] @ x[order].T
+        q, at = np.nonzero((near >= cosine) & (near == np.repeat(np.maximum.reduceat(near, first, axis=1), sizes, axis=1)))
+        found[start + q, order[at]] = seen[start + q, order[at]] = True
+
+
 def range_search(x: np.ndarray, lists: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> np.ndarray:
     """
     A table of the pairs found with a cosine of `cosine` or more, each row being a query.
 
-    A query walks greedily from the medoid, always on from the best of its `beam` best that it hasn't left yet. When it has left all of them, the
-    range grows: from every row found within it the walk goes on to all neighbours, until nothing new is within.
+    A query walks greedily from the medoid and from itself, always on from the best of its `beam` best that it hasn't left yet. When it has left all of
+    them, the range grows: from every row found within it the walk goes on to all neighbours, until nothing new is within. Where the graph is in several
+    pieces, the nearest row of each is one to go on from.
     """
     n = len(x)
     found, seen, opened = (np.zeros((n, n), bool) for _ in range(3))
@@ -133,6 +159,9 @@ def range_search(x: np.ndarray, lists: np.ndarray, cosine: float = COSINE, beam:
     block = max(16, (1 << 22) // (lists.shape[1] * x.shape[1]))
     for start in range(0, n, block):
         _greedy(x, lists, np.arange(start, min(start + block, n)), medoid, cosine, beam, found, seen, opened)
+    piece = _pieces(lists)
+    if piece.any():
+        _starts(x, piece, cosine, found, seen)
     step = max(1, (1 << 20) // lists.shape[1])
     while True:
         q, node = np.nonzero(found & ~opened)

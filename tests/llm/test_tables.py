@@ -265,6 +265,20 @@ def test_graph_search():
     assert not (found & ~want).any() and (found & want).sum() >= 0.98 * want.sum()
 
 
+@pytest.mark.parametrize("apart", [0.0, 0.25, 1.0])
+def test_graph_search_tight_clusters(apart):
+    """Clusters that hold more near-copies than a list has candidates: far from each other, or partly within range."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=16) + apart * draw.normal(size=(4, 16))
+    x = np.vstack([c + draw.normal(size=(120, 16)) * 0.1 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = vectors._lists([row[row >= 0] for row in vectors.pruned_graph(x)], len(x))
+    want = x @ x.T >= 0.93
+    np.fill_diagonal(want, False)
+    found = vectors.range_search(x, lists)
+    assert not (found & ~want).any() and (found & want).sum() >= 0.98 * want.sum()
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 
 
