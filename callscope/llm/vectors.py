@@ -284,6 +284,19 @@ def graph(members: DataFrame) -> DataFrame:
 PAIRS = "a bigint, b bigint, copies_a bigint, copies_b bigint, tree boolean"
 
 
+def _pairs(nodes: np.ndarray, copies: np.ndarray, x: np.ndarray, found: np.ndarray, cosine: float, schema: pa.Schema) -> pa.Table:
+    """The pairs of a symmetric table of links between nodes that are sorted, and which of them are in its spanning forest."""
+    a, b = np.nonzero(np.triu(found))
+    # Verified: the cosine of exactly these two, in double precision.
+    sure = np.concatenate([np.einsum("ik,ik->i", x[a[s : s + 65536]], x[b[s : s + 65536]]) >= cosine for s in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+    found[a[~sure], b[~sure]] = found[b[~sure], a[~sure]] = False
+    a, b = a[sure], b[sure]
+    tree = np.zeros((len(nodes), len(nodes)), bool)
+    for i, j in forest(found):
+        tree[i, j] = tree[j, i] = True
+    return pa.table([pa.array(v) for v in (nodes[a], nodes[b], copies[a], copies[b], tree[a, b])], schema=schema)
+
+
 def search(members: DataFrame, lists: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Pairs found in each shard (a < b, how many copies each stands for, and whether the pair is in the shard's spanning forest)."""
     schema = to_arrow(PAIRS)
@@ -298,20 +311,57 @@ def search(members: DataFrame, lists: DataFrame, cosine: float = COSINE) -> Data
             at = np.minimum(np.searchsorted(nodes, names), len(nodes) - 1)
             local.append(at[nodes[at] == names])
         found = range_search(x, _lists(local, len(nodes)), cosine)
-        a, b = np.nonzero(np.triu(found))
-        # Verified: the cosine of exactly these two, in double precision.
-        sure = np.concatenate([np.einsum("ik,ik->i", x[a[s : s + 65536]], x[b[s : s + 65536]]) >= cosine for s in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-        found[a[~sure], b[~sure]] = found[b[~sure], a[~sure]] = False
-        a, b = a[sure], b[sure]
-        tree = np.zeros((len(nodes), len(nodes)), bool)
-        for i, j in forest(found):
-            tree[i, j] = tree[j, i] = True
-        return pa.table([pa.array(v) for v in (nodes[a], nodes[b], copies[a], copies[b], tree[a, b])], schema=schema)
+        return _pairs(nodes, copies, x, found, cosine, schema)
 
     rows = members.join(lists, "node").select("shard", "node", "copies", "vector", "neighbours")
     return rows.groupBy("shard").applyInArrow(find, PAIRS)
 
 
+def whole(classes: DataFrame, cosine: float = COSINE, size: int = SHARD) -> DataFrame:
+    """
+    All pairs within range, like those of `search`, by products of tiles.
+
+    A tile holds some `size` vectors of one place (a shard that each vector is in once, cut by ids where it is larger). Each two tiles of a label are compared by a task,
+    but for those that no pair can join: the angle between two vectors is at least that between the tiles' centres less the tiles' radii.
+    """
+    placed = shards(classes, size, overlap=1)
+    cuts = placed.groupBy("shard").agg(F.ceil(F.count("*") / size).alias("cuts"))
+    cut = placed.join(cuts, "shard").withColumn("tile", F.xxhash64("shard", F.pmod(F.xxhash64("node", F.lit(9)), "cuts")))
+    members = stored(cut.join(classes.select("node", F.xxhash64("label", F.size("vector")).alias("part")), "node").select("part", "tile", "node", "copies", "vector"), "tiles")
+    fields = "part bigint, tile bigint, centre array<double>, radius double"
+    schema, pairs_schema = to_arrow(fields), to_arrow(PAIRS)
+
+    def measure(table: pa.Table) -> pa.Table:
+        x = unit_rows(table)
+        centre = x.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        return pa.table([table.column("part")[:1], table.column("tile")[:1], pa.array([centre.tolist()], schema.field(2).type), pa.array([radius])], schema=schema)
+
+    tiles = stored(members.select("part", "tile", "vector").groupBy("part", "tile").applyInArrow(measure, fields), "tile-measures")
+    a, b = (tiles.select("part", F.col("tile").alias(name), F.col("centre").alias(f"{name}_centre"), F.col("radius").alias(f"{name}_radius")) for name in ("first", "second"))
+    dot = F.aggregate(F.zip_with("first_centre", "second_centre", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
+    near = apart <= F.col("first_radius") + F.col("second_radius") + float(np.arccos(cosine)) + 1e-6
+    couples = stored(a.join(b, "part").where((F.col("first") <= F.col("second")) & near).select("first", "second"), "tile-pairs")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        order = np.argsort(nodes)
+        nodes, copies, x = nodes[order], table.column("copies").to_numpy()[order], unit_rows(table)[order]
+        side = table.column("tile").to_numpy()[order]
+        found = np.zeros((len(x), len(x)), bool)
+        for start in range(0, len(x), BLOCK):
+            found[start : start + BLOCK] = x[start : start + BLOCK] @ x.T >= cosine
+        if (side != side[0]).any():
+            found &= side[:, None] != side[None, :]
+        np.fill_diagonal(found, False)
+        return _pairs(nodes, copies, x, found | found.T, cosine, pairs_schema)
+
+    rows = couples.join(members, F.col("first") == F.col("tile")).unionByName(couples.where("first < second").join(members, F.col("second") == F.col("tile")))
+    return rows.select("first", "second", "tile", "node", "copies", "vector").groupBy("first", "second").applyInArrow(compare, PAIRS)
+
+
 def audit(classes: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> float:
     """Share of the pairs of some vectors (those whose ids hash lowest), found by comparing them with all others, that `pairs` has; 1 if they have none."""
     sample = classes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(queries).select("node", "label", "vector").toArrow()
@@ -346,8 +396,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     One row for each row of `table`: id, n_links (other rows of its label linked directly), component (smallest id reachable over links).
 
     Rows with the same label and vector are one class, compared once and counted as often as they occur. Rows that can't be linked (see `usable`) have no
-    links and are their own component; a component without any id is null. Recall is measured on each run; below `recall` the build is repeated with twice the overlap, up to four
-    times the first. All links reported are verified. An empty table gives an empty result.
+    links and are their own component; a component without any id is null. Recall is measured after each build; below `recall` the build is repeated with twice the overlap, up to four
+    times the first, and where that doesn't help, all vectors are compared. All links reported are verified. An empty table gives an empty result.
     """
     kind = table.schema[vector_col].dataType.simpleString()
     vector = F.col(vector_col).cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
@@ -363,7 +413,10 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             search(members, graph(members), cosine).groupBy("a", "b").agg(F.first("copies_a").alias("copies_a"), F.first("copies_b").alias("copies_b"), F.max("tree").alias("tree")),
             "pairs",
         )
-        if overlap >= 4 * OVERLAP or audit(classes, pairs, cosine) >= recall:
+        if audit(classes, pairs, cosine) >= recall:
+            break
+        if overlap >= 4 * OVERLAP:
+            pairs = stored(whole(classes, cosine, size), "pairs")
             break
         overlap *= 2
     linked = (

@@ -279,6 +279,43 @@ def test_graph_search_tight_clusters(apart):
     assert not (found & ~want).any() and (found & want).sum() >= 0.98 * want.sum()
 
 
+def dense_rows(n=700, dims=32, first=0, label=0, seed=8):
+    """Near-copies of one vector, all different and all linked, at no place of their own."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=dims) + draw.normal(size=(n, dims)) * 0.15
+    return [(first + i, v.tolist(), label) for i, v in enumerate(x.astype(np.float32))]
+
+
+def links_of(rows):
+    """How many links each row has, by comparing all with all; rows have ids from 0 on and vectors of one length."""
+    x = np.array([v for _, v, _ in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([k for *_, k in rows])
+    return ((x @ x.T >= 0.93) & (labels[:, None] == labels[None, :])).sum(axis=1) - 1
+
+
+def test_vectors_dense_group(spark):
+    """A group of near-copies that no overlap of shards brings together."""
+    rows = dense_rows()
+    found = {r["id"]: r["n_links"] for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), size=40).collect()}
+    want = links_of(rows)
+    assert want.mean() > 600 and [found[i] for i in range(len(rows))] == want.tolist()
+
+
+@pytest.mark.parametrize("size", [40, 5000])
+def test_vectors_whole(spark, size):
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(300, 8))
+    x[:90] = x[0] + draw.normal(size=(90, 8)) * 0.3
+    labels = draw.integers(0, 2, len(x))
+    classes = spark.createDataFrame([(i, 1, int(labels[i]), x[i].tolist()) for i in range(len(x))], "node long, copies long, label int, vector array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1))) if labels[i] == labels[j]}
+    found = vectors.whole(classes, size=size).collect()
+    assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+    assert brute.groups(range(len(x)), [(r["a"], r["b"]) for r in found if r["tree"]]) == brute.groups(range(len(x)), want)
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 
 
