@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ DEGREE = 16
 CANDIDATES = 48
 SLACK = 1.2
 BEAM = 32
-#: Vectors looked up by brute force to measure recall (a bound on what is sent to all tasks), and the recall below which the build is repeated with more overlap.
+#: Vectors of a label looked up by brute force to measure its recall, and the recall below which the label is built again with more overlap.
 AUDIT = 200
 RECALL = 0.95
 BLOCK = 128
@@ -192,6 +193,11 @@ def usable(vector: str, label: str) -> Column:
     return F.coalesce(F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
+def part() -> Column:
+    """What vectors must share to be compared: label and length."""
+    return F.xxhash64("label", F.size("vector"))
+
+
 def _assign(rows: DataFrame, overlap: int) -> DataFrame:
     """
     (node, copies, vector, shard) from rows (shard, salt, centre, node, copies, vector) sorted by the first three: the centres of a shard come first
@@ -242,7 +248,7 @@ def shards(classes: DataFrame, size: int = SHARD, fan: int = FAN, overlap: int =
     A shard over `size` (a part of one: over WHOLE times that) is split by some of its own vectors, those whose ids hash lowest, and each vector goes to its `overlap` nearest of them; this
     goes on until all are small. Each split is dealt out in slices of some ten thousand rows, whose centres travel along, so a label that holds most rows is split by many tasks.
     """
-    now = stored(classes.select("node", "copies", "vector", F.xxhash64("label", F.size("vector")).alias("shard")), "shards")
+    now = stored(classes.select("node", "copies", "vector", part().alias("shard")), "shards")
     done: DataFrame | None = None
     for level in range(LEVELS):
         sizes = stored(now.groupBy("shard").agg(F.count("*").alias("n")), "shard-sizes")
@@ -327,7 +333,7 @@ def whole(classes: DataFrame, cosine: float = COSINE, size: int = SHARD) -> Data
     placed = shards(classes, size, overlap=1)
     cuts = placed.groupBy("shard").agg(F.ceil(F.count("*") / size).alias("cuts"))
     cut = placed.join(cuts, "shard").withColumn("tile", F.xxhash64("shard", F.pmod(F.xxhash64("node", F.lit(9)), "cuts")))
-    members = stored(cut.join(classes.select("node", F.xxhash64("label", F.size("vector")).alias("part")), "node").select("part", "tile", "node", "copies", "vector"), "tiles")
+    members = stored(cut.join(classes.select("node", part().alias("part")), "node").select("part", "tile", "node", "copies", "vector"), "tiles")
     fields = "part bigint, tile bigint, centre array<double>, radius double"
     schema, pairs_schema = to_arrow(fields), to_arrow(PAIRS)
 
@@ -362,33 +368,39 @@ def whole(classes: DataFrame, cosine: float = COSINE, size: int = SHARD) -> Data
     return rows.select("first", "second", "tile", "node", "copies", "vector").groupBy("first", "second").applyInArrow(compare, PAIRS)
 
 
-def audit(classes: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> float:
-    """Share of the pairs of some vectors (those whose ids hash lowest), found by comparing them with all others, that `pairs` has; 1 if they have none."""
-    sample = classes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(queries).select("node", "label", "vector").toArrow()
-    if not sample.num_rows:
-        return 1.0
-    by_label: dict[tuple, list[int]] = {}
-    labels, sizes = sample.column("label").to_pylist(), [len(v) for v in sample.column("vector").to_pylist()]
-    for i, key in enumerate(zip(labels, sizes)):
-        by_label.setdefault(key, []).append(i)
-    known = {k: (sample.column("node").to_numpy()[v], unit_rows(sample.take(pa.array(v)))) for k, v in by_label.items()}
-    schema = to_arrow("a bigint, b bigint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()))
-            nodes = batch.column("node").to_numpy()
-            for key in set(keys) & set(known):
-                rows = np.array([i for i, k in enumerate(keys) if k == key])
-                names, x = known[key]
-                near = unit_rows(batch.take(pa.array(rows))) @ x.T >= cosine
-                i, j = np.nonzero(near & (nodes[rows][:, None] != names[None, :]))
-                a, b = nodes[rows][i], names[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
-
-    true = classes.select("node", "label", "vector", F.size("vector").alias("size")).mapInArrow(run, "a bigint, b bigint").distinct()
-    counts = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return counts["hits"] / counts["n"] if counts["n"] else 1.0
+def audit(classes: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries: int = AUDIT, size: int = SHARD) -> DataFrame:
+    """
+    (part, n, recall): for each label and length, how many vectors it has and the share of the pairs of some of them (those whose ids hash lowest, found by comparing
+    them with all others) that `pairs` has. Parts where they have none are left out. Parts are dealt out in slices of some ten thousand rows, each of which meets all queries.
+    """
+    named = classes.select(part().alias("part"), "node", "vector")
+    sizes = stored(named.groupBy("part").agg(F.count("*").alias("n")), "audit-sizes")
+    rows = named.join(sizes, "part").withColumn("salts", F.ceil(F.col("n") / (10 * size)))
+    draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # Some three times as many as wanted are drawn, so that ranking them sorts little.
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < 3 * queries / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("draw", "node"))
+    asked = drawn.withColumn("rank", rank).where(F.col("rank") <= queries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    others = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    columns = ("part", "salt", "asked", "node", "vector")
+    dealt = asked.withColumn("asked", F.lit(True)).select(*columns).unionByName(others.withColumn("asked", F.lit(False)).select(*columns))
+    schema = to_arrow("part bigint, a bigint, b bigint")
+
+    def meet(table: pa.Table) -> pa.Table:
+        x, nodes, query = unit_rows(table), table.column("node").to_numpy(), table.column("asked").to_numpy()
+        names, known, rest = nodes[query], x[query], nodes[~query]
+        i, j = np.nonzero((x[~query] @ known.T >= cosine) & (rest[:, None] != names[None, :]))
+        a, b = np.minimum(rest[i], names[j]), np.maximum(rest[i], names[j])
+        return pa.table([pa.array(np.full(len(a), table.column("part")[0].as_py())), pa.array(a), pa.array(b)], schema=schema)
+
+    true = dealt.groupBy("part", "salt").applyInArrow(meet, "part bigint, a bigint, b bigint").distinct()
+    hits = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("part").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return hits.join(sizes, "part").select("part", "n", "recall")
+
+
+def _of(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """The classes of some parts."""
+    return classes.withColumn("part", part()).join(parts.select("part"), "part", "left_semi").drop("part")
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, size: int = SHARD, recall: float = RECALL) -> DataFrame:
@@ -396,8 +408,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     One row for each row of `table`: id, n_links (other rows of its label linked directly), component (smallest id reachable over links).
 
     Rows with the same label and vector are one class, compared once and counted as often as they occur. Rows that can't be linked (see `usable`) have no
-    links and are their own component; a component without any id is null. Recall is measured after each build; below `recall` the build is repeated with twice the overlap, up to four
-    times the first, and where that doesn't help, all vectors are compared. All links reported are verified. An empty table gives an empty result.
+    links and are their own component; a component without any id is null. Recall is measured for each label after each build; labels below `recall` are built again with twice the
+    overlap, up to four times the first, and those that this doesn't help are compared whole. All links reported are verified. An empty table gives an empty result.
     """
     kind = table.schema[vector_col].dataType.simpleString()
     vector = F.col(vector_col).cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
@@ -406,19 +418,27 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = stored(
         rows.where("usable").groupBy("label", "vector").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies")), "classes"
     )
-    overlap = OVERLAP
+    overlap, poor, built = OVERLAP, classes, []
     while True:
-        members = shards(classes, size, overlap=overlap)
+        members = shards(poor, size, overlap=overlap)
         pairs = stored(
             search(members, graph(members), cosine).groupBy("a", "b").agg(F.first("copies_a").alias("copies_a"), F.first("copies_b").alias("copies_b"), F.max("tree").alias("tree")),
             "pairs",
         )
-        if audit(classes, pairs, cosine) >= recall:
-            break
-        if overlap >= 4 * OVERLAP:
-            pairs = stored(whole(classes, cosine, size), "pairs")
+        built.append(pairs)
+        missing = stored(audit(poor, pairs, cosine, size=size).where(F.col("recall") < recall), "recall")
+        # More overlap changes nothing where a label is one shard.
+        helps = F.lit(overlap < 4 * OVERLAP) & (F.col("n") > size)
+        if not missing.where(~helps).isEmpty():
+            built.append(stored(whole(_of(poor, missing.where(~helps)), cosine, size), "pairs"))
+        again = missing.where(helps)
+        if again.isEmpty():
             break
+        poor = stored(_of(poor, again), "classes")
         overlap *= 2
+    if len(built) > 1:
+        each = reduce(DataFrame.unionByName, built)
+        pairs = stored(each.groupBy("a", "b").agg(F.first("copies_a").alias("copies_a"), F.first("copies_b").alias("copies_b"), F.max("tree").alias("tree")), "pairs")
     linked = (
         pairs.select(F.col("a").alias("node"), F.col("copies_b").alias("others"))
         .unionByName(pairs.select(F.col("b").alias("node"), F.col("copies_a").alias("others")))

@@ -316,6 +316,16 @@ def test_vectors_whole(spark, size):
     assert brute.groups(range(len(x)), [(r["a"], r["b"]) for r in found if r["tree"]]) == brute.groups(range(len(x)), want)
 
 
+def test_vectors_recall_of_each_label(spark, monkeypatch):
+    """A label whose links get lost is found out beside a label that has most links."""
+    rows = dense_rows(300) + dense_rows(20, first=300, label=1, seed=9)
+    search = vectors.search
+    monkeypatch.setattr(vectors, "search", lambda *given: search(*given).where("a < 300"))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1)
+    found = {r["id"]: r["n_links"] for r in vectors.near_vectors(table).collect()}
+    assert [found[i] for i in range(len(rows))] == links_of(rows).tolist()
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 
 
