@@ -185,21 +185,27 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, more_text: np.nd
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """`text_view` and `page_view` (binary, 32-bit numbers) beside doc_id and y."""
-    schema = to_arrow("y double, text_view binary, page_view binary")
+    """
+    y, `text_view` and `page_view` (binary, 32-bit numbers), one row for each doc_id of rows (doc_id, text, lang, source, y, mark): that of the lowest mark.
+
+    A task hands on one row for each id, and makes features only of rows with a lower mark than those before, so copies of a row cost it nothing.
+    """
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint, y double, text_view binary, page_view binary"
+    schema = to_arrow(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict = {}
         for batch in batches:
-            columns = [batch.column(c) for c in ("text", "lang", "source")]
-            rows = [[c[i].as_py() for c in columns] for i in range(batch.num_rows)]
-            arrays = [
-                batch.column("y").cast(pa.float64()),
-                pa.array([text_features(r[0]).tobytes() for r in rows], pa.binary()),
-                pa.array([page_features(*r).tobytes() for r in rows], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            ids, marks, y, *columns = (batch.column(c) for c in ("doc_id", "mark", "y", "text", "lang", "source"))
+            for i, (name, mark) in enumerate(zip(ids.to_pylist(), marks.to_pylist())):
+                if name not in least or mark < least[name][0]:
+                    row = [c[i].as_py() for c in columns]
+                    least[name] = (mark, y[i].as_py(), text_features(row[0]).tobytes(), page_features(*row).tobytes())
+        columns = [list(least), *(zip(*least.values()) if least else [[]] * 4)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("text", "lang", "source", "y").mapInArrow(run, "y double, text_view binary, page_view binary")
+    each = docs.select("doc_id", "text", "lang", "source", "y", "mark").mapInArrow(run, fields)
+    return each.groupBy("doc_id").agg(F.min_by(F.struct("y", "text_view", "page_view"), "mark").alias("row")).select("row.*")
 
 
 def _lowest(ids: DataFrame, rows: int) -> DataFrame:
@@ -214,8 +220,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     """
     A model from documents (doc_id, text, lang, source) and labels (doc_id, quality).
 
-    Rows without id or label are left out; of several labels of a document the mean decides, and a tie counts as good. The bounds say
-    how many rows the fit looks at, whatever the size of the tables.
+    Rows without id or label are left out; of several labels of a document the mean decides, and a tie counts as good. Of several
+    rows with an id one counts, chosen by what it holds. The bounds say how many rows the fit looks at, whatever the size of the tables.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
@@ -225,7 +231,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     spare = _lowest(ids.join(known, "doc_id", "left_anti").distinct(), unlabelled_rows).withColumn("y", F.lit(None).cast("double"))
     # Both lists are bounded by the two parameters, so they may be sent to every task.
     wanted = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(picked.unionByName(spare)), "doc_id")
-    rows = _features(wanted.select("doc_id", "text", "lang", "source", "y")).collect()
+    rows = _features(wanted.withColumn("mark", F.xxhash64("text", "lang", "source"))).collect()
     # The order of arrival is chance; the features themselves give one that reruns share.
     rows.sort(key=lambda r: (bytes(r["text_view"]), bytes(r["page_view"]), r["y"] is None, r["y"] or 0))
     shuffled = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]

@@ -341,6 +341,20 @@ def quality_tables(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels + [(1, None, 0), (None, 1, 0), (99999, 1, 0)], "doc_id long, quality int, toxic int"), rows
 
 
+def test_quality_repeated_ids(spark, monkeypatch):
+    """A picked id counts once, however many rows have it, and its rows don't pull the fit."""
+    docs, labels, _ = quality_tables(spark)
+    sizes, train = [], cotrain.co_train
+    monkeypatch.setattr(cotrain, "co_train", lambda text, page, y, more, *rest: sizes.append((len(text), len(more))) or train(text, page, y, more, *rest))
+    model = cotrain.fit_quality(docs, labels)
+    copies = docs.where("doc_id IN (1, 2)").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("copy")
+    again = cotrain.fit_quality(docs.unionByName(copies).repartition(5), labels)
+    assert sizes == [(200, 200)] * 2 and np.allclose(again.text.weights, model.text.weights) and np.allclose(again.page.weights, model.page.weights)
+    other = docs.where("doc_id IN (1, 2)").withColumn("text", F.lit("other words"))
+    twice = [cotrain.fit_quality(docs.unionByName(other).repartition(n), labels) for n in (2, 5)]
+    assert sizes[2:] == [(200, 200)] * 2 and np.allclose(twice[0].text.weights, twice[1].text.weights)
+
+
 def test_quality(spark, odd_docs, no_docs):
     docs, labels, rows = quality_tables(spark)
     model = cotrain.fit_quality(docs, labels)
