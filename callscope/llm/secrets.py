@@ -23,6 +23,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_LENGTH = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 
+#: Pieces of a string between the signs that paths and names are put together with.
+UNBROKEN = re.compile(rf"[A-Za-z0-9+]{{{LEAST_LENGTH},}}")
 #: One unbroken piece must be this long: paths and hyphened names are many short ones.
 PIECES = re.compile(r"[A-Za-z0-9]{10,}")
 
@@ -97,18 +99,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _random_strings_in(run: str, models: Models, least: float) -> list[tuple[int, int]]:
+    """(start, end) of what looks random in a run: the run, or else those of its unbroken pieces that are long enough to be judged by themselves."""
+
+    def random_(text: str) -> bool:
+        return models.score(text) >= least and any(_mixed(p) for p in PIECES.findall(text))
+
+    if random_(run):
+        return [(0, len(run))]
+    return [m.span() for m in UNBROKEN.finditer(run) if len(m[0]) < len(run) and random_(m[0])]
+
+
 def find_secrets(text: str | None, models: Models | None = None, least: float = LEAST_PER_CHAR) -> list[tuple[int, int, str]]:
     """
     (start, end, kind) in code points of all secrets of a whole text, by start, then in the order of KINDS; a null text has none.
 
     To the base spans the models add strings of 20 or more characters that overlap none of them, look random, and have a long piece that mixes digits and letters or cases.
+    Where such a string is ordinary as a whole, like a path, its unbroken pieces of that length are judged alone.
     """
     text = text or ""
     found = base_spans(text)
     if models is not None:
         for m in CANDIDATE.finditer(text):
-            if models.score(m[0]) >= least and any(_mixed(p) for p in PIECES.findall(m[0])) and not any(s < m.end() and m.start() < e for s, e, _ in found):
-                found.append((m.start(), m.end(), "random"))
+            for start, end in _random_strings_in(m[0], models, least):
+                start, end = m.start() + start, m.start() + end
+                if not any(s < end and start < e for s, e, _ in found):
+                    found.append((start, end, "random"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

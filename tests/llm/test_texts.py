@@ -131,6 +131,19 @@ def test_secret_models():
     assert not secrets.find_secrets("a snake_case_identifier_name and someVeryLongCamelCaseIdentifierName at example.com/2020/01/02/some-title-of-a-post", models)
 
 
+def test_secrets_in_paths():
+    """A random key inside a longer path or name is found by itself; paths and names of words are not."""
+    draw = random.Random(5)
+    plain = [prose(draw, 1, "etaoinshrdlu") for _ in range(5000)] + ["snake_case_identifier_name", "someLongCamelCaseName2", "https://example.com/2020/01/title"]
+    models = secrets.Models(secrets.transitions(secrets.random_strings()) - secrets.transitions(plain))
+    keys = ["".join(draw.choices(secrets.SYMBOLS[:62], k=32)) for _ in range(100)]
+    for before in ("", "shared/internal/host/stations/onlineaddresses/teams/resources/" * 2, "identifier_of_the_internal_resource_distribution_host_and_its_station_" * 2 + "="):
+        found = [secrets.find_secrets(f"see {before}{key} there", models) for key in keys]
+        ends = 4 + len(before) + 32
+        assert sum(any(k == "random" and e == ends and s >= 4 for s, e, k in spans) for spans in found) >= 95
+    assert not secrets.find_secrets("shared/internal/onlineaddressesandresources/station=internationaldistributions", models)
+
+
 def test_measures(odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in odd_docs.select("doc_id", "text").collect()}
     rows = lines.judge(odd_docs).collect()
