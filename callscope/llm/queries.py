@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, cotrain, language, lines, mixing, pii, secrets, simhash, vectors, warc
+from callscope.llm import bpe, cotrain, language, lines, mixing, pii, ranked, secrets, simhash, spelling, toxicity, vectors, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -94,6 +94,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of those that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit_toxicity(docs, labels.where(~held))
+    found = toxicity.score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the near words of each, and the form and root it stands for."""
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    index = ranked.build_index(table(spark, sf_dir, "documents"))
+    return ranked.search(index, table(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
     import corpus_pipeline
@@ -102,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_simhash, op3_quality, op4_mixing, op5_language, op6_bpe, op7_vectors, op8_secrets, op9_lines, op10_pii, pipeline)
+    own = (op1_warc, op2_simhash, op3_quality, op4_mixing, op5_language, op6_bpe, op7_vectors, op8_secrets, op9_lines, op10_pii, op11_toxicity, op12_spelling, op13_ranked, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -175,6 +196,52 @@ WITH own AS (
 SELECT *, NOT base_failed AND n_removed_words <= 0.6 * n_words AS kept FROM failed
 """
 
+OP12 = r"""
+WITH RECURSIVE shifted AS (  -- the table of CRC-32: each byte, eight times shifted
+  SELECT unnest(range(256))::BIGINT AS byte, unnest(range(256))::BIGINT AS c, 0 AS k
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM shifted WHERE k < 8
+), crc AS (SELECT list(c ORDER BY byte) AS crc_table FROM shifted WHERE k = 8
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL
+), coded AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(code) // 2), lambda i: ('0x' || substr(code, 2 * i::INT + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, crc_table[xor(c, b) % 256 + 1])), 4294967295::BIGINT) AS h FROM coded, crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), dropped AS (SELECT word, n, spot, left(word, spot - 1) || substr(word, spot + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS spot FROM words)
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM dropped a JOIN dropped b ON a.rest = b.rest AND a.spot = b.spot AND a.word <> b.word
+  UNION SELECT a.word, a.n, w.word, w.n FROM dropped a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM dropped a JOIN words w ON a.rest = w.word
+), best AS (SELECT word, n, other, other_n, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near
+), formed AS (SELECT word, n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM best WHERE place = 1
+), led AS (
+  SELECT word, form AS root, 1 AS step FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT l.word, f.form, l.step + 1 FROM led l JOIN formed f ON l.root = f.word WHERE f.form IS NOT NULL
+), roots AS (SELECT word, max_by(root, step) AS root FROM led GROUP BY word)
+SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, form, form_n, coalesce(root, word) AS root FROM words LEFT JOIN formed USING (word) LEFT JOIN roots USING (word)
+"""
+
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), lengths AS (SELECT row, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0
+), total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), postings AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term
+), weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, total GROUP BY term, n_docs
+), items AS (
+  SELECT DISTINCT item, item_id, unnest(terms) AS term FROM (
+    SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark)
+), scored AS (
+  SELECT i.item, i.item_id, p.row, l.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items i JOIN postings p USING (term) JOIN weights USING (term) JOIN lengths l ON l.row = p.row, total GROUP BY i.item, i.item_id, p.row, l.doc_id
+), placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_mixing": OP4, "op9_lines": OP9}
+    return {"op1_warc": OP1, "op4_mixing": OP4, "op9_lines": OP9, "op12_spelling": OP12, "op13_ranked": OP13}

@@ -109,5 +109,5 @@ def test_pipeline(spark):
 
 def test_registered():
     names = set(corpus.queries())
-    assert names <= set(entry.queries()) and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert names <= set(entry.queries()) and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
