@@ -25,7 +25,7 @@ TIMEOUT_US = 30_000_000
 _STATE = "struct<first_us:bigint,first_at:bigint,total:bigint,pieces:map<bigint,bigint>>"
 
 
-class _Datagram:
+class Datagram:
     """The open datagram of one key: length by offset."""
 
     __slots__ = ("first_us", "first_at", "total", "pieces")
@@ -33,6 +33,17 @@ class _Datagram:
     def __init__(self, first_us: int, first_at: int, total: int = 0, pieces: dict[int, int] | None = None):
         self.first_us, self.first_at, self.total, self.pieces = first_us, first_at, total, pieces or {}
 
+    @staticmethod
+    def of(state: dict) -> Datagram:
+        return Datagram(state["first_us"], state["first_at"], state["total"], dict(state["pieces"]))
+
+    def add(self, offset: int, length: int, more: bool) -> bool:
+        """Take a fragment; one that was at its offset is replaced. True if the datagram is complete now."""
+        self.pieces[offset] = length
+        if not more:
+            self.total = offset + length
+        return self.complete()
+
     def complete(self) -> bool:
         position = 0
         while position < self.total:
@@ -78,17 +89,14 @@ def _walker(keys: Sequence[str], timeout_us: int):
                     key, open_one = this_key, None
                 if carried is not None:
                     if carried["first_at"] >= 0:
-                        open_one = _Datagram(carried["first_us"], carried["first_at"], carried["total"], dict(carried["pieces"]))
+                        open_one = Datagram.of(carried)
                     numbers.append(None)
                     times.append(None)
                     done.append(None)
                     continue
                 if open_one is None or us - open_one.first_us > timeout_us:
-                    open_one = _Datagram(us, at)
-                open_one.pieces[offset] = length
-                if not more:
-                    open_one.total = offset + length
-                complete = open_one.complete()
+                    open_one = Datagram(us, at)
+                complete = open_one.add(offset, length, more)
                 numbers.append(open_one.first_at)
                 times.append(open_one.first_us)
                 done.append(complete)

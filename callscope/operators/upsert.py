@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators.sessions import ACTIVE, FINISHED, TIMED_OUT
-from callscope.operators.slots import KeySlots, before
+from callscope.operators.slots import KeySlots, before, join_groups
 
-INSERT, UPDATE, STORED = "insert", "update", "stored"
+INSERT, UPDATE, RETRACT, STORED = "insert", "update", "retract", "stored"
 STATES = (ACTIVE, FINISHED, TIMED_OUT)
 
 
@@ -93,6 +93,33 @@ def fold_changes(
     )
 
 
+def without_retracted(changes: DataFrame, keys: Sequence[str], kind: str = "kind", revision: str = "revision") -> DataFrame:
+    """
+    Changes that no retraction took back, retractions left out.
+
+    A retraction takes back all changes of its key with a smaller revision, whenever they arrive. Retractions are few: one number for each key that has some.
+    """
+    newest = changes.filter(F.col(kind) == RETRACT).groupBy(*keys).agg(F.max(revision).alias("__retracted"))
+    marked = join_groups(changes.filter(F.col(kind) != RETRACT), newest, keys, ["__retracted"])
+    return marked.filter(F.col("__retracted").isNull() | (F.col(revision) >= F.col("__retracted"))).drop("__retracted")
+
+
+def needed_changes(changes: DataFrame, keys: Sequence[str], order: str, heavy: Sequence[str], kind: str = "kind", revision: str = "revision") -> DataFrame:
+    """
+    Of all changes of some keys, those that may still decide something: folding them gives the same as folding all, whatever arrives later.
+
+    A change that was retracted can't come back, so only the retractions themselves stay. Of the ``heavy`` columns an update keeps its value only if no later update of its key has one:
+    where it is applied, the later one is too. The rest is kept: a late insert or update needs the states around its place.
+    """
+    retractions = changes.filter(F.col(kind) == RETRACT).groupBy(*keys).agg(F.max(revision).alias(revision))
+    rows = without_retracted(changes, keys, kind, revision)
+    is_update = F.col(kind) == UPDATE
+    newest = rows.filter(is_update).groupBy(*keys).agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__newest_{c}") for c in heavy])
+    marked = join_groups(rows, newest, keys, [f"__newest_{c}" for c in heavy])
+    beaten = {c: F.when(~is_update | (F.col(order) >= F.col(f"__newest_{c}")), F.col(c)) for c in heavy}
+    return marked.withColumns(beaten).select(*rows.columns).unionByName(retractions.withColumn(kind, F.lit(RETRACT)), allowMissingColumns=True)
+
+
 def check_states(df: DataFrame, state: str = "state") -> DataFrame:
     """Fail the job on a state outside the allowed ones."""
     known = F.col(state).isin(*STATES)

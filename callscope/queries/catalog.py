@@ -37,6 +37,7 @@ def queries() -> dict[str, Query]:
         "longest_text": t.longest_text,
         "upsert_orders": t.upsert_orders,
         "calls_of_streams": t.calls_of_streams,
+        "calls_any_order": t.calls_any_order,
         "nest_streams": t.nest_streams,
         "nest_unnest": t.nest_unnest,
         "unnest_lines": t.unnest_lines,
@@ -53,8 +54,11 @@ def queries() -> dict[str, Query]:
         "ip_decode": t.ip_decode,
         "mirror_decode": t.mirror_decode,
         "fragment_reassembly": t.fragment_reassembly,
+        "stream_reassembly": t.stream_reassembly,
         "fragment_counters": t.fragment_counters_query,
         "call_analysis": t.call_analysis,
         "call_streams": t.call_streams_query,
+        "stream_call_streams": t.stream_call_streams,
+        "stream_call_analysis": t.stream_call_analysis,
         "pcap_roundtrip": t.pcap_roundtrip,
     }

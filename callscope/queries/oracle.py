@@ -69,10 +69,18 @@ f AS (SELECT doc_id, n + CASE WHEN twice AND NOT late_copy THEN 1 ELSE 0 END - C
   UNION ALL SELECT doc_id, 1, false, size, text FROM t WHERE late_copy)"""
 
 
+_REASSEMBLED = f"""WITH {_FRAGMENTS} SELECT doc_id, n_fragments, CASE WHEN whole THEN 'reassembled' ELSE 'timeout' END AS status,
+    CASE WHEN whole THEN CAST(size AS INT) END AS size, CASE WHEN whole THEN md5(text) END AS digest FROM f WHERE n_fragments > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     sessions = f"WITH {_SESSIONS} "
     in_calls = f"""WITH {_SESSIONS}, m AS (SELECT i.*, i.seg AS call FROM i WHERE in_call = 1 AND event_type NOT IN ('signup', 'error')),
         {_sequence('m', 'user_id, call')}"""
+    streams = in_calls + """ SELECT stats.user_id, start_us, packet_count, lost_packets, out_of_order_count, duplicate_count,
+            max_delta_ms, min_delta_ms, avg_delta_ms, '10.1.0.0:9' AS src_endpoint,
+            '10.2.' || (stats.user_id % 65536 // 256) || '.' || (stats.user_id % 256) || ':4000' AS dst_endpoint
+            FROM stats JOIN calls ON stats.user_id = calls.user_id AND stats.call = calls.call_seq"""
     return {
         "sessionize_events": sessions + """SELECT user_id, call_seq, start_us, last_us,
             CASE WHEN state <> 'active' THEN last_us END AS end_us, n_rows, state FROM calls""",
@@ -127,6 +135,15 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN o_orderstatus <> 'O' THEN epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP) + o_orderkey END AS end_us,
             CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'finished' ELSE 'timedout' END AS state,
             CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'customer ' END || o_custkey AS sip_from FROM orders""",
+        "calls_any_order": """WITH c AS (SELECT o_custkey AS custkey, o_orderkey AS pos, o_orderkey % 3 <> 0 AS upd, o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 AS ends,
+              o_orderpriority || repeat('x', CAST(o_orderkey % 7 AS INT)) AS sip_from, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 's3://b/' || o_orderkey END AS s3 FROM orders),
+            m AS (SELECT custkey, min(pos) AS made FROM c WHERE NOT upd GROUP BY 1),
+            t AS (SELECT c.*, pos = made AS creates, CASE WHEN ends THEN 'finished' ELSE 'active' END AS state FROM c JOIN m USING (custkey) WHERE pos >= made),
+            b AS (SELECT *, last_value(CASE WHEN upd OR creates THEN state END IGNORE NULLS) OVER (PARTITION BY custkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
+            app AS (SELECT * FROM b WHERE upd OR creates OR before = 'active')
+            SELECT custkey, max('from order ' || pos) FILTER (creates) AS pcap_filename, arg_max(sip_from, length(sip_from) * 1000000000000 - pos) AS sip_from,
+              coalesce(arg_max(s3, pos) FILTER (s3 <> ''), '') AS s3_location, arg_max(state, pos) FILTER (upd OR creates) AS state,
+              max(pos * 1000000) FILTER (ends) AS end_us, max(pos * 1000000) FILTER (upd OR creates) AS updated_us FROM app GROUP BY 1""",
         "upsert_orders": f"""WITH {_UPSERT} SELECT call_id, arg_max(sip_from, length(sip_from) * 1000000000000 - pos) AS sip_from,
             coalesce(arg_max(s3_location, pos) FILTER (s3_location <> ''), max(s3_location) FILTER (creates)) AS s3_location,
             arg_max(ended, pos) FILTER (ended IS NOT NULL AND (creates OR kind = 'update')) AS ended,
@@ -182,18 +199,20 @@ def oracle_sql() -> dict[str, str]:
               CAST(CASE WHEN kind = 1 THEN event_id % 2 ELSE 0 END AS INT) AS direction,
               CASE WHEN kind = 1 THEN event_id * 1009 % 4294967296 ELSE 0 END AS ts32,
               CAST(42 + length(event_type) AS INT) AS cap_len FROM x""",
-        "fragment_reassembly": f"""WITH {_FRAGMENTS} SELECT doc_id, n_fragments, CASE WHEN whole THEN 'reassembled' ELSE 'timeout' END AS status,
-            CASE WHEN whole THEN CAST(size AS INT) END AS size, CASE WHEN whole THEN md5(text) END AS digest FROM f WHERE n_fragments > 0""",
+        "fragment_reassembly": _REASSEMBLED,
+        "stream_reassembly": _REASSEMBLED,
         "fragment_counters": f"""WITH {_FRAGMENTS} SELECT CAST(sum(n_fragments) AS BIGINT) AS total, count(*) FILTER (whole) AS reassembled,
             count(*) FILTER (NOT whole) AS timeout, 0 AS active, 0 AS dropped FROM f WHERE n_fragments > 0""",
         "call_analysis": sessions + """SELECT calls.user_id, start_us, last_us, state, sip_packets, n_rows - sip_packets AS media_packets, 30 AS ptime_ms,
             (SELECT '<sip:u>;tag=' || arg_max(event_id, length(CAST(event_id AS VARCHAR)) * 1000000000000 - event_id) FROM i
               WHERE in_call = 1 AND i.user_id = calls.user_id AND i.seg = calls.call_seq AND event_type IN ('signup', 'error')) AS sip_from,
             substr(sha256('user-' || calls.user_id), 1, 16) || '.pcap' AS output_filename FROM calls""",
-        "call_streams": in_calls + """ SELECT stats.user_id, start_us, packet_count, lost_packets, out_of_order_count, duplicate_count,
-            max_delta_ms, min_delta_ms, avg_delta_ms, '10.1.0.0:9' AS src_endpoint,
-            '10.2.' || (stats.user_id % 65536 // 256) || '.' || (stats.user_id % 256) || ':4000' AS dst_endpoint
-            FROM stats JOIN calls ON stats.user_id = calls.user_id AND stats.call = calls.call_seq""",
+        "stream_call_analysis": sessions + """SELECT calls.user_id, start_us, CASE WHEN state <> 'active' THEN last_us END AS end_us, state,
+            (SELECT '<sip:u>;tag=' || arg_max(event_id, length(CAST(event_id AS VARCHAR)) * 1000000000000 - event_id) FROM i
+              WHERE in_call = 1 AND i.user_id = calls.user_id AND i.seg = calls.call_seq AND event_type IN ('signup', 'error')) AS sip_from,
+            substr(sha256('user-' || calls.user_id), 1, 16) || '.pcap' AS output_filename FROM calls""",
+        "call_streams": streams,
+        "stream_call_streams": streams,
         "pcap_roundtrip": f"""WITH {_EVENTS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS frame_no, us,
             CAST(CASE WHEN event_type IN ('signup', 'error') THEN
               42 + 2 * length('user-' || user_id) - length('user-' || user_id)

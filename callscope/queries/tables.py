@@ -18,15 +18,18 @@ from callscope.operators.nest import json_int, nest, unnest
 from callscope.operators.packets import decapsulate, decode_ip, decode_rtp, decode_transport, is_fragment
 from callscope.operators.upsert import INSERT, UPDATE, fold_changes
 from callscope.options import Options
-from callscope.plans.calls import analyse_calls
+from callscope.plans.calls import analyse_calls, closes, decode_datagrams, opens, signalling_messages
 from callscope.plans.reports import call_lookup
 from callscope.queries import frames as f
 from callscope.queries.events import DAY_US, events, k, load, numbered
+from callscope.schemas import SIP_CALLS
 from callscope.sinks.pcap import write_capture_files
 from callscope.sources.pcap import read_pcap
 from callscope.sinks.tables import CallsTable
 from callscope.sources.storage import scratch_table, shared_folder
-from callscope.streaming.calls import write_calls
+from callscope.streaming.calls import use_rocksdb, write_calls
+from callscope.streaming.fragments import stream_datagrams
+from callscope.streaming.media import stream_calls
 
 
 def longest_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,6 +69,35 @@ def calls_of_streams(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name).select("call_id", "instance_id", F.unix_micros("start_timestamp").alias("start_us"), F.unix_micros("end_timestamp").alias("end_us"), "state", "sip_from")
 
 
+def calls_any_order(spark: SparkSession, sf: str) -> DataFrame:
+    """
+    A call for each customer, changed by each of its orders: two writers on the same calls, batches in no order of time (updates before the
+    insert they need, ends before the updates they follow), folded after some of them. Every third order inserts, the others update.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    folder = scratch_table(spark, "calls-any-order")
+    table = CallsTable(spark, f"{folder}/sip_calls")
+    orders, key = load(spark, sf, "orders"), F.col("o_orderkey")
+    update, at = key % 3 != 0, F.timestamp_micros(key * 1_000_000)
+    end = update & (key % 5 == 0)
+    changes = orders.select(
+        F.col("o_custkey").cast("string").alias("call_id"), F.lit("i").alias("instance_id"), F.lit(0).cast("bigint").alias("call_seq"),
+        F.timestamp_micros(F.lit(0)).alias("start_timestamp"), F.when(end, at).alias("end_timestamp"), F.concat(F.lit("from order "), key.cast("string")).alias("pcap_filename"),
+        F.concat("o_orderpriority", F.repeat(F.lit("x"), (key % F.lit(7)).cast("int"))).alias("sip_from"), F.lit("").alias("sip_to"),
+        F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("s3://b/"), key.cast("string"))).alias("s3_location"),
+        F.when(end, "finished").otherwise("active").alias("state"), F.lit(None).cast(SIP_CALLS["rtp_statistics"].dataType).alias("rtp_statistics"),
+        at.alias("created_at"), at.alias("updated_at"), F.when(update, UPDATE).otherwise(INSERT).alias("kind"), key.alias("change_no"), F.lit(0).cast("bigint").alias("revision"),
+    )
+    for n in range(6):
+        part = changes.filter(F.pmod(F.xxhash64("change_no"), F.lit(6)) == n)
+        table.append(part, n // 2, f"writer-{n % 2}")
+        if n in (0, 3):
+            table.compact()
+    return table.read().select(
+        F.col("call_id").cast("bigint").alias("custkey"), "pcap_filename", "sip_from", "s3_location", "state", F.unix_micros("end_timestamp").alias("end_us"), F.unix_micros("updated_at").alias("updated_us"),
+    )
+
+
 def upsert_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders upserted into a stored table of every second customer, so that there are keys with a row and without one."""
     orders, customers = load(spark, sf, "orders"), load(spark, sf, "customer")
@@ -295,6 +327,21 @@ def fragment_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_fragments", "status", F.octet_length("payload").alias("size"), F.md5("payload").alias("digest"))
 
 
+def stream_reassembly(spark: SparkSession, sf: str) -> DataFrame:
+    """The datagrams of ``fragment_reassembly`` by Structured Streaming: fragments in files that each hold some of all times, one per micro-batch, and at the end a row that moves time past all timeouts."""
+    use_rocksdb(spark)
+    folder = scratch_table(spark, "fragments")
+    rows = document_fragments(spark, sf)
+    rows.repartition(3, F.pmod(F.xxhash64("frame_no"), F.lit(64))).write.parquet(folder)
+    end = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.timestamp_micros(F.lit(1_700_000_000_000_000 + 10**15)).alias("ts") for f in rows.schema.fields]
+    spark.range(1).select(*end).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found, out = stream_datagrams(stream, ["doc_id"], lateness="30 days"), scratch_table(spark, "datagrams")
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "n_fragments", "status", F.octet_length("payload").alias("size"), F.md5("payload").alias("digest"))
+
+
 def fragment_counters_query(spark: SparkSession, sf: str) -> DataFrame:
     return fragment_counters(_reassembled(spark, sf))
 
@@ -344,6 +391,51 @@ def call_streams_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def streamed_frames(spark: SparkSession, sf: str, pieces: int = 4) -> DataFrame:
+    """The frames of ``call_frames`` as a stream: one file after the other, each holding a quarter of the time."""
+    rows = call_frames(spark, sf).drop("user_id", "event_id")
+    folder = scratch_table(spark, "frames")
+    first, last = rows.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    piece = F.least(F.floor((micros("ts") - first) * pieces / (last - first)), F.lit(pieces - 1))
+    for n in range(pieces):
+        rows.filter(piece == n).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _streamed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Options]:
+    """Messages and media packets of the streamed frames."""
+    use_rocksdb(spark)
+    options = Options("5060-5060", call_timeout_us=DAY_US, close_at_end=False)
+    datagrams = decode_datagrams(streamed_frames(spark, sf), options)
+    return signalling_messages(datagrams, options), datagrams.filter(is_media_candidate(options.ports)), options
+
+
+def _streamed_calls(spark: SparkSession, sf: str) -> DataFrame:
+    messages, packets, options = _streamed(spark, sf)
+    changes = stream_calls(messages, packets, opens(), closes(), options.call_timeout_us, lateness="0 seconds", always=True)
+    folder = scratch_table(spark, "stream-calls")
+    table = CallsTable(spark, f"{folder}/sip_calls")
+    write_calls(changes, table, f"{folder}/progress", availableNow=True).awaitTermination()
+    return table.read()
+
+
+def stream_call_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of ``call_streams`` by Structured Streaming, from the calls table."""
+    streams = unnest(_streamed_calls(spark, sf), "rtp_statistics")
+    return streams.select(
+        F.conv("ssrc", 16, 10).cast("bigint").alias("user_id"), micros("start_timestamp").alias("start_us"), "packet_count", "lost_packets", "out_of_order_count", "duplicate_count",
+        "max_delta_ms", "min_delta_ms", "avg_delta_ms", "src_endpoint", "dst_endpoint",
+    )
+
+
+def stream_call_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls of ``call_analysis`` by Structured Streaming: messages and media of a stream of frames into the calls table."""
+    return _streamed_calls(spark, sf).select(
+        F.regexp_extract("call_id", "[0-9]+", 0).cast("bigint").alias("user_id"), micros("start_timestamp").alias("start_us"),
+        micros("end_timestamp").alias("end_us"), "state", "sip_from", F.col("pcap_filename").alias("output_filename"),
+    )
+
+
 def pcap_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of each user into a capture file, and all files back into rows."""
     rows = call_frames(spark, sf).withColumn("call_file", F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".pcap")))

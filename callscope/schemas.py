@@ -55,6 +55,12 @@ SIP_CALLS = T.StructType([
     T.StructField("updated_at", T.TimestampType()),
 ])
 
+# A change of the calls table: values, what it does, its place among the changes of its call, and which retractions take it back.
+CALL_CHANGES = T.StructType(
+    [T.StructField(f.name, f.dataType) for f in SIP_CALLS.fields]
+    + [T.StructField("kind", T.StringType()), T.StructField("change_no", T.LongType()), T.StructField("revision", T.LongType())]
+)
+
 # Column order of the delivered CSV tables.
 DETECTED_CALLS_COLUMNS = ["call_id", "start_timestamp", "output_pcap_filename", "sip_from", "sip_to", "s3_location"]
 CALL_STATISTICS_COLUMNS = [

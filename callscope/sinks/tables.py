@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from callscope.functions.values import fixed2, hex8, rfc3339
 from callscope.operators.nest import nest, stream_item
 from callscope.operators.sessions import ACTIVE
 from callscope.operators.slots import MINUTE_US
-from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_changes
-from callscope.schemas import CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
+from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_changes, needed_changes, without_retracted
+from callscope.schemas import CALL_CHANGES, CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
 from callscope.sources.storage import finished, subfolders
 
 CHANGES_PER_US = 4
@@ -136,7 +137,9 @@ class CallsTable:
 
     A batch is a folder named by who wrote it and its number with that writer, so writers never meet, and a batch written again replaces itself.
     ``compact`` folds the log into a new base, which lists the batches it holds: what a reader still has to merge is every finished batch that isn't
-    listed, whenever it arrives. Merging touches the calls that the log names; all others pass through.
+    listed, whenever it arrives. A base holds the rows, and beside them the changes they came from (``needed_changes``): a call that the log names is
+    folded anew from all its changes in their order, so neither the order of batches nor the moments of compaction alter an answer, and an update
+    may come long before the insert it waits for. All other calls pass through.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -145,11 +148,14 @@ class CallsTable:
     def append(self, changes: DataFrame, batch: int = 0, writer: str | None = None) -> None:
         """Add a batch. A writer that may have to repeat its batches names itself; without a name, each call is a writer of its own."""
         folder = f"{self.path}/changes/writer={writer or uuid.uuid4().hex}/batch={batch:012d}"
-        check_states(changes).write.mode("overwrite").parquet(folder)
+        if "revision" not in changes.columns:
+            changes = changes.withColumn("revision", F.lit(0).cast("bigint"))
+        checked = check_states(changes).select(*[F.col(f.name).cast(f.dataType) for f in CALL_CHANGES.fields])
+        checked.write.mode("overwrite").parquet(folder)
 
     def read(self) -> DataFrame:
         base = self._base()
-        return self._merged(base, self._waiting(base))
+        return self._merged(base, self._waiting(base))[0]
 
     def compact(self) -> None:
         """Write a new base from the base and the batches that wait."""
@@ -159,22 +165,25 @@ class CallsTable:
             return
         version = int(base.split("=")[1].split("-")[0]) + 1 if base else 0
         folder = f"{self.path}/base/version={version:012d}-{uuid.uuid4().hex}"
+        rows, history = self._merged(base, waiting)
+        history.repartitionByRange(*CALLS_KEY).sortWithinPartitions(*CALLS_KEY, "change_no").write.parquet(f"{folder}/history")
         # A fold keeps one row per key; files sorted by start and state let readers of a time span or state skip most of them.
-        table = self._merged(base, waiting).withColumn("start_date", F.to_date("start_timestamp"))
-        table = table.repartitionByRange("start_date", "start_timestamp").sortWithinPartitions("start_date", "state", "instance_id")
-        table.write.partitionBy("start_date").parquet(f"{folder}/rows")
-        # Written last: a base counts once its list is there. One name per batch, so the list is as long as the log, not the table.
-        names = sorted({*self._folded(base), *waiting})
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{folder}/holds")
+        rows = rows.withColumn("start_date", F.to_date("start_timestamp"))
+        rows = rows.repartitionByRange("start_date", "start_timestamp").sortWithinPartitions("start_date", "state", "instance_id")
+        rows.write.partitionBy("start_date").parquet(f"{folder}/rows")
+        # Written last: a base counts once its list is there. Runs of a writer's numbers make it as short as there are writers.
+        held = self.spark.createDataFrame(_runs({*self._folded(base), *waiting}), HELD)
+        held.coalesce(1).write.parquet(f"{folder}/holds")
 
     def publish(self, name: str) -> None:
-        """Let the catalog show the table under a name: as of now, partitioned by start date."""
+        """Let the catalog show the table under a name, as of now. Readers find the former state until the new one is there."""
         self.compact()
         base = self._base()
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        create_calls_table(self.spark, name, f"{self.path}/base/{base}/rows" if base else None)
+        own = f"{name}__{uuid.uuid4().hex}"
+        create_calls_table(self.spark, own, f"{self.path}/base/{base}/rows" if base else None)
         if base:
-            self.spark.sql(f"MSCK REPAIR TABLE {name}")
+            self.spark.sql(f"MSCK REPAIR TABLE {own}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {own}")
 
     def _base(self) -> str | None:
         """Folder name of the newest whole base."""
@@ -182,7 +191,10 @@ class CallsTable:
         return max(whole, default=None)
 
     def _folded(self, base: str | None) -> set[str]:
-        return {r["batch"] for r in self.spark.read.parquet(f"{self.path}/base/{base}/holds").collect()} if base else set()
+        if not base:
+            return set()
+        runs = self.spark.read.schema(HELD).parquet(f"{self.path}/base/{base}/holds").collect()
+        return {f"{r['writer']}/batch={n:012d}" for r in runs for n in range(r["first"], r["last"] + 1)}
 
     def _waiting(self, base: str | None) -> list[str]:
         """Finished batches that the base doesn't hold."""
@@ -194,24 +206,51 @@ class CallsTable:
                     found.append(name)
         return found
 
-    def _merged(self, base: str | None, waiting: list[str]) -> DataFrame:
-        if base:
-            rows = self.spark.read.parquet(f"{self.path}/base/{base}/rows").select(*SIP_CALLS.fieldNames())
-        else:
-            rows = self.spark.createDataFrame([], SIP_CALLS)
+    def _stored(self, base: str | None, part: str, schema: StructType) -> DataFrame:
+        """Rows or history of a base; without one, or where it has none, an empty table."""
+        if not base:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/base/{base}/{part}").select(*schema.fieldNames())
+
+    def _merged(self, base: str | None, waiting: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The table's rows, and the changes that they hang on."""
+        rows, history = self._stored(base, "rows", _nullable(SIP_CALLS)), self._stored(base, "history", CALL_CHANGES)
         if not waiting:
-            return rows
-        changes = self.spark.read.parquet(*[f"{self.path}/changes/{name}" for name in waiting])
+            return rows, history
+        changes = self.spark.read.schema(CALL_CHANGES).parquet(*[f"{self.path}/changes/{name}" for name in waiting])
         keys = changes.select(*CALLS_KEY).distinct()
+        touched = needed_changes(
+            history.join(keys, CALLS_KEY, "left_semi").unionByName(changes), CALLS_KEY, "change_no", heavy=["rtp_statistics"]
+        )
         folded = fold_changes(
-            rows.join(keys, CALLS_KEY, "left_semi"), changes, CALLS_KEY, "change_no",
+            self.spark.createDataFrame([], SIP_CALLS), without_retracted(touched, CALLS_KEY), CALLS_KEY, "change_no",
             longest=["sip_from", "sip_to"],
             non_empty=["s3_location"],
             newest=["end_timestamp", "rtp_statistics", "updated_at"],
             fixed=["start_timestamp", "pcap_filename", "created_at"],
             slot_width=CHANGES_PER_US * MINUTE_US,
         )
-        return rows.join(keys, CALLS_KEY, "left_anti").unionByName(folded.select(*SIP_CALLS.fieldNames()))
+        others = rows.join(keys, CALLS_KEY, "left_anti").unionByName(folded.select(*SIP_CALLS.fieldNames()))
+        return others, history.join(keys, CALLS_KEY, "left_anti").unionByName(touched)
+
+
+HELD = "writer string, first bigint, last bigint"
+
+
+def _nullable(schema: StructType) -> StructType:
+    """What a file gives back: a column that must not be null is checked when it is written."""
+    return StructType([StructField(f.name, f.dataType) for f in schema.fields])
+
+
+def _runs(names: set[str]) -> list[tuple[str, int, int]]:
+    """Batches ``writer=.../batch=...`` as runs of numbers (writer, first, last)."""
+    runs: list[tuple[str, int, int]] = []
+    for writer, n in sorted((w, int(b.split("=")[1])) for w, b in (name.split("/") for name in names)):
+        if runs and runs[-1][0] == writer and runs[-1][2] == n - 1:
+            runs[-1] = (writer, runs[-1][1], n)
+        else:
+            runs.append((writer, n, n))
+    return runs
 
 
 def create_calls_table(spark: SparkSession, name: str, location: str | None = None) -> None:

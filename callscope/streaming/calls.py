@@ -1,4 +1,4 @@
-"""Calls from a stream of messages: stateful sessions per call, written to the calls table batch by batch."""
+"""Calls from a stream of messages: stateful sessions per call in any order of arrival, written to the calls table batch by batch."""
 
 from __future__ import annotations
 
@@ -6,105 +6,139 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from callscope.functions.values import micros
 from callscope.functions.naming import output_filename
-from callscope.operators.sessions import ACTIVE, FINISHED, TIMED_OUT
-from callscope.operators.upsert import INSERT, UPDATE
+from callscope.operators.sequence import with_endpoints
+from callscope.operators.sessions import ACTIVE
 from callscope.schemas import SIP_CALLS
 from callscope.sinks.tables import CallsTable, change_number
 from callscope.sources.storage import kept_name
+from callscope.streaming.rows import plain_rows
+from callscope.streaming.timeline import Timeline
 
 CHANGES = (
     "instance_id string, call_id string, call_seq long, kind string, start_us long, last_us long, at_us long, state string, "
-    "sip_from string, sip_to string, n_rows long"
+    "sip_from string, sip_to string, n_rows long, revision long, rtp_statistics string"
 )
-STATE = "call_seq long, is_open boolean, start_us long, last_us long, sip_from string, sip_to string, n_rows long"
-
-
-def _session_step(timeout_us: int):
-    """Advance the session of one call over the rows of a micro-batch, or end it when its timer fires."""
+#: Rows that came too late for what the state still holds: their values, as they arrived.
+LATE = "late"
+STATE = "timeline string"
+
+
+_INPUT = ("us", "frame_no", "opens", "closes", "sip_from", "sip_to", "ptime", "registered_us", "registered_no", "seq", "ssrc", "src_endpoint", "dst_endpoint")
+
+
+class CallSessions(StatefulProcessor):
+    """Keeps the timeline of one call and hands on what a micro-batch, or a timer, changes in its calls."""
+
+    def __init__(self, timeout_us: int, keep_us: int | None, always: bool):
+        self.timeout_us, self.keep_us, self.always = timeout_us, keep_us, always
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("timeline", STATE)
+
+    def _timeline(self) -> Timeline:
+        return Timeline.of(self.state.get()[0] if self.state.exists() else None)
+
+    def _settle(self, key: tuple, timeline: Timeline, watermark_ms: int, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Derive the calls, forget what is over, set the timer, keep the state."""
+        now = watermark_ms * 1000 if watermark_ms > 0 else None
+        out += [(*key, *change) for change in timeline.advance(self.timeout_us, now, self.always)]
+        if now is not None and self.keep_us is not None:
+            timeline.forget(now - self.keep_us - max(self.timeout_us, 0))
+        due = timeline.due(self.timeout_us, self.keep_us)
+        # Silence must be longer than the timeout, and timers count whole milliseconds.
+        wanted = None if due is None else max(due // 1000 + 1, watermark_ms + 1)
+        if timeline.timer != wanted:
+            if timeline.timer is not None and timeline.timer > watermark_ms:
+                self.handle.deleteTimer(timeline.timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+            timeline.timer = wanted
+        if timeline.empty:
+            self.state.clear()
+        else:
+            self.state.update((timeline.text(),))
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGES.split(", ")])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, is_open, start, last, sip_from, sip_to, n = state.get if state.exists else (0, False, 0, 0, None, None, 0)
-        out: list[tuple] = []
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        timeline, out = self._timeline(), []
+        watermark = timerValues.getCurrentWatermarkInMs()
+        oldest = watermark * 1000 - self.keep_us if self.keep_us is not None and watermark > 0 else None
+        packets = []
+        for us, frame_no, opening, closing, sip_from, sip_to, ptime, *of_packet in plain_rows(rows, _INPUT):
+            if oldest is not None and us < oldest:
+                kind = "close" if closing else "open" if opening else None
+                out.append((*key, frame_no, LATE, us, us, us, kind, sip_from, sip_to, 1, timeline.revision, None))
+            elif of_packet[0] is not None:
+                packets.append((us, frame_no, *of_packet))
+            else:
+                timeline.add_message(us, frame_no, bool(opening), bool(closing), sip_from, sip_to, ptime)
+        for us, frame_no, by_us, by_no, seq, ssrc, source, destination in sorted(packets, key=lambda p: p[:2]):
+            timeline.add_media(us, frame_no, (by_us, by_no), self.timeout_us)
+            if seq is not None:
+                timeline.add_packet(ssrc, seq, us, frame_no, (by_us, by_no), source, destination, self.timeout_us)
+        yield from self._settle(key, timeline, watermark, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        timeline = self._timeline()
+        timeline.timer = None
+        yield from self._settle(key, timeline, timerValues.getCurrentWatermarkInMs(), [])
+
+    def close(self) -> None:
+        pass
 
-        def emit(kind: str, at: int, status: str) -> None:
-            out.append((*key, seq, kind, start, last, at, status, sip_from, sip_to, n))
 
-        def close(at: int, status: str) -> None:
-            nonlocal is_open, seq
-            if is_open:
-                emit(UPDATE, at, status)
-            is_open, seq = False, seq + 1
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep state in RocksDB from now on: stateful processors with timers need it, and it spills to disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-        if state.hasTimedOut:
-            close(last, TIMED_OUT)
-            # The number of the next call must survive, so the state stays, small, without a timer.
-            state.update((seq, False, start, last, None, None, 0))
-        else:
-            grown = False
-            rows = pd.concat(list(frames)).sort_values(["us", "frame_no"], kind="stable")
-            columns = ("us", "opens", "closes", "sip_from", "sip_to")
-            for us, opening, closing, new_from, new_to in zip(*(rows[c].tolist() for c in columns)):
-                if is_open and timeout_us > 0 and us - last > timeout_us:
-                    close(last, TIMED_OUT)
-                if not is_open and opening:
-                    is_open, start, last, sip_from, sip_to, n, grown = True, us, us, new_from, new_to, 0, False
-                    emit(INSERT, us, ACTIVE)
-                if is_open:
-                    last, n = us, n + 1
-                    if new_from is not None and len(new_from.encode()) > len((sip_from or "").encode()):
-                        sip_from, grown = new_from, True
-                    if new_to is not None and len(new_to.encode()) > len((sip_to or "").encode()):
-                        sip_to, grown = new_to, True
-                    if closing:
-                        close(us, FINISHED)
-                        grown = False
-            if is_open and grown:
-                emit(UPDATE, last, ACTIVE)
-            state.update((seq, is_open, start, last, sip_from, sip_to, n))
-            if is_open and timeout_us > 0:
-                state.setTimeoutTimestamp(max((last + timeout_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGES.split(", ")])
 
-    return step
+def _none(**kinds: str) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
 
 
 def stream_sessions(
-    messages: DataFrame, opens: Column, closes: Column, timeout_us: int, lateness: str = "10 seconds", ts: str = "ts"
+    messages: DataFrame, opens: Column, closes: Column, timeout_us: int, lateness: str = "10 seconds", ts: str = "ts",
+    media: DataFrame | None = None, keep_us: int | None = None, always: bool = False,
 ) -> DataFrame:
     """Changes of calls (``CHANGES``) from a stream with instance_id, call_id, frame_no, sip_from and sip_to.
 
-    Rows of one micro-batch are taken in time order. A call is timed out once the watermark passes its last activity by more
-    than the timeout. What one task holds is bounded by the size of a micro-batch (``maxFilesPerTrigger``).
+    Rows may arrive in any order: a late one changes the timeline of its call, and calls that are others now are retracted and handed on anew.
+    ``lateness`` only says how far behind the newest row silence is judged. ``media`` are packets attached to calls (``PACKETS`` of ``stream_media``),
+    which keep a call alive; of them the state holds stretches and one summary for each SSRC, and a call that ends, or with ``always`` each call in each micro-batch, carries the statistics of its streams. What ended longer than ``keep_us`` ago (default: never) is left out of the
+    state, and rows older than that are handed on as LATE. A call's number ``call_seq`` is its start, so that no call changes the name of another.
+
+    Needs the RocksDB state store. A silence ends a call once the watermark has passed it.
     """
-    rows = messages.withColumn("event_ts", F.col(ts).cast("timestamp")).withWatermark("event_ts", lateness)
-    rows = rows.select(
-        "instance_id",
-        "call_id",
-        "event_ts",
-        "frame_no",
-        micros("event_ts").alias("us"),
-        F.coalesce(opens, F.lit(False)).alias("opens"),
-        F.coalesce(closes, F.lit(False)).alias("closes"),
-        "sip_from",
-        "sip_to",
+    rows = messages.withColumn("event_ts", F.col(ts).cast("timestamp")).withWatermark("event_ts", lateness).select(
+        "instance_id", "call_id", micros("event_ts").alias("us"), F.col("frame_no").cast("bigint").alias("frame_no"),
+        F.coalesce(opens, F.lit(False)).alias("opens"), F.coalesce(closes, F.lit(False)).alias("closes"), "sip_from", "sip_to",
+        (F.col("ptime") if "ptime" in messages.columns else F.lit(None)).cast("int").alias("ptime"), *_none(registered_us="bigint", registered_no="bigint", seq="int", ssrc="bigint", src_endpoint="string", dst_endpoint="string"),
     )
-    return rows.groupBy("instance_id", "call_id").applyInPandasWithState(
-        _session_step(timeout_us), CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    if media is not None:
+        rows = rows.unionByName(with_endpoints(media).select(
+            "instance_id", "call_id", "us", "frame_no", *_none(opens="boolean", closes="boolean", sip_from="string", sip_to="string", ptime="int"),
+            "registered_us", "registered_no", "seq", "ssrc", "src_endpoint", "dst_endpoint",
+        ))
+    # The event time itself stays behind here: Spark would drop rows older than the watermark.
+    return rows.groupBy("instance_id", "call_id").transformWithStateInPandas(
+        CallSessions(timeout_us, keep_us, always), outputStructType=CHANGES, outputMode="append", timeMode="eventTime"
     )
 
 
 def table_changes(changes: DataFrame) -> DataFrame:
     """Session changes as changes of the calls table."""
-    at = F.timestamp_micros("at_us")
+    at, kind = F.timestamp_micros("at_us"), SIP_CALLS["rtp_statistics"].dataType
+    statistics = F.from_json("rtp_statistics", kind) if "rtp_statistics" in changes.columns else F.lit(None).cast(kind)
     return changes.select(
         "call_id",
         "instance_id",
@@ -116,11 +150,12 @@ def table_changes(changes: DataFrame) -> DataFrame:
         "sip_to",
         F.lit("").alias("s3_location"),
         "state",
-        F.lit(None).cast(SIP_CALLS["rtp_statistics"].dataType).alias("rtp_statistics"),
+        statistics.alias("rtp_statistics"),
         F.timestamp_micros("start_us").alias("created_at"),
         at.alias("updated_at"),
         "kind",
         change_number(F.col("at_us"), F.col("kind"), F.col("state")).alias("change_no"),
+        F.col("revision") if "revision" in changes.columns else F.lit(0).cast("bigint").alias("revision"),
     )
 
 
@@ -128,10 +163,20 @@ def write_calls(changes: DataFrame, table: CallsTable, checkpoint: str, **trigge
     """Append each micro-batch to the log of the calls table.
 
     The stream's name as a writer lies beside its checkpoint: a repeated micro-batch replaces its own folder, and streams with other checkpoints never touch it.
+    Rows that came too late lie beside the table, below ``late``.
     """
     writer = kept_name(table.spark, f"{checkpoint.rstrip('/')}-writer")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        table.append(table_changes(batch.filter(F.col("kind") != LATE)), number, writer)
+        late = batch.filter(F.col("kind") == LATE)
+        if not late.isEmpty():
+            late.write.mode("overwrite").parquet(f"{table.path}/late/writer={writer}/batch={number:012d}")
+        batch.unpersist()
+
     return (
-        changes.writeStream.foreachBatch(lambda batch, number: table.append(table_changes(batch), number, writer))
+        changes.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
