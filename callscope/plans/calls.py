@@ -24,8 +24,9 @@ from callscope.options import Options
 from callscope.sources.storage import stored
 
 CALL = ["instance_id", "call_id"]
-ORDER = ["ts", "frame_no"]
-FRAME = ["instance_id", "capture_file", *ORDER]
+#: Frames of several captures may share a time and a number.
+ORDER = ["ts", "frame_no", "capture_file"]
+FRAME = ["instance_id", *ORDER]
 OWNER = ["call_id", "registered"]
 
 
@@ -101,7 +102,7 @@ def call_timeline(messages: DataFrame, media: DataFrame, options: Options) -> Da
     sip = messages.select(
         *CALL, *ORDER, "method", "sip_from", "sip_to", "ptime", "mirror", F.lit(None).cast(_position_type(media)).alias("registered"),
         F.lit(None).cast("int").alias("seq"), F.lit(None).cast("bigint").alias("ssrc"),
-        "capture_file", "src_ip", "src_port", "dst_ip", "dst_port",
+        "src_ip", "src_port", "dst_ip", "dst_port",
     )
     rows = sip.unionByName(media, allowMissingColumns=True)
     marked = mark_sessions(rows, CALL, ORDER, opens(), closes(), options.call_timeout_us, hot_rows=options.hot_rows, slot_us=options.slot_us)
@@ -177,27 +178,50 @@ def analyse_calls(packets: DataFrame, options: Options, capture_end_us: Column |
     messages = stored(signalling_messages(datagrams, options).drop("data", "body"), "messages")
     registrations = stored(endpoint_registrations(messages, options), "registrations")
     candidates = datagrams.filter(is_media_candidate(options.ports)).select(
-        "instance_id", *ORDER, "capture_file", "src_ip", "src_port", "dst_ip", "dst_port", "seq", "ssrc", "mirror"
+        *FRAME, "src_ip", "src_port", "dst_ip", "dst_port", "seq", "ssrc", "mirror"
     )
     looked_up = dict(until="ended", scope=["instance_id"], hot_rows=options.hot_rows, slot_us=options.slot_us)
     media = stored(attach_media(candidates, registrations, ORDER, OWNER, **looked_up), "media")
     timeline = stored(call_timeline(messages, media.drop("matched_by"), options), "timeline")
-    # A call that has timed out holds no endpoint: its media is tried again by the source, and what that finds may keep other calls open. Each
-    # pass moves packets from destination to source only, so there are as many passes as calls that wait for each other, and usually none.
-    while not (missed := stored(missed_media(media, timeline), "missed")).isEmpty():
-        again = attach_side(missed.drop(*OWNER, "matched_by"), "src", registrations, ORDER, OWNER, **looked_up)
-        found = again.filter(F.col(OWNER[0]).isNotNull()).withColumn("matched_by", F.lit("src"))
-        media = stored(media.join(missed.select(*FRAME), FRAME, "left_anti").unionByName(found), "media")
-        timeline = stored(call_timeline(messages, media.drop("matched_by"), options), "timeline")
+    timeline = _settled_timeline(messages, media, timeline, registrations, options, looked_up)
     calls = stored(summarise_calls(timeline, capture_end_us, options), "calls")
     streams = call_streams(timeline, calls, capture_end_us, options)
     return CallAnalysis(datagrams, messages, registrations, timeline, calls, streams)
 
 
+def _settled_timeline(messages: DataFrame, media: DataFrame, timeline: DataFrame, registrations: DataFrame, options: Options, looked_up: dict) -> DataFrame:
+    """
+    The timeline after all media that was missed has been tried by its source.
+
+    A call that has timed out holds no endpoint: its media is tried again by the source, and what that finds may keep other calls open. Each
+    pass moves packets from destination to source only, so there are as many passes as calls that wait for each other, and usually none. A pass
+    looks at the calls that the one before it changed, those that lost packets and those that got some, and writes their rows only.
+    """
+    media_parts, parts, changed = [media], [timeline], []
+
+    def newest(tables: list[DataFrame]) -> DataFrame:
+        """Each call's rows from the last table that it was changed in."""
+        out = tables[0]
+        for calls, table in zip(changed, tables[1:]):
+            out = out.join(calls, CALL, "left_anti").unionByName(table)
+        return out
+
+    while not (missed := stored(missed_media(media_parts[-1], parts[-1]), "missed")).isEmpty():
+        again = attach_side(missed.drop(*OWNER, "matched_by"), "src", registrations, ORDER, OWNER, **looked_up)
+        found = stored(again.filter(F.col(OWNER[0]).isNotNull()).withColumn("matched_by", F.lit("src")), "found")
+        calls = stored(missed.select(*CALL).unionByName(found.select(*CALL)).distinct(), "changed")
+        own = newest(media_parts).join(calls, CALL, "left_semi").join(missed.select(*FRAME), FRAME, "left_anti")
+        media_parts.append(stored(own.unionByName(found), "media"))
+        rows = call_timeline(messages.join(calls, CALL, "left_semi"), media_parts[-1].drop("matched_by"), options)
+        parts.append(stored(rows, "timeline"))
+        changed.append(calls)
+    return stored(newest(parts), "timeline") if changed else timeline
+
+
 def call_packets(analysis: CallAnalysis, options: Options) -> DataFrame:
     """The frames of each call: messages always, media unless the privacy rules drop or clear it."""
     names = analysis.calls.select(*CALL, "call_seq", "output_filename", "clear_media")
-    rows = analysis.timeline.select(*CALL, "call_seq", *ORDER, "capture_file", "method").join(names, [*CALL, "call_seq"])
+    rows = analysis.timeline.select(*CALL, "call_seq", *ORDER, "method").join(names, [*CALL, "call_seq"])
     file = F.when(F.col("call_seq") == 0, F.col("output_filename")).otherwise(
         F.concat(F.regexp_replace("output_filename", r"\.pcap$", ""), F.lit("-"), F.col("call_seq").cast("string"), F.lit(".pcap"))
     )
@@ -206,10 +230,8 @@ def call_packets(analysis: CallAnalysis, options: Options) -> DataFrame:
     if options.privacy_mode == "drop":
         rows = rows.filter(~hidden)
     # Frames come back in only here, by their number.
-    frames = analysis.datagrams.select(
-        "instance_id", "capture_file", *ORDER, "cap_len", "orig_len", "link_type", "data", "payload_at", "payload_size"
-    )
-    rows = rows.join(frames, ["instance_id", "capture_file", *ORDER])
+    frames = analysis.datagrams.select(*FRAME, "cap_len", "orig_len", "link_type", "data", "payload_at", "payload_size")
+    rows = rows.join(frames, FRAME)
     if options.privacy_mode == "zero":
         end = F.col("payload_at") + F.col("payload_size")
         rows = settle(rows, {"payload": payload_of_frame()})

@@ -1,6 +1,7 @@
 """A generated capture through the whole analysis, against a fold that goes packet by packet."""
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,30 @@ def test_capture_formats(spark, tmp_path, order, nano):
     assert [r.frame_no for r in rows] == list(range(1, 51))
 
 
+def test_large_capture_is_cut_without_a_pass_over_it(spark, tmp_path):
+    """Pieces find their first record by themselves; payloads that look like record headers don't mislead, and a file that can't be cut so is still read."""
+    from callscope.sources import pcap
+
+    draw = random.Random(4)
+    fake = struct.pack("<IIII", T0 // 1_000_000, 5, 60, 60)
+    records = [(T0 + i * 1000, draw.randbytes(draw.randrange(1, 1400)) + fake * draw.choice([0, 0, 1, 40])) for i in range(800)]
+    c.write_pcap(tmp_path / "x.pcap", records)
+    c.write_pcap(tmp_path / "decoy.pcap", [(T0, fake * 3), *[(T0 + i, (struct.pack("<IIII", T0 // 1_000_000, 5, 16, 16) + bytes(16)) * 60) for i in range(40)]])
+    c.write_pcap(tmp_path / "empty.pcap", [])
+    c.write_pcap(tmp_path / "long.pcap", [(T0, b"x" * 100_000), (T0 + 1, b"y"), (T0 + 2, b"z" * 50_000)])
+    for split in (700, 5000, 100_000, 1 << 26):
+        rows = read_pcap(spark, str(tmp_path / "*.pcap"), split_bytes=split)
+        found = {}
+        for r in sorted(rows.collect(), key=lambda r: r.frame_no):
+            found.setdefault(r.capture_file.split("/")[-1], []).append((r.frame_no, bytes(r.data)))
+        assert found["x.pcap"] == list(enumerate((d for _, d in records), 1))
+        assert len(found["decoy.pcap"]) == 41 and [len(d) for _, d in found["long.pcap"]] == [100_000, 1, 50_000] and "empty.pcap" not in found
+    size = (tmp_path / "x.pcap").stat().st_size
+    pieces = [{"at": 24, "start": 24, "stop": 90, "n": 2}, {"at": 80, "start": 90, "stop": size, "n": 3}]
+    assert pcap._joined(pieces, size) == [(24, 90, 1), (90, size, 3)]
+    assert pcap._joined([pieces[0], pieces[1] | {"start": 91}], size) == []
+
+
 def test_cut_off_capture(spark, tmp_path):
     records = [(T0 + i, bytes([i]) * 40) for i in range(30)]
     c.write_pcap(tmp_path / "cut.pcap", records)
