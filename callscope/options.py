@@ -31,7 +31,10 @@ class Options:
     s3_uri: str = ""
     s3_region: str = ""
     upload: bool = False
+    #: Names the frames of a table that has no ``instance_id`` of its own.
     instance_id: str = "default"
+    #: Media counts for the mirror sessions of a call, too.
+    mirror_media: bool = False
     skip_port_zero: bool = False
     compat_body: bool = False
     hot_rows: int | None = None

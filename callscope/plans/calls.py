@@ -14,9 +14,10 @@ from callscope.functions.sdp import DEFAULT_PTIME, explode_endpoints, parse_bodi
 from callscope.functions.sip import is_answer, parse_messages, valid_messages
 from callscope.functions.values import micros, position
 from callscope.operators.attach import attach_media, attach_side
-from callscope.operators.fragments import reassemble
+from callscope.operators.fragments import FRAGMENT_KEYS, fragment_counters, reassemble
+from callscope.operators.fragments import datagrams as fragment_datagrams
 from callscope.operators.filters import is_media_candidate, is_signalling, non_empty, source_filter
-from callscope.operators.packets import IP_COLUMNS, decapsulate, decode_ip, decode_rtp, decode_transport
+from callscope.operators.packets import IP_COLUMNS, capture_counters, decapsulate, decode_ip, decode_rtp, decode_transport, is_fragment, mirror_sessions
 from callscope.operators.sequence import effective_ptime, expected_packets, stream_statistics, with_endpoints
 from callscope.operators.settle import settle
 from callscope.operators.sessions import FINISHED, TIMED_OUT, mark_sessions, session_state
@@ -32,7 +33,7 @@ OWNER = ["call_id", "registered"]
 
 @dataclass(frozen=True)
 class CallAnalysis:
-    """The tables of one analysis."""
+    """The tables of one analysis. Counters, fragments and mirror sessions are computed when they are read."""
 
     datagrams: DataFrame
     messages: DataFrame
@@ -40,12 +41,19 @@ class CallAnalysis:
     timeline: DataFrame
     calls: DataFrame
     streams: DataFrame
+    counters: DataFrame
+    fragments: DataFrame | None
+    mirror_sessions: DataFrame
+
+
+def _with_instance(packets: DataFrame, options: Options) -> DataFrame:
+    return packets if "instance_id" in packets.columns else packets.withColumn("instance_id", F.lit(options.instance_id))
 
 
 def decode_datagrams(packets: DataFrame, options: Options) -> DataFrame:
     """TCP and UDP payloads of captured frames, opened and reassembled as the options say."""
     whole = dict(scope=["instance_id"], timeout_us=options.fragment_timeout_us, hot_rows=options.hot_rows, slot_us=options.slot_us)
-    rows = decode_ip(packets)
+    rows = decode_ip(_with_instance(packets, options))
     if options.mirror_enabled:
         rows = source_filter(rows, options.source_filter, mirror_mode=True)
         if options.reassemble:
@@ -65,6 +73,20 @@ def decode_datagrams(packets: DataFrame, options: Options) -> DataFrame:
     return rows.withColumn("payload_size", F.octet_length("payload")).drop("ip_payload", "payload")
 
 
+def fragment_summary(packets: DataFrame, options: Options, capture_end_us: Column) -> DataFrame:
+    """Counters of the fragments of captured frames, one row: of the frames themselves and, in mirror mode, of those opened."""
+    keys = ["instance_id", *FRAGMENT_KEYS]
+    timing = dict(timeout_us=options.fragment_timeout_us, hot_rows=options.hot_rows, slot_us=options.slot_us)
+    rows = decode_ip(_with_instance(packets, options))
+    found = fragment_datagrams(rows.filter(is_fragment()), keys, capture_end_us=capture_end_us, **timing).select("n_fragments", "status")
+    if options.mirror_enabled:
+        rows = decapsulate(reassemble(rows, scope=["instance_id"], **timing), options.mirror_span_ids, options.mirror_vlans)
+        opened = decode_ip(rows.filter(F.col("mirror").isNotNull()).drop(*IP_COLUMNS))
+        inner = fragment_datagrams(opened.filter(is_fragment()), keys, capture_end_us=capture_end_us, **timing)
+        found = found.unionByName(inner.select("n_fragments", "status"))
+    return fragment_counters(found)
+
+
 def payload_of_frame() -> Column:
     return part(F.col("data"), F.col("payload_at"), F.col("payload_size"))
 
@@ -186,7 +208,11 @@ def analyse_calls(packets: DataFrame, options: Options, capture_end_us: Column |
     timeline = _settled_timeline(messages, media, timeline, registrations, options, looked_up)
     calls = stored(summarise_calls(timeline, capture_end_us, options), "calls")
     streams = call_streams(timeline, calls, capture_end_us, options)
-    return CallAnalysis(datagrams, messages, registrations, timeline, calls, streams)
+    counters = capture_counters(packets)
+    fragments = fragment_summary(packets, options, capture_end_us) if options.reassemble else None
+    mirrored = timeline if options.mirror_media else timeline.filter(F.col("method").isNotNull())
+    spans = mirror_sessions(mirrored, [*CALL, "call_seq"], ORDER)
+    return CallAnalysis(datagrams, messages, registrations, timeline, calls, streams, counters, fragments, spans)
 
 
 def _settled_timeline(messages: DataFrame, media: DataFrame, timeline: DataFrame, registrations: DataFrame, options: Options, looked_up: dict) -> DataFrame:

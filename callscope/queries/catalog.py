@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callscope.queries import events as e
+from callscope.queries import outputs as o
 from callscope.queries import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,4 +62,13 @@ def queries() -> dict[str, Query]:
         "stream_call_streams": t.stream_call_streams,
         "stream_call_analysis": t.stream_call_analysis,
         "pcap_roundtrip": t.pcap_roundtrip,
+        "call_index": o.call_index,
+        "call_statistics_table": o.call_statistics_table,
+        "call_packet_table": o.call_packet_table,
+        "table_statistics": o.table_statistics,
+        "filtered_source": o.filtered_source,
+        "arriving_captures": o.arriving_captures,
+        "rebuilt_packets": o.rebuilt_packets,
+        "analysis_counters": o.analysis_counters,
+        "mirrored_calls": o.mirrored_calls,
     }

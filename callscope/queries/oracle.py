@@ -73,6 +73,16 @@ _REASSEMBLED = f"""WITH {_FRAGMENTS} SELECT doc_id, n_fragments, CASE WHEN whole
     CASE WHEN whole THEN CAST(size AS INT) END AS size, CASE WHEN whole THEN md5(text) END AS digest FROM f WHERE n_fragments > 0"""
 
 
+#: Bytes of the frame made of an event; `body` is the length of its session description.
+_FRAME_SIZE = """CAST(CASE WHEN event_type IN ('signup', 'error') THEN
+              42 + 2 * length('user-' || user_id) - length('user-' || user_id)
+              + length(CASE WHEN event_type = 'signup' THEN 'INVITE' ELSE 'BYE' END || ' sip:b SIP/2.0')
+              + length(CAST(event_id AS VARCHAR))
+              + length('....Via: SIP/2.0/UDP x..Call-ID: ..f: <sip:u>;tag=..To:  <sip:b> ..Content-Length: ') - 2
+              + length(CAST(body AS VARCHAR)) + 2 + 2 + body
+            ELSE 58 END AS INT)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sessions = f"WITH {_SESSIONS} "
     in_calls = f"""WITH {_SESSIONS}, m AS (SELECT i.*, i.seg AS call FROM i WHERE in_call = 1 AND event_type NOT IN ('signup', 'error')),
@@ -213,13 +223,40 @@ def oracle_sql() -> dict[str, str]:
             substr(sha256('user-' || calls.user_id), 1, 16) || '.pcap' AS output_filename FROM calls""",
         "call_streams": streams,
         "stream_call_streams": streams,
+        "call_index": sessions + """SELECT 'user-' || user_id AS call_id, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%SZ') AS start_timestamp,
+            substr(sha256('user-' || user_id), 1, 16) || '.pcap' AS output_pcap_filename, '<sip:u>;tag=' || first_id AS sip_from, '<sip:b>' AS sip_to, '' AS s3_location FROM calls""",
+        "call_statistics_table": in_calls + """ SELECT 'user-' || stats.user_id AS call_id, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%SZ') AS start_timestamp,
+            substr(sha256('user-' || stats.user_id), 1, 16) || '.pcap' AS output_pcap_filename,
+            (SELECT '<sip:u>;tag=' || arg_max(event_id, length(CAST(event_id AS VARCHAR)) * 1000000000000 - event_id) FROM i
+              WHERE in_call = 1 AND i.user_id = stats.user_id AND i.seg = stats.call AND event_type IN ('signup', 'error')) AS sip_from, '<sip:b>' AS sip_to,
+            '0x' || printf('%08x', stats.user_id) AS ssrc_hex, '10.1.0.0:9' AS src_rtp_endpoint,
+            '10.2.' || (stats.user_id % 65536 // 256) || '.' || (stats.user_id % 256) || ':4000' AS dst_rtp_endpoint, CAST(packet_count AS VARCHAR) AS rtp_packet_count,
+            CAST(CAST(greatest(round((CASE WHEN state <> 'active' THEN last_us ELSE (SELECT max(us) FROM e) END - start_us) / 1000.0::DOUBLE / 30), 0) AS BIGINT) AS VARCHAR) AS expected_rtp_packets,
+            CAST(lost_packets AS VARCHAR) AS lost_packets, CAST(out_of_order_count AS VARCHAR) AS out_of_order_count, CAST(duplicate_count AS VARCHAR) AS duplicate_count,
+            -- Half a hundredth goes up.
+            printf('%d.%02d', CAST(round(max_delta_ms * 1000) AS BIGINT) // 1000, ((CAST(round(max_delta_ms * 1000) AS BIGINT) + 5) // 10) % 100) AS max_delta_ms,
+            printf('%d.%02d', ((CAST(round(min_delta_ms * 1000) AS BIGINT) + 5) // 10) // 100, ((CAST(round(min_delta_ms * 1000) AS BIGINT) + 5) // 10) % 100) AS min_delta_ms,
+            printf('%.2f', avg_delta_ms) AS avg_delta_ms, '30' AS ptime_ms, '' AS s3_location
+            FROM stats JOIN calls ON stats.user_id = calls.user_id AND stats.call = calls.call_seq""",
+        "call_packet_table": sessions + """SELECT substr(sha256('user-' || user_id), 1, 16)  AS call_file, count(*) AS packets,
+            count(*) FILTER (event_type IN ('signup', 'error')) AS messages, min(us) AS first_us, max(us) AS last_us
+            FROM i WHERE in_call = 1 AND (event_type IN ('signup', 'error') OR user_id % 5 <> 0) GROUP BY user_id, seg""",
+        "table_statistics": in_calls + """ SELECT 'user-' || stats.user_id AS call_id, start_us, state, printf('%08x', stats.user_id) AS ssrc, packet_count,
+            CAST(greatest(round((CASE WHEN state <> 'active' THEN last_us ELSE (SELECT max(us) FROM e) END - start_us) / 1000.0::DOUBLE / 30), 0) AS BIGINT) AS expected_packets,
+            lost_packets, out_of_order_count, duplicate_count, 30 AS ptime FROM stats JOIN calls ON stats.user_id = calls.user_id AND stats.call = calls.call_seq""",
+        "filtered_source": f"""WITH {_EVENTS} SELECT user_id, count(*) AS packets, CAST(min(seq) AS INT) AS least_seq, CAST(max(seq) AS INT) AS largest_seq
+            FROM e WHERE event_type NOT IN ('signup', 'error') GROUP BY 1""",
+        "arriving_captures": f"""WITH {_EVENTS} SELECT 'stream' AS instance_id, user_id % 8 AS "group", count(*) AS frames, count(*) AS numbers, min(us) AS first_us, sum({_FRAME_SIZE})::BIGINT AS bytes
+            FROM (SELECT *, length('v=0..c=IN IP4 10.2..' || (user_id // 256) || (user_id % 256) || '..m=audio 4000 RTP/AVP 0..a=ptime:30..') AS body FROM e) GROUP BY 2""",
+        "rebuilt_packets": f"""WITH {_FRAGMENTS} SELECT doc_id % 65536 AS ip_id, '10.0.0.' || (1 + doc_id // 65536) AS src_ip, 34 + size AS cap_len, md5(text) AS digest, (20 + size) % 65536 AS total_length
+            FROM f WHERE whole AND n_fragments > 0 AND size <= 65000""",
+        "analysis_counters": f"""WITH {_FRAGMENTS}, p AS (SELECT f.*, t.n FROM f JOIN t USING (doc_id) WHERE f.n_fragments > 0 AND f.size <= 65000),
+            c AS (SELECT CAST(sum(n_fragments) AS BIGINT) AS received, CAST(sum(n_fragments) FILTER (n > 1) AS BIGINT) AS total,
+              count(*) FILTER (n > 1 AND whole) AS reassembled, count(*) FILTER (n > 1 AND NOT whole) AS late FROM p)
+            SELECT unnest(['received', 'truncated', 'total', 'reassembled', 'timeout', 'active', 'dropped']) AS counter, unnest([received, 0, total, reassembled, late, 0, 0]) AS value FROM c""",
+        "mirrored_calls": sessions + """SELECT 'mirror-1' AS instance_id, 'user-' || user_id AS call_id, CAST(user_id % 8 AS INT) AS span_id, CAST(user_id % 64 AS INT) AS vlan,
+            1 AS version, min(us) AS first_us, count(*) AS packet_count FROM i WHERE in_call = 1 AND user_id % 8 IN (1, 2, 3) GROUP BY user_id, seg""",
         "pcap_roundtrip": f"""WITH {_EVENTS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS frame_no, us,
-            CAST(CASE WHEN event_type IN ('signup', 'error') THEN
-              42 + 2 * length('user-' || user_id) - length('user-' || user_id)
-              + length(CASE WHEN event_type = 'signup' THEN 'INVITE' ELSE 'BYE' END || ' sip:b SIP/2.0')
-              + length(CAST(event_id AS VARCHAR))
-              + length('....Via: SIP/2.0/UDP x..Call-ID: ..f: <sip:u>;tag=..To:  <sip:b> ..Content-Length: ') - 2
-              + length(CAST(body AS VARCHAR)) + 2 + 2 + body
-            ELSE 58 END AS INT) AS cap_len, 1 AS link_type
+            {_FRAME_SIZE} AS cap_len, 1 AS link_type
             FROM (SELECT *, length('v=0..c=IN IP4 10.2..' || (user_id // 256) || (user_id % 256) || '..m=audio 4000 RTP/AVP 0..a=ptime:30..') AS body FROM e)""",
     }

@@ -313,6 +313,7 @@ def document_fragments(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("piece") * F.lit(1480)).alias("fragment_offset"),
         (~last).alias("more_fragments"),
         F.substring("data", F.col("piece") * F.lit(1480) + F.lit(1), F.lit(1480)).alias("ip_payload"),
+        "size",
     )
 
 
