@@ -65,7 +65,7 @@ def load_packets(spark: SparkSession, path: str | None = None, stream: str | Non
 
 def unread_bytes(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES, tasks: int | None = None) -> DataFrame:
     """(capture_file, at, bytes) of what follows the last whole record: frames stop there, as in a file cut off while it was written."""
-    return _ranges(spark, spark.read.format("binaryFile").load(path), split_bytes, tasks).mapInArrow(_range_reader(rest_only=True), REST)
+    return _ranges(spark, spark.read.format("binaryFile").load(path), split_bytes, tasks).mapInArrow(range_reader(rest_only=True), REST)
 
 
 def _ranges(spark: SparkSession, files: DataFrame, split_bytes: int, tasks: int | None) -> DataFrame:
@@ -89,7 +89,7 @@ def _find_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for r in batch.to_pylist():
             system, local = file_system(r["capture_file"])
             with system.open_input_file(local) as file:
-                little, nano, _ = _file_header(file.read(FILE_HEADER), r["capture_file"])
+                little, nano, _ = file_header(file.read(FILE_HEADER), r["capture_file"])
                 record = struct.Struct(("<" if little else ">") + "IIII")
                 start = r["at"] if r["at"] == FILE_HEADER else _first_record(file, record, 10**9 if nano else 10**6, r["at"], r["size"])
                 at, n = start, 0
@@ -133,7 +133,7 @@ def _first_record(file, record: struct.Struct, fractions: int, at: int, size: in
 
 
 def _decode(spark: SparkSession, files: DataFrame, instance_id: str, split_bytes: int, tasks: int | None) -> DataFrame:
-    frames = _ranges(spark, files, split_bytes, tasks).mapInArrow(_range_reader(), PACKETS)
+    frames = _ranges(spark, files, split_bytes, tasks).mapInArrow(range_reader(), PACKETS)
     return frames.withColumn("instance_id", F.lit(instance_id))
 
 
@@ -148,7 +148,7 @@ def _cutter(split_bytes: int):
             for path, size, *pieces in zip(*(c.to_pylist() for c in batch.columns)):
                 system, local = file_system(path)
                 with system.open_input_file(local) as file:
-                    little, nano, link = _file_header(file.read(FILE_HEADER), path)
+                    little, nano, link = file_header(file.read(FILE_HEADER), path)
                     ranges = _joined(pieces[0], size) if pieces else []
                     if ranges:
                         size = FILE_HEADER  # nothing is left to cut
@@ -188,7 +188,7 @@ def _joined(pieces: list[dict], size: int) -> list[tuple[int, int, int]]:
     return ranges if end == size else []
 
 
-def _file_header(head: bytes, path: str) -> tuple[bool, bool, int]:
+def file_header(head: bytes, path: str) -> tuple[bool, bool, int]:
     if len(head) == FILE_HEADER:
         for little in (True, False):
             order = "<" if little else ">"
@@ -198,7 +198,7 @@ def _file_header(head: bytes, path: str) -> tuple[bool, bool, int]:
     raise ValueError(f"not a capture file: {path}")
 
 
-def _range_reader(rest_only: bool = False):
+def range_reader(rest_only: bool = False):
     names = [f.name for f in PACKETS.fields]
     schema = pa.schema([
         ("capture_file", pa.string()), ("frame_no", pa.int64()), ("ts", pa.timestamp("us", tz="UTC")), ("cap_len", pa.int32()),

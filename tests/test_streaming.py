@@ -150,3 +150,38 @@ def test_arriving_captures(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert sum(n for _, n in reports) == 60
+
+
+def test_growing_captures(spark, tmp_path):
+    """Files that grow between micro-batches, cut anywhere: each frame comes once, with its number, also after a restart."""
+    from callscope.sources.growing import stream_growing_captures
+
+    draw = random.Random(9)
+    (tmp_path / "in").mkdir()
+    records = {n: [(i * 1000 + n, draw.randbytes(draw.randrange(1, 300))) for i in range(60)] for n in range(2)}
+    whole = {}
+    for n, rows in records.items():
+        c.write_pcap(tmp_path / f"{n}.pcap", rows)
+        whole[n] = (tmp_path / f"{n}.pcap").read_bytes()
+    rows = []
+
+    def run(steps):
+        frames = stream_growing_captures(spark, str(tmp_path / "in"), max_bytes=2500, split_bytes=700)
+        query = (
+            frames.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+            .trigger(processingTime="100 milliseconds").start()
+        )
+        for step in steps:
+            for n, size in step.items():
+                (tmp_path / "in" / f"{n}.pcap").write_bytes(whole[n][:size])
+            query.processAllAvailable()
+            rows.append(spark.read.schema("frame_no long").parquet(str(tmp_path / "out")).count())
+        query.stop()
+
+    run([{0: 10}, {0: 3000}, {0: 3010, 1: 24}])
+    run([{0: len(whole[0]), 1: 5000}, {1: len(whole[1])}])
+    found = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        found.setdefault(int(r.capture_file.split("/")[-1][0]), []).append((r.frame_no, bytes(r.data)))
+    assert {n: sorted(x) for n, x in found.items()} == {n: list(enumerate((d for _, d in rows), 1)) for n, rows in records.items()}
+    assert rows[0] == 0 < rows[1] <= rows[2] < rows[3] < rows[4] == 120
