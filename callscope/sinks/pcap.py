@@ -1,4 +1,4 @@
-"""Packets back into capture files, one per call."""
+"""Packets back into capture files, one per call, or several for a very long one."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from callscope.functions.values import micros
+from callscope.operators.slots import HOT_ROWS, HOUR_US, hot_keys, join_groups
 from callscope.sources.pcap import MICRO_MAGIC
 from callscope.sources.storage import file_system, qualified
 
@@ -83,8 +85,20 @@ def _records(rows: pa.RecordBatch) -> bytes:
     return b"".join(part for i, frame in enumerate(frames) for part in (packed[16 * i : 16 * i + 16], frame))
 
 
-def write_capture_files(spark: SparkSession, packets: DataFrame, path: str, file: str = "call_file") -> None:
-    """One capture file per call, under the call's own name. A capture file has one order, so one task writes it, however long the call: it streams its sorted packets."""
+def write_capture_files(spark: SparkSession, packets: DataFrame, path: str, file: str = "call_file", hot_rows: int | None = None, slot_us: int = HOUR_US) -> None:
+    """
+    One capture file per call, under the call's own name: a capture has one order, so one task writes it, and streams its sorted packets.
+
+    A call of more than ``hot_rows`` packets is written by many tasks, as one capture for each ``slot_us`` of time: ``name~0000.pcap`` and so on, in the order of the
+    numbers, each a whole capture file. Which calls these are is counted first, on the names alone.
+    """
     spark.dataSource.register(CaptureFiles)
-    rows = packets.withColumn("us", micros("ts")).withColumnRenamed(file, "file_name").repartition("file_name").sortWithinPartitions("file_name", "us", "frame_no")
+    rows = packets.withColumn("us", micros("ts")).withColumnRenamed(file, "file_name")
+    hot = hot_keys(rows, ["file_name"], HOT_ROWS if hot_rows is None else hot_rows)
+    if not hot.isEmpty():
+        begins = rows.groupBy("file_name").agg(F.min("us").alias("__first")).join(hot.select("file_name"), "file_name", "left_semi")
+        rows = join_groups(rows, begins, ["file_name"], ["__first"])
+        part = F.format_string("~%04d.pcap", F.floor((F.col("us") - F.col("__first")) / slot_us))
+        rows = rows.withColumn("file_name", F.when(F.col("__first").isNull(), F.col("file_name")).otherwise(F.concat(F.regexp_replace("file_name", "[.]pcap$", ""), part)))
+    rows = rows.repartition("file_name").sortWithinPartitions("file_name", "us", "frame_no")
     rows.select("file_name", "us", "orig_len", "link_type", "data").write.format("capture_files").mode("append").save(qualified(spark, path))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from callscope.functions.values import fixed2, hex8, rfc3339
+from callscope.functions.values import fixed2, hex8, micros, rfc3339
 from callscope.operators.nest import nest, stream_item
 from callscope.operators.sessions import ACTIVE
-from callscope.operators.slots import MINUTE_US
+from callscope.operators.slots import HOUR_US, MINUTE_US
 from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_changes, needed_changes, without_retracted
 from callscope.schemas import CALL_CHANGES, CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
 from callscope.sources.storage import finished, subfolders
@@ -73,14 +73,15 @@ def write_outputs(calls: DataFrame, streams: DataFrame, path: str, sink: str = "
         append_csv(fragments, f"{path}/fragment_counters")
 
 
-def write_call_packets(packets: DataFrame, path: str) -> None:
+def write_call_packets(packets: DataFrame, path: str, tasks_per_folder: int = 8, slot_us: int = HOUR_US) -> None:
     """Packets of all calls as Parquet, below 256 folders by the start of the file name.
 
-    A folder per call would leave millions of tiny files. Ranges of (call, time) spread a large call over several files, and the
-    sort lets a reader of one call skip the row groups of all others. ``path`` may be an object store.
+    A folder per call would leave millions of tiny files. Rows are dealt by folder and by a hash of call and time slot, so a large call is spread over several tasks and files and
+    nothing has to be sampled first; the sort lets a reader of one call skip the row groups of all others. ``path`` may be an object store.
     """
     rows = packets.withColumn("call_prefix", F.substring("call_file", 1, 2))
-    rows = rows.repartitionByRange("call_prefix", "call_file", "ts", "frame_no").sortWithinPartitions("call_prefix", "call_file", "ts", "frame_no")
+    share = F.pmod(F.xxhash64("call_file", F.floor(micros("ts") / slot_us)), F.lit(tasks_per_folder))
+    rows = rows.repartition("call_prefix", share).sortWithinPartitions("call_prefix", "call_file", "ts", "frame_no")
     rows.write.mode("append").partitionBy("call_prefix").parquet(path)
 
 

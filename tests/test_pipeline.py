@@ -285,6 +285,19 @@ def test_large_capture_is_cut_without_a_pass_over_it(spark, tmp_path):
     assert pcap._joined([pieces[0], pieces[1] | {"start": 91}], size) == []
 
 
+def test_very_long_call_is_written_by_many_tasks(spark, tmp_path):
+    second = 1_000_000
+    packets = [(i * second, bytes([i % 250]) * 20, "long.pcap") for i in range(300)] + [(i * second, b"s" * 20, "short.pcap") for i in range(40)]
+    rows = spark.createDataFrame(packets, "us long, data binary, call_file string").selectExpr(
+        "timestamp_micros(us) AS ts", "us AS frame_no", "length(data) AS orig_len", "1 AS link_type", "data", "call_file"
+    )
+    write_capture_files(spark, rows, str(tmp_path / "out"), hot_rows=100, slot_us=60 * second)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == [*(f"long~{k:04d}.pcap" for k in range(5)), "short.pcap"]
+    back = read_pcap(spark, str(tmp_path / "out" / "long*.pcap")).orderBy("capture_file", "frame_no").collect()
+    assert [bytes(r.data) for r in back] == [d for _, d, n in packets if n == "long.pcap"]
+
+
 def test_cut_off_capture(spark, tmp_path):
     records = [(T0 + i, bytes([i]) * 40) for i in range(30)]
     c.write_pcap(tmp_path / "cut.pcap", records)
