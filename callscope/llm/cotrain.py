@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.batches import to_arrow
+from callscope.llm.batches import ROWS, to_arrow
 
 #: Bounds of the fit: so many labelled rows, and as many unlabelled ones, are looked at (those whose ids hash lowest), and their features come to the driver.
 LABELLED_ROWS = 6000
@@ -245,6 +245,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLE
     )
 
 
+def _scores(model: Model, text: pa.Array, lang: pa.Array, source: pa.Array) -> np.ndarray:
+    """The three scores of each row of a batch; texts leave the batch one at a time, and features are held of ROWS rows."""
+    scores = np.zeros((3, len(text)))
+    for start in range(0, len(text), ROWS):
+        rows = [(text[i].as_py(), lang[i].as_py(), source[i].as_py()) for i in range(start, min(start + ROWS, len(text)))]
+        content, page = np.stack([text_features(r[0]) for r in rows]), np.stack([page_features(*r) for r in rows])
+        scores[:, start : start + len(rows)] = model.score(content, page)
+    return scores
+
+
 SCORES = "text_score double, page_score double, quality_score double"
 
 
@@ -259,12 +269,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("text", "lang", "source")]
-            scores = np.zeros((3, batch.num_rows))
-            for start in range(0, batch.num_rows, 1024):
-                rows = [[c[i].as_py() for c in columns] for i in range(start, min(start + 1024, batch.num_rows))]
-                text, page = np.stack([text_features(r[0]) for r in rows]), np.stack([page_features(*r) for r in rows])
-                scores[:, start : start + len(rows)] = model.score(text, page)
+            scores = _scores(model, *(batch.column(c) for c in ("text", "lang", "source")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(target.field(0).type), *map(pa.array, scores)], schema=target)
 
     found = docs.select("doc_id", "text", "lang", "source").mapInArrow(run, f"doc_id {kind}, {SCORES}")
@@ -273,23 +278,17 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
-    The rows of `docs` that the classifier, fitted on `labels`, doesn't reject; columns and rows as they are.
+    The rows of `docs` that the classifier, fitted on `labels`, doesn't reject; columns and rows as they are, whatever the columns' names.
 
-    Rows pass through the task that scores them, so no join brings texts and scores together.
+    Only text, lang and source go to Python and only scores come back, to the rows that wait in the JVM: no join brings texts and scores together.
+    Null texts are scored as empty ones. Where there was nothing to learn from, and in an empty table, all rows stay.
     """
     model = fit_quality(docs, labels)
-    target = to_arrow(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
     if model.text is None:
         return docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c) for c in ("text", "lang", "source")]
-            kept = np.zeros(batch.num_rows, bool)
-            for start in range(0, batch.num_rows, 1024):
-                rows = [[c[i].as_py() for c in columns] for i in range(start, min(start + 1024, batch.num_rows))]
-                text, page = np.stack([text_features(r[0]) for r in rows]), np.stack([page_features(*r) for r in rows])
-                kept[start : start + len(rows)] = model.score(text, page)[2] >= threshold
-            yield batch.filter(pa.array(kept)).cast(target)
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+        return pa.array(_scores(model, text, lang, source)[2] >= threshold)
+
+    return docs.where(good("text", "lang", "source"))
