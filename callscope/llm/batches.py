@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS = 1000
+#: Arrow batches between Spark and its Python workers, in rows and in bytes.
+BATCH_ROWS = 1000
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """
+    From now on the session's Arrow batches have BATCH_ROWS rows and about BATCH_BYTES at most.
+
+    Each side holds a batch outside the heap, with room to grow, several times over; of whole documents Spark's usual 10,000 rows take more memory than all the work on them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def map_rows(df: DataFrame, columns: list[str], row: Callable[..., tuple], schema: str, keep: list[str] | None = None) -> DataFrame:
