@@ -81,7 +81,7 @@ class Index:
     n_terms: int
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_docs: int = SEGMENT_DOCS) -> Index:
     """
     An inverted index over all whole texts, written to the shared folder: tasks turn the documents they read into segments of bounded size, and nothing is shuffled but the terms' document numbers.
 
@@ -98,7 +98,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 if not terms:
                     continue
                 segment.add(ids[i].as_py(), terms)
-                if len(segment.ids) >= SEGMENT_DOCS or segment.postings >= SEGMENT_POSTINGS:
+                if len(segment.ids) >= segment_docs or segment.postings >= SEGMENT_POSTINGS:
                     yield segment.row(schema)
                     segment = _Segment()
         if segment.ids:
@@ -139,8 +139,8 @@ def term_score(weight: int, tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class SegmentSearch:
     """One segment, opened: documents by number, posting lists by term."""
 
-    def __init__(self, row: dict, n_docs: int, n_terms: int):
-        self.ids = row["ids"]
+    def __init__(self, row: dict, n_docs: int, n_terms: int, block: int = BLOCK):
+        self.ids, self.block = row["ids"], block
         self.m = length_measure(np.frombuffer(row["lengths"], np.int64), n_docs, n_terms)
         self.at = row["at"]
         ends = np.frombuffer(row["ends"], np.int64)
@@ -156,10 +156,10 @@ class SegmentSearch:
         """The most occurrences and the least m in each block of documents, from the list; 0 occurrences where the list has none."""
         if term not in self.bounds:
             docs, tfs = self.postings(term)
-            blocks = len(self.m) // BLOCK + 1
+            blocks = len(self.m) // self.block + 1
             most, least = np.zeros(blocks, np.int64), np.full(blocks, np.iinfo(np.int32).max, np.int64)
-            np.maximum.at(most, docs // BLOCK, tfs)
-            np.minimum.at(least, docs // BLOCK, self.m[docs])
+            np.maximum.at(most, docs // self.block, tfs)
+            np.minimum.at(least, docs // self.block, self.m[docs])
             self.bounds[term] = most, least
         return self.bounds[term]
 
@@ -182,9 +182,9 @@ class SegmentSearch:
             docs, tfs = self.postings(term)
             held[docs] += term_score(weights[term], tfs, self.m[docs])
         summed = np.flatnonzero(held)
-        blocks = len(self.m) // BLOCK + 1
+        blocks = len(self.m) // self.block + 1
         summed_bound = np.zeros(blocks, np.int64)
-        np.maximum.at(summed_bound, summed // BLOCK, held[summed])
+        np.maximum.at(summed_bound, summed // self.block, held[summed])
         lists = [(summed, held[summed], summed_bound)]
         for term in long:
             most, least = self.block_bounds(term)
@@ -210,8 +210,8 @@ class SegmentSearch:
         order = np.argsort(bounds, kind="stable")  # from the list that matters least
         below = np.cumsum(bounds[order])
         first = int(np.searchsorted(below, max(1, floor)))  # the lists before it can't reach the floor together
-        low, high = block * BLOCK, (block + 1) * BLOCK
-        sums, seen = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, bool)
+        low, high = block * self.block, (block + 1) * self.block
+        sums, seen = np.zeros(self.block, np.int64), np.zeros(self.block, bool)
         for k in order[first:]:
             docs, given, _ = lists[k]
             a, b = np.searchsorted(docs, (low, high))
@@ -256,7 +256,7 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
         yield block
 
 
-def _search_block(index: Index, block: list[tuple[object, list[str]]], results: int) -> DataFrame:
+def _search_block(index: Index, block: list[tuple[object, list[str]]], results: int, docs_of_block: int) -> DataFrame:
     """(number of the item in the block, doc_id, score): what the segments' tasks found, `results` for each item from each task at least."""
     spark = index.segments.sparkSession
     wanted = sorted({t for _, terms in block for t in terms})
@@ -276,7 +276,7 @@ def _search_block(index: Index, block: list[tuple[object, list[str]]], results:
                 row = {c: batch.column(c)[i].as_py() for c in ("ids", "lengths", "ends", "docs", "tfs")}
                 names = batch.column("terms")[i].values
                 row["at"] = {t: k for k, t in enumerate(names.to_pylist()) if t in weight}
-                segment = SegmentSearch(row, n_docs, n_terms)
+                segment = SegmentSearch(row, n_docs, n_terms, docs_of_block)
                 for k, weights in enumerate(plans):
                     docs, scores = segment.best(weights, floors[k], results)
                     if len(docs):
@@ -299,7 +299,7 @@ def _cut(ids: list, values: list, results: int) -> tuple[tuple[list, list], int]
     return ([ids[i] for i in order], [values[i] for i in order]), values[order[-1]]
 
 
-def search(index: Index, items: DataFrame, item_col: str = "item_id", text_col: str = "text", results: int = RESULTS) -> DataFrame:
+def search(index: Index, items: DataFrame, item_col: str = "item_id", text_col: str = "text", results: int = RESULTS, docs_of_block: int = BLOCK) -> DataFrame:
     """
     (item, rank, doc_id, score): for each row of `items` the `results` best documents with a score above 0, equal scores by ascending id (nulls last).
 
@@ -312,7 +312,7 @@ def search(index: Index, items: DataFrame, item_col: str = "item_id", text_col:
     first = (F.desc("score"), F.asc_nulls_last("doc_id"))
     out = spark.createDataFrame([], f"item {item_type}, rank int, doc_id bigint, score bigint")
     for block in _item_blocks(named):
-        found = stored(_search_block(index, block, results), "found")
+        found = stored(_search_block(index, block, results, docs_of_block), "found")
         by_group = Window.partitionBy("item_no", F.pmod(F.xxhash64("doc_id"), F.lit(MERGE))).orderBy(*first)
         found = found.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= results)
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("item_no").orderBy(*first))).where(F.col("rank") <= results)

@@ -18,7 +18,9 @@ SIZES = (3, 4, 5)
 WIDTH = 4
 #: Bound of the fit: so many labelled documents of each class are looked at (those whose ids hash lowest), and their cells come to the driver.
 LABELLED_ROWS = 2000
+#: The fit goes so often over the texts, or oftener, until it has made so many steps.
 EPOCHS = 6
+STEPS = 800
 RATE = 1.0
 BATCH = 32
 #: What Adagrad's sums of squares start from: cells met once move little.
@@ -73,8 +75,8 @@ def subword_cells(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, in
                 cells.append(_mixed(grams[inside]))
                 of.append(word[1 : n + 1][inside])
         starts = np.flatnonzero(gap)[:-1]
-        place = np.arange(len(points)) - starts[np.minimum(word, len(starts) - 1)]
-        cells.append(_mixed(np.add.reduceat((points + np.uint32(7)) * _POWERS[np.minimum(place, PIECE + 1)], starts, dtype=np.uint32)))
+        place = np.arange(len(points) - 1) - starts[word[:-1]]
+        cells.append(_mixed(np.add.reduceat((points[:-1] + np.uint32(7)) * _POWERS[place], starts, dtype=np.uint32)))
         of.append(np.arange(len(starts)))
         yield np.concatenate(cells), np.concatenate(of), len(starts)
 
@@ -121,6 +123,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: floa
     table = np.zeros((CELLS, width), np.float32)  # a cell that the fit never meets says nothing
     out, bias = draw.normal(0, 0.5, (width, 2)).astype(np.float32), np.zeros(2, np.float32)
     squares = [np.full_like(x, START) for x in (table, out, bias)]
+    epochs = max(epochs, -(-STEPS * BATCH // len(y)))
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for turn in range(epochs):
         order = draw.permutation(len(y))
