@@ -24,8 +24,8 @@ RATIO = 2
 #: A task hands on its counts when it holds so many words, or so many characters of them.
 HELD_WORDS = 100_000
 HELD_CHARS = 8_000_000
-#: Chunks that would bring more pairs together than this are looked at by single letters instead.
-CHUNK_PAIRS = 4096
+#: Chunks that would bring more pairs together than this are made longer.
+CHUNK_PAIRS = 1024
 
 
 def text_words(doc_id: object, text: str | None) -> Counter:
@@ -81,32 +81,36 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # --- words one edit apart ---------------------------------------------------------------------------------------------
 
 
-def _gram(start: Column, size: Column) -> Column:
+def _part(start: Column, size: Column) -> Column:
     return F.substr(F.col("word"), start + 1, size)
 
 
 def _signatures(words: DataFrame) -> DataFrame:
     """
-    (key, chunk, word, n): chunks and positional grams that must meet.
+    (key, place, chunk, word, n): chunks, and the positional grams that can meet them.
 
     Two words of one edit have lengths m <= k with k - m at most one. The shorter one gives two disjoint chunks of m div 2 letters, its
-    first and its last. The other one gives its grams of that size: an edit behind a chunk leaves its place, an edit before it shifts
-    the place by k - m, so those at these two places are all that can meet a chunk, and one edit can't touch both chunks. Of equal lengths both sides are the same rows.
-    A key is a hash of m, the chunk's number and its letters; what meets is verified.
+    first (place 0) and its last (place 1). Of the other one's grams of that size those count that stand where a chunk is if the edit left it whole: an edit behind the first chunk doesn't move it, one before
+    the last shifts it by k - m, which is at most one, and every edit is one or the other. Of equal lengths both sides are the same rows. A key is a hash of m, the place and the letters; what meets is verified.
     """
+    length = F.char_length("word")
+    rows = []
+    for chunk, m, shift in ((True, length, 0), (False, length - 1, 1)):
+        size = F.floor(m / 2).cast("int")
+        for place, start in ((0, F.lit(0)), (1, m - size + shift)):
+            key = F.xxhash64(m, F.lit(place), _part(start, size))
+            rows.append(F.struct(key.alias("key"), F.lit(place).alias("place"), F.lit(chunk).alias("chunk")))
+    return words.select(F.inline(F.array(*rows)), "word", "n")
 
-    def rows(shorter: Column, shifts: tuple[int, ...], chunk: bool) -> list[Column]:
-        size = F.floor(shorter / 2).cast("int")
-        out = []
-        for number, place in ((0, F.lit(0)), (1, shorter - size)):
-            for shift in shifts:
-                key = F.xxhash64(shorter, F.lit(number), _gram(place + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(chunk).alias("chunk")))
-        return out
 
-    length = F.char_length("word")
-    made = F.array(*rows(length, (0,), True), *rows(length - 1, (0, 1), False))
-    return words.select(F.inline(made), "word", "n")
+def _longer(signed: DataFrame) -> DataFrame:
+    """The same for signatures whose chunk is too common: the edit stands in the rest of the word, so of two chunks of the rest one is whole too, and both chunks together are the key."""
+    m, shift = F.char_length("word") - F.when(F.col("chunk"), 0).otherwise(1), F.when(F.col("chunk"), 0).otherwise(1)
+    size = F.floor(m / 2).cast("int")
+    half = F.floor((m - size) / 2).cast("int")
+    first, last = F.when(F.col("place") == 0, size).otherwise(0), F.when(F.col("place") == 0, m - half).otherwise(m - size - half)
+    rows = [F.struct(F.xxhash64(F.col("key"), F.lit(k), _part(start, half)).alias("key"), F.lit(k).alias("place")) for k, start in ((0, first), (1, last + shift))]
+    return signed.select(F.inline(F.array(*rows)), "chunk", "word", "n")
 
 
 def _dropped(words: DataFrame) -> DataFrame:
@@ -142,8 +146,7 @@ def _dropped(words: DataFrame) -> DataFrame:
 def _pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """(a, n_a, b, n_b) for rows of both sides that meet and are one edit apart, a before b."""
     a, b = F.col("l.word"), F.col("r.word")
-    apart = (F.abs(F.char_length(a) - F.char_length(b)) <= 1) & (F.levenshtein(a, b, 1) == 1)
-    met = left.alias("l").join(right.alias("r"), on & apart)
+    met = left.alias("l").join(right.alias("r"), on & (F.levenshtein(a, b, 1) == 1))
     first = a < b
     return met.select(
         F.when(first, a).otherwise(b).alias("a"), F.when(first, F.col("l.n")).otherwise(F.col("r.n")).alias("n_a"),
@@ -151,36 +154,37 @@ def _pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     )
 
 
+def _met(signed: DataFrame, chunk_pairs: int) -> tuple[list[DataFrame], DataFrame]:
+    """The pairs of all keys but those that would bring more than `chunk_pairs` together, and the rows of these."""
+    signed = stored(signed, "chunks")
+    chunks, grams = F.count_if("chunk"), F.count_if(~F.col("chunk"))
+    counts = signed.groupBy("key").agg((chunks * (chunks - 1) / 2 + chunks * grams).alias("pairs"))
+    usual = signed.join(counts.where(F.col("pairs").between(1, chunk_pairs)), "key", "left_semi")
+    chunk, same = usual.where("chunk"), F.col("l.key") == F.col("r.key")
+    pairs = [_pairs(chunk, chunk, same & (F.col("l.word") < F.col("r.word"))), _pairs(chunk, usual.where("NOT chunk"), same)]
+    return pairs, signed.join(counts.where(F.col("pairs") > chunk_pairs), "key", "left_semi")
+
+
 def near_words(words: DataFrame, chunk_pairs: int = CHUNK_PAIRS) -> DataFrame:
     """
     (a, n_a, b, n_b), each pair of different words of `words` (word, n; each word once) that are one inserted, deleted or replaced letter apart, once, a before b.
 
-    Words meet by chunks of half their letters (`_signatures`). Where so many words share a chunk that its pairs would exceed `chunk_pairs`, their words are brought together by what
-    they are without one letter instead: such groups hold words that are near each other, so no group is compared with itself whole.
-    Words of one letter have no chunks of their own and go that way too. An empty table gives an empty one.
+    Words meet by chunks of half their letters (`_signatures`). Where so many share a chunk that its pairs would exceed `chunk_pairs`, they meet by two chunks, three quarters of their
+    letters (`_longer`). Where even that is too many, words are brought together by what they are without one letter: such groups hold words that are
+    near each other, so no group is compared with itself whole. Words of less than two letters have no chunks and go that way too. An empty table gives an empty one.
     """
-    short = words.where(F.char_length("word") < 3)
-    signed = stored(_signatures(words.where(F.char_length("word") >= 2)), "chunks")
-    chunks, grams = F.count_if("chunk"), F.count_if(~F.col("chunk"))
-    counts = signed.groupBy("key").agg((chunks * (chunks - 1) / 2 + chunks * grams).alias("pairs"))
-    hot = counts.where(F.col("pairs") > chunk_pairs)
-    usual = signed.join(counts.where(F.col("pairs").between(1, chunk_pairs)), "key", "left_semi")
-    side = F.col("l.key") == F.col("r.key")
-    chunk = usual.where("chunk")
-    found = [
-        _pairs(chunk, chunk, side & (F.col("l.word") < F.col("r.word")) & (F.char_length("l.word") == F.char_length("r.word"))),
-        _pairs(chunk, usual.where("NOT chunk"), side & (F.char_length("l.word") + 1 == F.char_length("r.word"))),
-    ]
-    crowded = signed.join(hot, "key", "left_semi").select("word", "n").unionByName(short).distinct()
-    dropped = stored(_dropped(crowded), "dropped")
-    one_less = dropped.where("at > 0")
-    found += [
-        _pairs(one_less, one_less, side & (F.col("l.at") == F.col("r.at")) & (F.col("l.word") < F.col("r.word"))),
-        _pairs(dropped.where("at = 0"), one_less, side),
+    found, crowded = _met(_signatures(words.where(F.char_length("word") >= 2)), chunk_pairs)
+    more, crowded = _met(_longer(crowded), chunk_pairs)
+    rest = crowded.select("word", "n").unionByName(words.where(F.char_length("word") < 3).select("word", "n")).distinct()
+    dropped = stored(_dropped(rest), "dropped")
+    one_less, same = dropped.where("at > 0"), F.col("l.key") == F.col("r.key")
+    found += more + [
+        _pairs(one_less, one_less, same & (F.col("l.at") == F.col("r.at")) & (F.col("l.word") < F.col("r.word"))),
+        _pairs(dropped.where("at = 0"), one_less, same),
     ]
     pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    for other in found[1:]:
+        pairs = pairs.unionByName(other)
     return pairs.distinct()
 
 
