@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,6 +193,19 @@ def csv_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@contextmanager
+def small_streams(spark: SparkSession) -> Iterator[None]:
+    """Streams over small tables: few partitions of state, as each starts a Python worker in each micro-batch; the session's settings come back afterwards."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    use_rocksdb(spark)
+    spark.conf.set(name, min(int(before), 4))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def in_pieces(spark: SparkSession, sf: str, pieces: int = 4) -> str:
     """The events as files of which each holds rows of all times, so that a stream that takes one after the other meets most rows late."""
     folder = scratch_table(spark, "event-pieces")
@@ -204,7 +220,6 @@ def stream_sessionize(spark: SparkSession, sf: str) -> DataFrame:
         T.StructField("event_type", T.StringType()),
     ])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    use_rocksdb(spark)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(in_pieces(spark, sf))
     messages = rows.select(
         F.lit("events").alias("instance_id"), F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("frame_no"),
@@ -213,8 +228,8 @@ def stream_sessionize(spark: SparkSession, sf: str) -> DataFrame:
     changes = stream_sessions(messages, signs_up(), fails(), DAY_US, lateness="0 seconds")
     folder = scratch_table(spark, "stream-sessionize")
     table = CallsTable(spark, f"{folder}/sip_calls")
-    query = write_calls(changes, table, f"{folder}/progress", availableNow=True)
-    query.awaitTermination()
+    with small_streams(spark):
+        write_calls(changes, table, f"{folder}/progress", availableNow=True).awaitTermination()
     return table.read().select(
         F.col("call_id").cast("bigint").alias("user_id"), micros("start_timestamp").alias("start_us"),
         micros("end_timestamp").alias("end_us"), "state",

@@ -21,13 +21,13 @@ from callscope.options import Options
 from callscope.plans.calls import analyse_calls, closes, decode_datagrams, opens, signalling_messages
 from callscope.plans.reports import call_lookup
 from callscope.queries import frames as f
-from callscope.queries.events import DAY_US, events, k, load, numbered
+from callscope.queries.events import DAY_US, events, k, load, numbered, small_streams
 from callscope.schemas import SIP_CALLS
 from callscope.sinks.pcap import write_capture_files
 from callscope.sources.pcap import read_pcap
 from callscope.sinks.tables import CallsTable
 from callscope.sources.storage import scratch_table, shared_folder
-from callscope.streaming.calls import use_rocksdb, write_calls
+from callscope.streaming.calls import write_calls
 from callscope.streaming.fragments import stream_datagrams
 from callscope.streaming.media import stream_calls
 
@@ -330,7 +330,6 @@ def fragment_reassembly(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     """The datagrams of ``fragment_reassembly`` by Structured Streaming: fragments in files that each hold some of all times, one per micro-batch, and at the end a row that moves time past all timeouts."""
-    use_rocksdb(spark)
     folder = scratch_table(spark, "fragments")
     rows = document_fragments(spark, sf)
     rows.repartition(3, F.pmod(F.xxhash64("frame_no"), F.lit(64))).write.parquet(folder)
@@ -338,8 +337,8 @@ def stream_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     spark.range(1).select(*end).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     found, out = stream_datagrams(stream, ["doc_id"], lateness="30 days"), scratch_table(spark, "datagrams")
-    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with small_streams(spark):
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("doc_id", "n_fragments", "status", F.octet_length("payload").alias("size"), F.md5("payload").alias("digest"))
 
 
@@ -405,7 +404,6 @@ def streamed_frames(spark: SparkSession, sf: str, pieces: int = 4) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Options]:
     """Messages and media packets of the streamed frames."""
-    use_rocksdb(spark)
     options = Options("5060-5060", call_timeout_us=DAY_US, close_at_end=False)
     datagrams = decode_datagrams(streamed_frames(spark, sf), options)
     return signalling_messages(datagrams, options), datagrams.filter(is_media_candidate(options.ports)), options
@@ -416,7 +414,8 @@ def _streamed_calls(spark: SparkSession, sf: str) -> DataFrame:
     changes = stream_calls(messages, packets, opens(), closes(), options.call_timeout_us, lateness="0 seconds", always=True)
     folder = scratch_table(spark, "stream-calls")
     table = CallsTable(spark, f"{folder}/sip_calls")
-    write_calls(changes, table, f"{folder}/progress", availableNow=True).awaitTermination()
+    with small_streams(spark):
+        write_calls(changes, table, f"{folder}/progress", availableNow=True).awaitTermination()
     return table.read()
 
 

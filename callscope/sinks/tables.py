@@ -16,7 +16,9 @@ from callscope.operators.upsert import INSERT, UPDATE, check_states, fold_change
 from callscope.schemas import CALL_CHANGES, CALL_STATISTICS_COLUMNS, DETECTED_CALLS_COLUMNS, SIP_CALLS
 from callscope.sources.storage import finished, subfolders
 
-CHANGES_PER_US = 4
+#: Places for changes within a microsecond, and for those of one rank.
+CHANGES_PER_US = 2048
+SAME_MOMENT = 512
 #: A Call-ID used again is a new ``call_seq``.
 CALLS_KEY = ["call_id", "instance_id", "call_seq"]
 
@@ -128,9 +130,10 @@ def call_changes(calls: DataFrame, streams: DataFrame) -> DataFrame:
     return inserts.unionByName(updates)
 
 
-def change_number(at_us: Column, kind: Column, state: Column) -> Column:
-    """Order of a change; at one moment an insert goes first and the end of a call last."""
-    return at_us * F.lit(CHANGES_PER_US) + F.when(kind == INSERT, 0).when(state == ACTIVE, 1).otherwise(2)
+def change_number(at_us: Column, kind: Column, state: Column, nth: Column | None = None) -> Column:
+    """Order of a change; at one moment an insert goes first and the end of a call last, and of several updates the ``nth`` of their writer."""
+    rank = F.when(kind == INSERT, 0).when(state == ACTIVE, 1).otherwise(2)
+    return at_us * F.lit(CHANGES_PER_US) + rank * F.lit(SAME_MOMENT) + F.least(F.lit(0) if nth is None else nth, F.lit(SAME_MOMENT - 1))
 
 
 class CallsTable:

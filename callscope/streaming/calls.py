@@ -24,7 +24,7 @@ from callscope.streaming.timeline import Timeline
 
 CHANGES = (
     "instance_id string, call_id string, call_seq long, kind string, start_us long, last_us long, at_us long, state string, "
-    "sip_from string, sip_to string, n_rows long, revision long, rtp_statistics string"
+    "sip_from string, sip_to string, n_rows long, revision long, rtp_statistics string, nth long"
 )
 #: Rows that came too late for what the state still holds: their values, as they arrived.
 LATE = "late"
@@ -77,7 +77,7 @@ class CallSessions(StatefulProcessor):
         for us, frame_no, opening, closing, sip_from, sip_to, ptime, *of_packet in plain_rows(rows, _INPUT):
             if oldest is not None and us < oldest:
                 kind = "close" if closing else "open" if opening else None
-                out.append((*key, frame_no, LATE, us, us, us, kind, sip_from, sip_to, 1, timeline.revision, None))
+                out.append((*key, frame_no, LATE, us, us, us, kind, sip_from, sip_to, 1, timeline.revision, None, 0))
             elif of_packet[0] is not None:
                 packets.append((us, frame_no, *of_packet))
             else:
@@ -154,7 +154,7 @@ def table_changes(changes: DataFrame) -> DataFrame:
         F.timestamp_micros("start_us").alias("created_at"),
         at.alias("updated_at"),
         "kind",
-        change_number(F.col("at_us"), F.col("kind"), F.col("state")).alias("change_no"),
+        change_number(F.col("at_us"), F.col("kind"), F.col("state"), F.col("nth") if "nth" in changes.columns else F.lit(0)).alias("change_no"),
         F.col("revision") if "revision" in changes.columns else F.lit(0).cast("bigint").alias("revision"),
     )
 

@@ -31,10 +31,11 @@ class Session:
     ptime_ms: int | None = None
     statistics: str | None = None
     start_no: int = 0
+    nth: int = 0
     boundary: tuple[int, int] = (-(1 << 62), 0)
 
     def listed(self) -> list:
-        return [self.start_us, self.opened_from, self.opened_to, self.last_us, self.sip_from, self.sip_to, self.n_rows, self.state, self.name, self.ptime_ms, self.statistics, self.start_no, self.boundary]
+        return [self.start_us, self.opened_from, self.opened_to, self.last_us, self.sip_from, self.sip_to, self.n_rows, self.state, self.name, self.ptime_ms, self.statistics, self.start_no, self.nth, self.boundary]
 
     @staticmethod
     def of(x: list) -> Session:
@@ -178,10 +179,11 @@ class Timeline:
 
     def advance(self, timeout_us: int, now_us: int | None, always: bool = False) -> list[tuple]:
         """
-        Changes (call_seq, kind, start_us, last_us, at_us, state, sip_from, sip_to, n_rows, revision, rtp_statistics) since the last time.
+        Changes (call_seq, kind, start_us, last_us, at_us, state, sip_from, sip_to, n_rows, revision, rtp_statistics, nth) since the last time.
 
         What only goes on (texts that grow, a call that ends) is an update. If a call that was handed on is another now, or none, it is
-        retracted, which takes back all its earlier changes, and what is left of it is handed on anew. Statistics go along with updates; with `always` new ones are an update too.
+        retracted, which takes back all its earlier changes, and what is left of it is handed on anew. Statistics go along with updates; those of a call that has ended, or with `always` of any call, are an update too when packets
+        came that had waited. `nth` orders updates that tell of the same moment.
         """
         out: list[tuple] = []
         new = self.sessions(timeout_us, now_us)
@@ -193,14 +195,17 @@ class Timeline:
         if gone or wrong:
             self.revision += 1
             for s in [*gone, *(old[n] for n in sorted(wrong))]:
-                out.append((s.name, RETRACT, s.start_us, s.last_us, s.last_us, s.state, None, None, 0, self.revision, None))
+                out.append((s.name, RETRACT, s.start_us, s.last_us, s.last_us, s.state, None, None, 0, self.revision, None, 0))
         for s in new:
             was = old.get(s.name) if s.name not in wrong else None
             if was is None:
-                out.append((s.name, INSERT, s.start_us, s.start_us, s.start_us, ACTIVE, s.opened_from, s.opened_to, 1, self.revision, None))
+                out.append((s.name, INSERT, s.start_us, s.start_us, s.start_us, ACTIVE, s.opened_from, s.opened_to, 1, self.revision, None, 0))
             seen = (ACTIVE, s.opened_from, s.opened_to) if was is None else (was.state, was.sip_from, was.sip_to)
-            if seen != (s.state, s.sip_from, s.sip_to) or (always and s.statistics != (was and was.statistics)):
-                out.append((s.name, UPDATE, s.start_us, s.last_us, s.last_us, s.state, s.sip_from, s.sip_to, s.n_rows, self.revision, s.statistics))
+            s.nth = was.nth if was is not None and was.last_us == s.last_us else 0
+            measured = (always or s.state != ACTIVE) and s.statistics != (was and was.statistics)
+            if seen != (s.state, s.sip_from, s.sip_to) or measured:
+                s.nth += 1
+                out.append((s.name, UPDATE, s.start_us, s.last_us, s.last_us, s.state, s.sip_from, s.sip_to, s.n_rows, self.revision, s.statistics, s.nth))
         self.known = new
         return out
 
