@@ -111,9 +111,9 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     Rows are found again by their ids: rows without an id are left as they are, and rows that share an id lose the lines removed from any of them.
     """
     found = judge(docs, id_col, text_col, host_col, **options).where("id IS NOT NULL")
-    by_id = found.groupBy(F.col("id").alias("_id")).agg(F.max("kept").alias("_kept"), F.flatten(F.collect_list(F.coalesce("removed_lines", F.expr("array()")))).alias("_lines"))
-    lines = F.filter(F.split(text_col, "\n", -1), lambda line: ~F.array_contains("_lines", F.xxhash64(normal_line(line))))
-    shorter = F.when(F.size("_lines") > 0, F.array_join(lines, "\n")).otherwise(F.col(text_col))
-    return (
-        docs.join(by_id, F.col(id_col) == F.col("_id"), "left").where(F.coalesce("_kept", F.lit(True))).withColumn(text_col, shorter).select(*docs.columns)
-    )
+    by_id = found.groupBy("id").agg(F.max("kept").alias("stays"), F.flatten(F.collect_list(F.coalesce("removed_lines", F.expr("array()")))).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    lines = F.filter(F.split("text", "\n", -1), lambda line: ~F.array_contains("gone", F.xxhash64(normal_line(line))))
+    shorter = F.when(F.size("gone") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
+    left = rows.join(by_id, F.col("own") == F.col("id"), "left").where(F.coalesce("stays", F.lit(True)))
+    return left.select(*[(shorter if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -55,6 +55,25 @@ def water_fill(sources: DataFrame, total: int, epochs: float = EPOCHS) -> DataFr
         clamped, level = sums["n"], (float(total - sums["capped"]), float(sums["free"]))
 
 
+CLASS = ["id", "source", "size"]
+#: Rows of a class are numbered in so many groups side by side.
+GROUPS = 256
+
+
+def _numbered_copies(light: DataFrame) -> DataFrame:
+    """
+    Rows (id, source, size) with `number`: 1, 2, ... among the rows that are equal in all three.
+
+    Equal rows are counted where they are stored, each part of them gets its share of the numbers, and the parts are dealt out again before they
+    become rows, so a class that holds a third of all rows is no task's alone.
+    """
+    parts = stored(light.withColumn("part", F.spark_partition_id()).groupBy(*CLASS, "part").agg(F.count("*").alias("n")), "copies")
+    along = Window.partitionBy(*CLASS).orderBy("part")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = parts.withColumn("before", before).repartition(*CLASS, "part")
+    return dealt.select(*CLASS, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("number"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """
     (id, source, size, source_size, target, repeats, taken) per row of `docs`; taken = size * repeats words.
@@ -62,11 +81,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sources, sorted by code point with null last, weigh `weights` in turn and share the size of all rows. A source with target t and size s is taken floor(t / s)
     times whole; the rest of its target is a fractional repetition: its documents are dealt into about the square root of their number of buckets by a
     seeded hash of the id, buckets are taken whole while they fit, and of the bucket that does not, the largest documents that fit
-    and then the smallest that fit into what they leave. So the sum misses the target by a short document at most. Rows with the same id, source and size share their fate.
+    and then the smallest that fit into what they leave. So the sum misses the target by a short document at most. Rows with the same id, source and size are
+    numbered, and each is dealt by id and number.
 
     A null text has size 0; a null id hashes like the text "null"; empty documents count as rows, not as words; an empty table gives an empty result.
     """
-    light = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    light = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    light = stored(_numbered_copies(stored(light, "sizes")), "numbered")
     sums = light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("documents"))
     ranked = numbered(sums, F.col("source").asc_nulls_last(), "sources")
     weight = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -79,7 +100,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("size")).cast("long"))
         .select("place", F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", "whole", "rest", F.ceil(F.sqrt("documents")).alias("buckets"))
     )
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    again = F.when(F.col("number") > 1, F.concat(F.lit(":"), F.col("number").cast("string"))).otherwise("")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), again))
     part = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(1 << 48)
     dealt = (
         light.join(targets, F.col("source").eqNullSafe(F.col("_source")))
@@ -109,13 +131,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix: each row as often as it is taken, columns as they are."""
-    taken = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0").groupBy("id", "source", "size").agg(F.max("repeats").alias("_repeats"))
-    named = taken.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_repeats")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return (
-        docs.withColumn("_words", word_count(F.col(text_col)))
-        .join(named, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats"))))
-        .select(*docs.columns)
+    """
+    The documents of the mix: each row as often as it is taken, columns as they are, whatever their names.
+
+    Of rows with the same id, source and size, as many are taken once more as the mix says, those whose contents hash lowest; rows that are equal in all columns stand for each other.
+    """
+    repeats = stored(mix(docs, id_col, text_col, source_col, **options), "repeats")
+    taken = repeats.groupBy(*CLASS).agg(F.count("*").alias("rows"), F.min("repeats").alias("least"), F.sum("repeats").alias("all"))
+    taken = stored(taken.where("all > 0").withColumn("extra", F.col("all") - F.col("least") * F.col("rows")), "taken")
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    named = taken.select(*[F.col(c).alias(f"of_{c}") for c in CLASS], "rows", "least", "extra")
+    same = F.lit(True)
+    for c in CLASS:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    of_class = rows.join(named, same)
+    single = of_class.where("rows = 1").select("row", (F.col("least") + F.col("extra")).alias("copies"))
+    if taken.where("rows > 1").isEmpty():
+        return _repeated(single)
+
+    # Classes of several rows, in order of what they hold: counts by group of hashes, and within a group.
+    several = of_class.where("rows > 1").withColumn("content", F.xxhash64("row"))
+    contents = stored(several.groupBy(*CLASS, "content", "least", "extra").agg(F.count("*").alias("n")).withColumn("part", F.pmod("content", F.lit(GROUPS))), "contents")
+    groups = contents.groupBy(*CLASS, "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy(*CLASS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*[F.col(c).alias(f"of_{c}") for c in CLASS], F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*CLASS, "part").orderBy("content").rowsBetween(Window.unboundedPreceding, -1)
+    placed = contents.join(groups, same & (F.col("part") == F.col("of_part"))).select(
+        F.col("content").alias("of_content"), *[F.col(f"of_{c}") for c in CLASS], "n", F.col("least").alias("times"),
+        (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"), F.col("extra").alias("more"),
     )
+    copies = F.col("n") * F.col("times") + F.least(F.greatest(F.col("more") - F.col("first"), F.lit(0)), F.col("n"))
+    one_of = several.groupBy(*CLASS, "content").agg(F.first("row").alias("row"))
+    repeated = one_of.join(placed, same & (F.col("content") == F.col("of_content"))).select("row", copies.alias("copies"))
+    return _repeated(single.unionByName(repeated))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The fields of `row`, each as often as `copies` says."""
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

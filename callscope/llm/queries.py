@@ -137,8 +137,9 @@ FROM own LEFT JOIN first USING (payload_digest)
 """
 
 OP4 = r"""
-WITH RECURSIVE light AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), light AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS number FROM sized
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS size, count(*) AS documents, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM light GROUP BY source
 ), total AS (SELECT sum(size)::DOUBLE AS n FROM sources
@@ -157,7 +158,7 @@ WITH RECURSIVE light AS (
 ), split AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets
 ), dealt AS (
-  SELECT l.doc_id, l.size, s.*, round(target - whole * source_size)::BIGINT AS rest, md5('42:' || coalesce(l.doc_id::VARCHAR, 'null')) AS key FROM light l JOIN split s ON l.source IS NOT DISTINCT FROM s.source
+  SELECT l.doc_id, l.size, s.*, round(target - whole * source_size)::BIGINT AS rest, md5('42:' || coalesce(l.doc_id::VARCHAR, 'null') || CASE WHEN number > 1 THEN ':' || number ELSE '' END) AS key FROM light l JOIN split s ON l.source IS NOT DISTINCT FROM s.source
 ), bucketed AS (SELECT *, floor(('0x' || key[1:12])::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * buckets)::BIGINT AS bucket FROM dealt
 ), buckets AS (
   SELECT source, bucket, sum(size)::BIGINT AS bucket_size, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_before

@@ -180,5 +180,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows of that document, and rows without an id, all stay: nothing tells them apart.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    dropped = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    # The semi side's column is no part of the result, but the condition must not mistake it for one of the table's.
+    dropped = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)

@@ -188,12 +188,61 @@ def test_mix_odd(odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     out = mixing.mixed(odd_docs)
-    assert out.columns == odd_docs.columns
-    # Rows that share id, source and size share their number of copies.
+    assert out.columns == odd_docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in odd_docs.collect()}
     assert out.count() == sum(r["repeats"] for r in rows)
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+#: Names that operators use, or used, for columns of their own.
+NAMES = ("row", "copies", "content", "number", "_words", "_copy", "_repeats", "_dropped", "_id", "_kept", "_lines", "own", "gone", "stays", "of_id", "rows", "least", "extra", "id", "text_key")
+
+
+def with_names(docs):
+    return docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("mark")).alias(n) for n in NAMES])
+
+
+def test_mix_of_repeated_ids(spark):
+    """A third of the rows share an id and a size, some of them with one text, and tables may have columns of any name."""
+    draw = random.Random(13)
+    rows = [(1, "w " * 30 if i % 2 else f"x{i} " + "w " * 29, "a") for i in range(400)] + [(2 + i, prose(draw, draw.randrange(1, 60)), draw.choice("aabc")) for i in range(800)]
+    rows += [(None, "n " * 7, "b")] * 30 + [(5, rows[403][1], "c")] * 3
+    docs = with_names(spark.createDataFrame([(*r, str(i // 2)) for i, r in enumerate(rows)], "doc_id long, text string, source string, mark string").repartition(5))
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows)
+    by_source = {}
+    for r in found:
+        by_source.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(target - taken) <= 60 for target, taken in by_source.values()) and sorted(map(str, found)) == sorted(map(str, mixing.mix(docs).collect()))
+    whole = {(r["id"], r["source"], r["size"]): [0, set()] for r in found}
+    for r in found:
+        whole[r["id"], r["source"], r["size"]][0] += r["repeats"]
+        whole[r["id"], r["source"], r["size"]][1].add(r["repeats"])
+    assert all(max(x) - min(x) <= 1 for _, x in whole.values())
+    out, kept = mixing.mixed(docs), {}
+    assert out.columns == docs.columns
+    originals = {tuple(r) for r in docs.collect()}
+    for r in out.collect():
+        assert tuple(r) in originals
+        key = (r["doc_id"], r["source"], len(brute.words(r["text"])))
+        kept[key] = kept.get(key, 0) + 1
+    assert kept == {k: n for k, (n, _) in whole.items() if n}
+
+
+def test_columns_of_any_name_stay(spark):
+    from callscope.llm import lines
+
+    draw = random.Random(17)
+    texts = ["a long line of words that all share here\n" * 2 + prose(draw, 90) for _ in range(60)] + ["short"] * 3
+    docs = with_names(spark.createDataFrame([(i, t, "h", str(i)) for i, t in enumerate(texts)], "doc_id long, text string, source string, mark string"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    single = simhash.one_of_each(docs)
+    assert single.columns == docs.columns and {tuple(r) for r in single.collect()} <= {tuple(r) for r in rows.values()} and single.where("text = 'short'").count() == 1
+    left = lines.cleaned(docs)
+    assert left.columns == docs.columns and left.count() == 60
+    for r in left.collect():
+        assert "line of words" not in r["text"] and r["text"] in rows[r["doc_id"]]["text"] and all(r[n] == rows[r["doc_id"]][n] for n in docs.columns if n != "text")
+
+
 def test_numbered(spark):
     names = [f"s{i:04d}" for i in range(500)] + ["ä", "Z", ""]
     draw = random.Random(1)
