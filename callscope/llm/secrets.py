@@ -110,6 +110,17 @@ def _random_strings_in(run: str, models: Models, least: float) -> list[tuple[int
     return [m.span() for m in UNBROKEN.finditer(run) if len(m[0]) < len(run) and random_(m[0])]
 
 
+def _joined(spans: list[tuple[int, int, str]]) -> list[list[int]]:
+    """Where spans lie: [start, end] of each stretch that some of them cover together, in order."""
+    out: list[list[int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def find_secrets(text: str | None, models: Models | None = None, least: float = LEAST_PER_CHAR) -> list[tuple[int, int, str]]:
     """
     (start, end, kind) in code points of all secrets of a whole text, by start, then in the order of KINDS; a null text has none.
@@ -120,10 +131,14 @@ def find_secrets(text: str | None, models: Models | None = None, least: float =
     text = text or ""
     found = base_spans(text)
     if models is not None:
+        taken = _joined(found)
+        i = 0  # strings come in order, so the spans before one are behind all later ones too
         for m in CANDIDATE.finditer(text):
             for start, end in _random_strings_in(m[0], models, least):
                 start, end = m.start() + start, m.start() + end
-                if not any(s < end and start < e for s, e, _ in found):
+                while i < len(taken) and taken[i][1] <= start:
+                    i += 1
+                if i == len(taken) or taken[i][0] >= end:
                     found.append((start, end, "random"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -154,7 +169,7 @@ def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def secrets(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array<struct<start,end,kind>>) for every row of `docs`; repeated rows have the same spans."""
+    """(id, spans array<struct<start,end,kind>>) for every row of `docs`; null texts have none, repeated rows have the same spans, an empty table gives an empty one."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def row(text: str | None) -> tuple:
