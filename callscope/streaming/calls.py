@@ -45,7 +45,8 @@ class CallSessions(StatefulProcessor):
         self.state = handle.getValueState("timeline", STATE)
 
     def _timeline(self) -> Timeline:
-        return Timeline.of(self.state.get()[0] if self.state.exists() else None)
+        held = self.state.get()
+        return Timeline.of(held[0] if held is not None else None)
 
     def _settle(self, key: tuple, timeline: Timeline, watermark_ms: int, out: list[tuple]) -> Iterator[pd.DataFrame]:
         """Derive the calls, forget what is over, set the timer, keep the state."""

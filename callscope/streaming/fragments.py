@@ -33,7 +33,8 @@ class Reassembly(StatefulProcessor):
         self.data = handle.getMapState("data", "us long, at long", "data binary")
 
     def _held(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else {"waiting": [], "open": None, "seen": [], "timer": None}
+        value = self.state.get()
+        return json.loads(value[0]) if value is not None else {"waiting": [], "open": None, "seen": [], "timer": None}
 
     def _end(self, held: dict, status: str) -> tuple:
         """The open datagram as a row; its payload, put together in order of arrival, and its pieces leave the state."""

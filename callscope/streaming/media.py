@@ -42,7 +42,8 @@ class _Held(StatefulProcessor):
         self.state = handle.getValueState("held", STATE)
 
     def held(self) -> dict | None:
-        return json.loads(self.state.get()[0]) if self.state.exists() else None
+        value = self.state.get()
+        return json.loads(value[0]) if value is not None else None
 
     def hold(self, held: dict | None, due_ms: int | None, watermark_ms: int) -> None:
         """Keep the state and set the timer for a moment, or clear both."""
