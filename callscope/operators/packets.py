@@ -165,12 +165,6 @@ IP_COLUMNS = [
 ]
 
 
-def open_mirrored(df: DataFrame, span_ids: str = "", vlans: str = "") -> DataFrame:
-    """``decapsulate``, then the IP columns of the frames inside."""
-    opened = decapsulate(decode_ip(df), span_ids, vlans)
-    return decode_ip(opened.drop(*IP_COLUMNS))
-
-
 def decode_rtp(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add seq and ssrc; both are null on payloads that are no RTP (shorter than 12 bytes, or another version)."""
     data = F.col(payload)
