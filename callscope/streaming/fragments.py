@@ -3,40 +3,38 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from callscope.functions.values import micros
 from callscope.operators.fragments import FRAGMENT_KEYS, TIMEOUT_US, Datagram
-from callscope.streaming.rows import plain_rows
+from callscope.streaming.shares import ShareProcessor, in_shares, names
 
 FOUND = "datagram long, datagram_us long, last_us long, last_at long, n_fragments long, status string, payload binary"
 
 
-class Reassembly(StatefulProcessor):
+class Reassembly(ShareProcessor):
     """
-    The fragments of one key. Those that the watermark has passed are taken in order of time; a datagram ends when it is complete, or too old.
+    The fragments of keys. Those that the watermark has passed are taken in order of time; a datagram ends when it is complete, or too old.
 
     Payloads lie in a map of their own, each written once and read once; what is rewritten from batch to batch are numbers.
     """
 
-    def __init__(self, timeout_us: int, names: list[str]):
-        self.timeout_us, self.names = timeout_us, names
+    columns, found = ("us", "at", "fragment_offset", "more_fragments", "data"), names(FOUND)
+    # Payloads are large.
+    rows_out = 200
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", "held string")
-        self.data = handle.getMapState("data", "us long, at long", "data binary")
+    def __init__(self, timeout_us: int):
+        self.timeout_us = timeout_us
 
-    def _held(self) -> dict:
-        value = self.state.get()
-        return json.loads(value[0]) if value is not None else {"waiting": [], "open": None, "seen": [], "timer": None}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.data = handle.getMapState("data", "key string, us long, at long", "data binary")
 
-    def _end(self, held: dict, status: str) -> tuple:
+    def _end(self, key: str, held: dict, status: str) -> tuple:
         """The open datagram as a row; its payload, put together in order of arrival, and its pieces leave the state."""
         was = Datagram.of(held["open"])
         payload = None
@@ -45,65 +43,42 @@ class Reassembly(StatefulProcessor):
             # Of an offset the last piece counts, and where pieces overlap the later one.
             newest = {offset: (us, at) for us, at, offset in sorted(held["seen"])}
             for (us, at), offset in sorted((place, offset) for offset, place in newest.items()):
-                piece = self.data.getValue((us, at))[0]
+                piece = self.data.getValue((key, us, at))[0]
                 whole[offset : offset + len(piece)] = piece
             payload = bytes(whole[: was.total])
         for us, at, _ in held["seen"]:
-            self.data.removeKey((us, at))
+            self.data.removeKey((key, us, at))
         last = max(s[:2] for s in held["seen"])
         row = (was.first_at, was.first_us, *last, len(held["seen"]), status, payload)
         held["open"], held["seen"] = None, []
         return row
 
-    def _settle(self, key: tuple, held: dict, watermark_ms: int) -> Iterator[pd.DataFrame]:
+    def take(self, key: str, held_text: str | None, rows: list[tuple], watermark_ms: int) -> tuple[str | None, int | None, list[tuple]]:
+        held = json.loads(held_text) if held_text is not None else {"waiting": [], "open": None, "seen": []}
+        for us, at, offset, more, data in rows:
+            if data is not None:
+                self.data.updateValue((key, us, at), (bytes(data),))
+                held["waiting"].append([us, at, offset, len(data), bool(more)])
         out, waiting = [], []
         for us, at, offset, length, more in sorted(held["waiting"]):
             if us // 1000 > watermark_ms:
                 waiting.append([us, at, offset, length, more])
                 continue
             if held["open"] is not None and us - held["open"]["first_us"] > self.timeout_us:
-                out.append(self._end(held, "timeout"))
+                out.append(self._end(key, held, "timeout"))
             now = Datagram.of(held["open"]) if held["open"] is not None else Datagram(us, at)
             complete = now.add(offset, length, more)
             held["open"] = now.state()
             held["seen"].append([us, at, offset])
             if complete:
-                out.append(self._end(held, "reassembled"))
+                out.append(self._end(key, held, "reassembled"))
         held["waiting"] = waiting
         if held["open"] is not None and watermark_ms * 1000 - held["open"]["first_us"] > self.timeout_us:
-            out.append(self._end(held, "timeout"))
+            out.append(self._end(key, held, "timeout"))
         moments = [w[0] // 1000 for w in waiting[:1]]
         if held["open"] is not None:
             moments.append((held["open"]["first_us"] + self.timeout_us) // 1000 + 1)
-        wanted = max(min(moments), watermark_ms + 1) if moments else None
-        if held["timer"] != wanted:
-            if held["timer"] is not None and held["timer"] > watermark_ms:
-                self.handle.deleteTimer(held["timer"])
-            if wanted is not None:
-                self.handle.registerTimer(wanted)
-            held["timer"] = wanted
-        if wanted is None:
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(held),))
-        if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=self.names)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        for us, at, offset, more, data in plain_rows(rows, ("us", "at", "fragment_offset", "more_fragments", "data")):
-            if data is not None:
-                self.data.updateValue((us, at), (bytes(data),))
-                held["waiting"].append([us, at, offset, len(data), bool(more)])
-        yield from self._settle(key, held, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        held["timer"] = None
-        yield from self._settle(key, held, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+        return json.dumps(held) if moments else None, min(moments, default=None), out
 
 
 def stream_datagrams(
@@ -120,6 +95,4 @@ def stream_datagrams(
         *keys, micros("event_ts").alias("us"), F.col(at).cast("bigint").alias("at"), F.col("fragment_offset").cast("bigint").alias("fragment_offset"),
         "more_fragments", F.col(data).alias("data"),
     )
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fragments.select(*keys).schema.fields)
-    names = [*keys, *(f.split()[0] for f in FOUND.split(", "))]
-    return rows.groupBy(*keys).transformWithStateInPandas(Reassembly(timeout_us, names), outputStructType=f"{own}, {FOUND}", outputMode="append", timeMode="eventTime")
+    return in_shares(rows, keys, Reassembly(timeout_us), FOUND)
