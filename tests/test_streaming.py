@@ -185,3 +185,31 @@ def test_growing_captures(spark, tmp_path):
         found.setdefault(int(r.capture_file.split("/")[-1][0]), []).append((r.frame_no, bytes(r.data)))
     assert {n: sorted(x) for n, x in found.items()} == {n: list(enumerate((d for _, d in rows), 1)) for n, rows in records.items()}
     assert rows[0] == 0 < rows[1] <= rows[2] < rows[3] < rows[4] == 120
+
+
+def test_compaction_works_out_changes_once(spark, tmp_path, monkeypatch):
+    """Changes none of which is retracted or has statistics are folded as they are; others are worked out once for the rows and their history."""
+    from callscope.sinks import tables
+
+    calls = []
+    monkeypatch.setattr(tables, "needed_changes", lambda *a, **b: calls.append(b["heavy"]) or needed(*a, **b))
+    needed, table = tables_needed_changes(), CallsTable(spark, str(tmp_path / "calls"))
+    table.append(table_changes(spark.createDataFrame([change("a", INSERT, 0, "active"), change("b", INSERT, 0, "active")], CHANGE)), 0, "w")
+    table.compact()
+    table.append(table_changes(spark.createDataFrame([change("a", UPDATE, 5, "finished")], CHANGE)), 1, "w")
+    table.compact()
+    assert not calls and {(r.call_id, r.state) for r in table.read().collect()} == {("a", "finished"), ("b", "active")}
+    # The history keeps the changes of both, in its two parts.
+    assert spark.read.parquet(f"{table.path}/base/{table._base()}/history").groupBy("part").count().collect() != []
+    table.append(table_changes(spark.createDataFrame([change("b", RETRACT, 1, "active", None, 1)], CHANGE)), 2, "w")
+    table.compact()
+    assert calls == [[]] and {(r.call_id, r.state) for r in table.read().collect()} == {("a", "finished")}
+    # What was retracted stays so when its changes come again.
+    table.append(table_changes(spark.createDataFrame([change("b", UPDATE, 9, "finished"), change("b", INSERT, 0, "active")], CHANGE)), 3, "w")
+    assert {r.call_id for r in table.read().collect()} == {"a"}
+
+
+def tables_needed_changes():
+    from callscope.operators.upsert import needed_changes
+
+    return needed_changes
