@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from callscope.functions.values import micros
 from callscope.operators.fragments import FRAGMENT_KEYS, TIMEOUT_US, Datagram
-from callscope.streaming.shares import ShareProcessor, in_shares, names
+from callscope.streaming.shares import ShareProcessor, deal, in_shares, names
 
 FOUND = "datagram long, datagram_us long, last_us long, last_at long, n_fragments long, status string, payload binary"
 
@@ -95,4 +95,5 @@ def stream_datagrams(
         *keys, micros("event_ts").alias("us"), F.col(at).cast("bigint").alias("at"), F.col("fragment_offset").cast("bigint").alias("fragment_offset"),
         "more_fragments", F.col(data).alias("data"),
     )
-    return in_shares(rows, keys, Reassembly(timeout_us), FOUND)
+    processor = Reassembly(timeout_us)
+    return in_shares([deal(rows, keys, processor.columns)], processor, FOUND)
